@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberquill.llm import near_dup
+from emberquill.llm import near_dup, pieces, top_n
+from emberquill.llm.sql import SQL
 from emberquill.session import table
 
+__all__ = ["QUERIES", "SQL"]
+
 ALIKE_FIELDS = ("content", "flavor_text_en", "description_zh")
 
 
@@ -33,5 +36,30 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
     return near_dup.groups(*_alike(spark, d)).select(_field(), F.col("id").alias("row_id"), "class_id", "class_size", "links")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"p2_found": p2_found, "p2_groups": p2_groups}
-SQL: dict[str, str] = {}
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return pieces.audit(table(spark, d, "pokemon_knowledge_documents"), table(spark, d, "pokemon_knowledge_chunks"))
+
+
+def p4_pieces(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "pokemon_knowledge_documents").select(F.col("id").alias("document_id"), "content")
+    return pieces.split(documents, key="document_id").where("boundary <> 'end' OR chunk_index > 0")
+
+
+def _ranked(spark: SparkSession, d: str) -> DataFrame:
+    result = table(spark, d, "recommendation_result").select(
+        F.lit("result").alias("kind"), F.col("request_id").alias("group_id"), F.col("pokemon_id").cast("string").alias("item"), F.col("total").alias("score"), F.col("pokemon_id").alias("tie")
+    )
+    evidence = table(spark, d, "evidence_response").select(
+        F.lit("evidence").alias("kind"), F.col("pokemon_id").alias("group_id"), F.col("evidence_id").alias("item"), F.col("rrf_score").alias("score"), F.least("dense_rank", "lexical_rank").cast("long").alias("tie")
+    )
+    return result.unionByName(evidence)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return top_n.best_per_group(_ranked(spark, d), ["kind", "group_id"], 3).drop("score")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found)
+}
