@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberquill.llm import near_dup, pieces, top_n
+from emberquill.llm import consensus, encode, lookalikes, near_dup, pieces, top_n
 from emberquill.llm.sql import SQL
 from emberquill.session import table
 
@@ -59,7 +59,45 @@ def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return top_n.best_per_group(_ranked(spark, d), ["kind", "group_id"], 3).drop("score")
 
 
+def _written(spark: SparkSession, d: str) -> DataFrame:
+    dex, requests = table(spark, d, "pokedex_final"), table(spark, d, "recommendation_request")
+    parts = [dex.select(F.lit(f).alias("field"), F.col("source_row").alias("row_id"), F.col(f).alias("text")) for f in ("type_zh", "name_zh")]
+    parts.append(requests.select(F.lit("text").alias("field"), F.col("request_id").alias("row_id"), "text"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.consistent(_written(spark, d), ["field", "row_id"]).where(F.size("kinds") > 0).select("field", "row_id")
+
+
+def p6_forms(spark: SparkSession, d: str) -> DataFrame:
+    return lookalikes.consistent(_written(spark, d), ["field", "row_id"]).select("field", "row_id", "form", "kinds")
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(table(spark, d, "annotation_quality_row"))[0].select("case_id", "pokemon_id", "grade")
+
+
+def p7_annotators(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.consensus(table(spark, d, "annotation_quality_row"))[1]
+
+
+def p7_agreement(spark: SparkSession, d: str) -> DataFrame:
+    return consensus.agreement(table(spark, d, "annotation_quality_row"))
+
+
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return encode.encode(table(spark, d, "documents"), key="doc_id")
+
+
+def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Documents whose text doesn't come back whole from its ids: none are expected."""
+    documents = table(spark, d, "documents")
+    back = encode.decode(encode.encode(documents, key="doc_id"), key="doc_id").withColumnRenamed("text", "decoded")
+    return documents.select("doc_id", "text").join(back, "doc_id").where(F.coalesce("text", F.lit("")) != F.col("decoded")).select("doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found)
+    for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found, p6_found, p6_forms, p7_found, p7_annotators, p7_agreement, p8_ids, p8_round_trip)
 }

@@ -29,3 +29,14 @@ SELECT kind, group_id, row_number() OVER (PARTITION BY kind, group_id ORDER BY s
 FROM r WHERE group_id IS NOT NULL AND item IS NOT NULL
 QUALIFY row_number() OVER (PARTITION BY kind, group_id ORDER BY score DESC, tie, item) <= 3
 """
+
+SQL["p7_agreement"] = r"""
+WITH r AS (SELECT case_id, pokemon_id, lower(regexp_replace(annotator, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS who, arg_max(grade, (created_at, annotation_id)) AS grade
+  FROM annotation_quality_row WHERE grade BETWEEN 0 AND 3 AND case_id IS NOT NULL AND pokemon_id IS NOT NULL AND annotator IS NOT NULL GROUP BY 1, 2, 3),
+c AS (SELECT case_id, pokemon_id, grade, count(*)::DOUBLE AS n FROM r WHERE who <> '' GROUP BY 1, 2, 3),
+b AS (SELECT sum(n) AS m, sum(n * (n - 1)) AS same FROM c GROUP BY case_id, pokemon_id HAVING sum(n) > 1),
+k AS (SELECT c.grade, sum(c.n) AS s FROM c JOIN (SELECT case_id, pokemon_id FROM c GROUP BY 1, 2 HAVING sum(n) > 1) USING (case_id, pokemon_id) GROUP BY 1),
+t AS (SELECT count(*) AS items, sum(m)::BIGINT AS ratings, sum((m * (m - 1) - same) / (m - 1)) / sum(m) AS o FROM b),
+e AS (SELECT (sum(s) * (sum(s) - 1) - sum(s * (s - 1))) / (sum(s) * (sum(s) - 1)) AS e FROM k)
+SELECT items, ratings, round(o, 6) AS observed, round(e, 6) AS expected, round(1 - o / e, 6) AS alpha FROM t, e
+"""
