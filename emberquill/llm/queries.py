@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberquill.llm import consensus, encode, lookalikes, near_dup, pieces, top_n
+from emberquill.llm import consensus, encode, leaks, lookalikes, near_dup, pieces, top_n
 from emberquill.llm.sql import SQL
 from emberquill.session import table
 
@@ -97,7 +97,19 @@ def p8_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return documents.select("doc_id", "text").join(back, "doc_id").where(F.coalesce("text", F.lit("")) != F.col("decoded")).select("doc_id")
 
 
+def _leaks(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaks(table(spark, d, "documents"), table(spark, d, "evaluation_cases"))
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return _leaks(spark, d).select("doc_id", "item_id")
+
+
+def p9_items(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(_leaks(spark, d), table(spark, d, "evaluation_cases"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found, p6_found, p6_forms, p7_found, p7_annotators, p7_agreement, p8_ids, p8_round_trip)
+    for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found, p6_found, p6_forms, p7_found, p7_annotators, p7_agreement, p8_ids, p8_round_trip, p9_found, p9_items)
 }
