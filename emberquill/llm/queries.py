@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from emberquill.llm import consensus, encode, leaks, lookalikes, near_dup, pieces, top_n
+from emberquill.llm import consensus, encode, leaks, lookalikes, near_dup, pieces, top_n, truncation
 from emberquill.llm.sql import SQL
 from emberquill.session import table
 
@@ -109,7 +109,19 @@ def p9_items(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(_leaks(spark, d), table(spark, d, "evaluation_cases"))
 
 
+def _judged(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents"), group=["source"])
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return _judged(spark, d).where("cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.rates(_judged(spark, d))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found, p6_found, p6_forms, p7_found, p7_annotators, p7_agreement, p8_ids, p8_round_trip, p9_found, p9_items)
+    for f in (p2_found, p2_groups, p4_found, p4_pieces, p5_found, p6_found, p6_forms, p7_found, p7_annotators, p7_agreement, p8_ids, p8_round_trip, p9_found, p9_items, p10_found, p10_rates)
 }
