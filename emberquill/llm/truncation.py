@@ -30,6 +30,8 @@ ORDER = 4
 BLOCK = 2_000_000
 #: Scored endings that may be broadcast.
 FEW = 100_000
+#: Values of a language that weigh as much as the split of all languages together.
+SHRINK = 1000
 #: How far below and above the median log odds are told apart.
 REACH = (-7.0, 1.0)
 #: Weight of the shorter context, in observations.
@@ -183,17 +185,19 @@ def truncated(documents: DataFrame, *, key: str = "doc_id", group: list[str] | N
     set by language; ``column`` only names the values' column in the result.
 
     Defined cases: null, empty and blank texts, and texts without prose, aren't cut; unknown
-    languages are judged together; a language with a single kind of ending has no threshold and no
-    cut; copies are judged alike and count once in the model; an empty table gives no rows.
+    languages are judged together; a language's threshold is drawn to that of all, the more the fewer
+    its values; with a single kind of ending in all there is no threshold and no cut; copies are judged alike and count once in the model; an empty table gives no rows.
     """
     group = group or []
     rows = documents.withColumn("language", language(F.col("lang"))).select(key, "text", *group, "language")
     judged = materialise(scored(rows, key=key, group=[*group, "language"]), "judged")
     bins = judged.where(F.col("log_odds").isNotNull()).groupBy("language", F.round(F.col("log_odds") * 10).alias("bin")).count().collect()  # some hundred
-    limits = {}
+    split = lambda rs: split_point(np.array([r["bin"] / 10 for r in rs]), np.array([r["count"] for r in rs]))
+    pooled, limits = split(bins), {}
     for lang in {r["language"] for r in bins}:
         own = [r for r in bins if r["language"] == lang]
-        limits[lang] = split_point(np.array([r["bin"] / 10 for r in own]), np.array([r["count"] for r in own]))
+        n, point = sum(r["count"] for r in own), split(own)
+        limits[lang] = (n * point + SHRINK * pooled) / (n + SHRINK) if math.isfinite(point) else pooled
     limit = F.lit(None).cast("double")
     for lang, value in sorted(limits.items()):
         if math.isfinite(value):
