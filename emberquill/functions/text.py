@@ -348,6 +348,7 @@ def chinese_summary(c, longest: int = 110) -> Column:
     A longer one ends at its last full-width comma within the limit.  Without a segment of three
     ideographs the summary is empty; null gives null.
     """
+    c = F.col(c) if isinstance(c, str) else c
     text = F.trim(F.regexp_replace(c, BLANK, " "))
     parts = F.flatten(F.transform(F.split(text, r"[|｜]+"), lambda p: F.split(p, r"(?<=[。！？；])")))
     count = lambda s, words: sum((F.when(s.contains(w), 1).otherwise(0) for w in words[1:]), F.when(s.contains(words[0]), 1).otherwise(0))
@@ -358,8 +359,9 @@ def chinese_summary(c, longest: int = 110) -> Column:
     )
     best = F.array_max(F.filter(scored, lambda x: F.regexp_count(x["s"], F.lit("[㐀-鿿]")) >= 3))["s"]
     head = F.substring(best, 1, longest)
-    cut = F.regexp_replace(F.when(F.instr(head, "，") > 0, F.substring_index(head, "，", F.size(F.split(head, "，")) - 1)).otherwise(head), r"[，。！？； ]+$", "")
-    return F.when(c.isNull() if not isinstance(c, str) else F.col(c).isNull(), None).when(best.isNull(), "").when(F.length(best) <= longest, best).otherwise(F.concat(cut, F.lit("……")))
+    shorter = F.regexp_replace(F.regexp_replace(head, r"，[^，]*$", ""), r"[，。！？； ]+$", "")
+    cut = F.when(shorter == "", F.regexp_replace(head, r"\s+$", "")).otherwise(shorter)
+    return F.when(c.isNull(), None).when(best.isNull(), "").when(F.length(best) <= longest, best).otherwise(F.concat(cut, F.lit("……")))
 
 
 def ideographic_traits(c: Column, most: int = 3) -> Column:
