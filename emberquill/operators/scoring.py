@@ -124,6 +124,11 @@ def trait_vectors(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return grouped.select("id", F.transform(V.normalised(F.array(*(F.col(f"t{i}") for i in range(size)))), lambda x: F.round(x, 8)).alias("vector"))
 
 
+def affirmed_rows(rows: DataFrame, terms: DataFrame) -> DataFrame:
+    """id and the rows of ``terms`` (with ``canonical``) that the text affirms, once a text row."""
+    return _occurring(rows.select("id", T.behaviour("text").alias("low")), terms, "canonical", True)
+
+
 def affirmed_coverage(rows: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """id, trait, coverage: like ``substring_coverage``, counting only terms the text affirms, once a canonical form."""
     terms = best_terms(vocabulary)

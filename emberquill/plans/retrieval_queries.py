@@ -12,6 +12,7 @@ from emberquill.functions import text as T
 from emberquill.functions import vectors as V
 from emberquill.operators import retrieval as R
 from emberquill.operators import scoring as S
+from emberquill.plans import recommend as P
 from emberquill.session import table
 
 LABELS = 10
@@ -128,6 +129,19 @@ def affirmed_terms(spark: SparkSession, d: str) -> DataFrame:
     return S.matched_terms(table(spark, d, "recommendation_request").select(F.col("request_id").alias("id"), "text"), S.demo_vocabulary(spark), 3)
 
 
+def recommend(spark: SparkSession, d: str) -> DataFrame:
+    """The three best entities of every query; types are the vectors' labels, chosen by queries of an even hundred."""
+    e = table(spark, d, "embeddings")
+    texts = _texts(spark, d)
+    vectors = _vectors(spark, d).join(texts.select("chunk_id", "entity_id"), "chunk_id").where(F.col("entity_id").isNotNull())
+    asked = _asked(spark, d).join(e.select(F.col("vec_id").alias("query_id"), "label"), "query_id").withColumn("type", F.when(F.col("query_id") % 200 == 0, F.col("label"))).drop("label")
+    words = F.element_at(F.array(*(F.lit(w) for w in ("quiet gentle", "proud bright", "guard keeps", "curious studies"))), (F.col("type") % 4 + 1).cast("int"))
+    prototypes = V.mean_vectors(e, ["label"], "embedding").select(F.col("label").alias("type"), F.col("embedding").alias("prototype")).withColumn("profile_text", words)
+    vocabulary = S.demo_vocabulary(spark).withColumn("trait", F.col("trait_index").cast("string"))
+    found = P.recommend(asked, vectors, texts, prototypes, vocabulary, k=3)
+    return found.select("query_id", "entity_id", "semantic", F.round("personality", 5).alias("personality"), F.round("typed", 5).alias("typed"), F.round("total", 5).alias("total"), "rank")
+
+
 def recall_vs_exact(spark: SparkSession, d: str) -> DataFrame:
     """Recall at 10 of the inverted-file index against the exact result, by query."""
     vectors, asked = _vectors(spark, d), _asked(spark, d).select("query_id", "vector").where(F.col("vector").isNotNull())
@@ -139,7 +153,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         dense_topk, lexical_topk, rrf_fuse, hybrid_entities, candidate_union, vector_mean_normalised, vector_weighted_mean, label_affinity, score_blend,
-        final_ranking, rerank_blend, unit_hash, daily_selection, keyword_coverage, trait_vector, affirmed_terms, recall_vs_exact,
+        final_ranking, rerank_blend, unit_hash, daily_selection, keyword_coverage, trait_vector, affirmed_terms, recommend, recall_vs_exact,
     )
 }
 
