@@ -52,11 +52,11 @@ class Grammar:
         c = self.text[at]
         return c in SEPARATORS or (self.loose and c.isspace())
 
-    def _list(self, at: int, close: str, end: int) -> int | None:
+    def _list(self, at: int, close: str, end: int, outer: str | None = None) -> int | None:
         """The place after a bracketed list that ends its value, its values added; None, nothing added, if it fails."""
         before = len(self.values)
         stop = self._values(at + 1, end, close)
-        if stop is not None and self._rest(stop + 1, None):
+        if stop is not None and self._rest(stop + 1, outer):
             return stop + 1
         del self.values[before:]
         return None
@@ -85,7 +85,7 @@ class Grammar:
                 return at
             error = "malformed_quote"
         elif c in BRACKETS:
-            if (done := self._list(at, BRACKETS[c], end)) is not None:
+            if (done := self._list(at, BRACKETS[c], end, close)) is not None:
                 return done
             error = "unclosed_list"
         stop = at + 1

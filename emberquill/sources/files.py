@@ -45,7 +45,7 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, *, key: str | None =
 
     Blank lines are neither; rows repeated by ``key`` are errors but for the first.
     """
-    lines = spark.read.option("wholetext", True).text(path).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))  # files of cases are small; one file is one row
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line_no", "line"))  # files of cases are small; one file is one row
     parsed = lines.where(F.trim("line") != "").select((F.col("line_no") + 1).alias("line_no"), "line", F.from_json("line", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r"))
     bad = F.col("r._bad").isNotNull() | F.col("r").isNull()
     fine = parsed.where(~bad)

@@ -58,8 +58,11 @@ def decisions(rows: DataFrame, *, client: str, time: str, ident: str, limit: int
     return ordered.mapInArrow(fold, f"ident {kinds[ident]}, client {kinds[client]}, allowed boolean, remaining int, retry_after int")
 
 
-def stream_decisions(stream: DataFrame, *, client: str, time: str, limit: int = LIMIT, seconds: int = SECONDS) -> DataFrame:
-    """client, at, allowed, remaining, retry_after of a stream of requests; a client idle for a window is forgotten."""
+def stream_decisions(stream: DataFrame, *, client: str, time: str, limit: int = LIMIT, seconds: int = SECONDS, late: str = "1 minute") -> DataFrame:
+    """client, at, allowed, remaining, retry_after of a stream of requests.
+
+    A client is forgotten once the watermark (``late`` behind the newest time) has passed its window.
+    """
 
     def fold(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -69,9 +72,9 @@ def stream_decisions(stream: DataFrame, *, client: str, time: str, limit: int =
         rows = pd.concat(list(parts)).sort_values("at", kind="stable")  # one client's rows of a micro-batch
         done = [slots.ask(now) for now in rows["at"]]
         state.update((list(slots.held),))
-        state.setTimeoutDuration(int(seconds * 1000))
+        state.setTimeoutTimestamp(max(int((rows["at"].iloc[-1] + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"client": key[0], "at": rows["at"].to_numpy(), "allowed": [d[0] for d in done], "remaining": [d[1] for d in done], "retry_after": [d[2] for d in done]})
 
     kind = stream.schema[client].dataType.simpleString()
-    rows = stream.select(F.col(client).alias("client"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at"))
-    return rows.groupBy("client").applyInPandasWithState(fold, f"client {kind}, at double, allowed boolean, remaining int, retry_after int", "held array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    rows = stream.withWatermark(time, late).select(F.col(client).alias("client"), time, (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at"))
+    return rows.groupBy("client").applyInPandasWithState(fold, f"client {kind}, at double, allowed boolean, remaining int, retry_after int", "held array<double>", "append", GroupStateTimeout.EventTimeTimeout)
