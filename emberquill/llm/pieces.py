@@ -52,6 +52,8 @@ class Layout:
 
     def tokens(self, start: int, end: int) -> int:
         """Tokens of text[start:end]; runs cut by its ends count with what is left of them."""
+        if end <= start:
+            return 0
         first, last = bisect_right(self.stops, start), bisect_right(self.starts, end - 1)
         n = self.sums[last] - self.sums[first] if last > first else 0
         for run in {first, last - 1} if last > first else ():

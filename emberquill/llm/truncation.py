@@ -186,9 +186,12 @@ def truncated(documents: DataFrame, *, key: str = "doc_id", group: list[str] | N
 
     Defined cases: null, empty and blank texts, and texts without prose, aren't cut; unknown
     languages are judged together; a language's threshold is drawn to that of all, the more the fewer
-    its values; with a single kind of ending in all there is no threshold and no cut; copies are judged alike and count once in the model; an empty table gives no rows.
+    its values; with a single kind of ending in all there is no threshold and no cut; copies are judged alike and count once in the model; an empty table gives no rows; key and group
+    columns can't have the names of result columns (ValueError).
     """
     group = group or []
+    if clash := {"language", "suffix", "log_odds", "threshold", "column", "cut"} & {key, *group}:
+        raise ValueError(f"the result has columns of these names: {', '.join(sorted(clash))}")
     rows = documents.withColumn("language", language(F.col("lang"))).select(key, "text", *group, "language")
     judged = materialise(scored(rows, key=key, group=[*group, "language"]), "judged")
     bins = judged.where(F.col("log_odds").isNotNull()).groupBy("language", F.round(F.col("log_odds") * 10).alias("bin")).count().collect()  # some hundred
