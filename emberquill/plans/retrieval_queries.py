@@ -180,13 +180,13 @@ def _agg(source: str, name: str) -> str:
 
 _MEAN = """u AS (SELECT label, unnest(range(0, 64))::INTEGER AS place, unnest(embedding)::DOUBLE AS x, {w} AS w FROM embeddings),
 m AS (SELECT label, place, sum(x * w) / sum(w) AS v FROM u GROUP BY 1, 2)"""
-_MEANQ = "WITH " + _MEAN + " SELECT label, place, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 6) AS value FROM m"
+_MEANQ = "WITH " + _MEAN + " SELECT label, place, round(v / sqrt(sum(v * v) OVER (PARTITION BY label)), 6) + 0 AS value FROM m"
 _FINAL = """b AS (SELECT request_id, pokemon_id, max({'t': total, 's': semantic, 'p': personality}) AS s FROM recommendation_result WHERE total IS NOT NULL AND NOT isnan(total) GROUP BY 1, 2),
 f AS (SELECT request_id, pokemon_id, s.t AS total, row_number() OVER (PARTITION BY request_id ORDER BY s.t DESC NULLS LAST, s.s DESC NULLS LAST, s.p DESC NULLS LAST, pokemon_id)::INTEGER AS rank FROM b QUALIFY rank <= 10)"""
 _UNIT = "(('0x' || substr(sha256({0}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551615.0::DOUBLE)"
 _VOCABULARY = "v(trait_index, trait, term, weight) AS (VALUES " + ", ".join(f"({i}, '{t}', '{w}', {x}::DOUBLE)" for i, t, w, x in S.DEMO_TERMS) + ")"
 SQL = {
-    "dense_topk": f"WITH {_DENSE} SELECT query_id, chunk_id, round(dense_score, 6) AS dense_score, dense_rank FROM dn",
+    "dense_topk": f"WITH {_DENSE} SELECT query_id, chunk_id, round(dense_score, 6) + 0 AS dense_score, dense_rank FROM dn",
     "lexical_topk": f"WITH {_LEX} SELECT query_id, chunk_id, matches, round(lexical_score, 8) AS lexical_score, lexical_rank FROM lx",
     "rrf_fuse": f"WITH {_DENSE}, {_LEX}, {_FUSED} SELECT query_id, chunk_id, dense_rank, lexical_rank, round(rrf_score, 10) AS rrf_score FROM fu",
     "hybrid_entities": f"WITH {_DENSE}, {_LEX}, {_FUSED}, {_agg('fu', 'h')} SELECT query_id, entity_id, round(retrieval_score, 8) AS retrieval_score, round(best_chunk_score, 8) AS best_chunk_score, best_branch_rank, array_to_string(evidence, ',') AS evidence, position FROM h",

@@ -38,7 +38,7 @@ def _slice(kind: str, value: str) -> str:
 SQL = {
     "eval_cases": f"{_CASES} SELECT case_id, {', '.join(f'round({n}, 6) AS {n}' for n in _NAMES)} FROM m",
     "eval_metrics": f"{_CASES} SELECT count(*) AS cases, {', '.join(f'round(avg({n}), 6) AS {n}' for n in _NAMES)} FROM m",
-    "rerank_gate": f"{_CASES}, a AS (SELECT avg(ndcg) AS n0, quantile_cont((case_id % 300)::DOUBLE, 0.95) AS l0, avg(ndcg) FILTER (case_id % 200 = 0) AS n1, quantile_cont((case_id % 300)::DOUBLE, 0.95) FILTER (case_id % 200 = 0) AS l1 FROM m) SELECT round(n1 - n0, 6) AS gain, round(l1 - l0, 4) AS added_p95_ms, round(n1 - n0, 6) >= 0.001 AND round(l1 - l0, 4) <= 250 AS accepted FROM a",
+    "rerank_gate": f"{_CASES}, a AS (SELECT avg(ndcg) AS n0, quantile_cont((case_id % 300)::DOUBLE, 0.95) AS l0, avg(ndcg) FILTER (case_id % 200 = 0) AS n1, quantile_cont((case_id % 300)::DOUBLE, 0.95) FILTER (case_id % 200 = 0) AS l1 FROM m) SELECT round(n1 - n0, 6) + 0 AS gain, round(l1 - l0, 4) + 0 AS added_p95_ms, round(n1 - n0, 6) >= 0.001 AND round(l1 - l0, 4) <= 250 AS accepted FROM a",
     "annotation_quality": f"""WITH s AS ({_slice('overall', "'all'")} UNION ALL {_slice('segment', "coalesce(segment, '')")} UNION ALL {_slice('query_length', "CASE WHEN query_length < 40 THEN 'short' WHEN query_length < 80 THEN 'medium' WHEN query_length IS NOT NULL THEN 'long' ELSE '' END")}),
 i AS (SELECT slice, value, case_id, pokemon_id, count(DISTINCT annotator) FILTER (grade IS NOT NULL) AS p, count(DISTINCT grade) FILTER (annotator IS NOT NULL) AS g, max((final_grade IS NOT NULL)::INT) AS f FROM s GROUP BY 1, 2, 3, 4)
 SELECT slice, value, count(DISTINCT case_id) AS case_count, count(*) AS candidate_count, round(count(*) FILTER (p >= 2) / count(*), 6) AS double_annotation_coverage,
@@ -47,7 +47,7 @@ SELECT slice, value, count(DISTINCT case_id) AS case_count, count(*) AS candidat
 o AS (SELECT annotator_a, annotator_b, count(*) AS n, avg((ga - gb) ** 2 / 9.0) AS seen FROM p GROUP BY 1, 2),
 l AS (SELECT annotator_a, annotator_b, ga, count(*) AS n FROM p GROUP BY 1, 2, 3), r AS (SELECT annotator_a, annotator_b, gb, count(*) AS n FROM p GROUP BY 1, 2, 3),
 x AS (SELECT annotator_a, annotator_b, sum((ga - gb) ** 2 / 9.0 * l.n * r.n) AS e FROM l JOIN r USING (annotator_a, annotator_b) GROUP BY 1, 2)
-SELECT annotator_a, annotator_b, n AS common_judgment_count, round(CASE WHEN e = 0 THEN CASE WHEN seen = 0 THEN 1.0 ELSE 0 END ELSE 1 - seen / (e / (n * n)) END, 6) AS quadratic_weighted_kappa FROM o JOIN x USING (annotator_a, annotator_b)""",
+SELECT annotator_a, annotator_b, n AS common_judgment_count, round(CASE WHEN e = 0 THEN CASE WHEN seen = 0 THEN 1.0 ELSE 0 END ELSE 1 - seen / (e / (n * n)) END, 6) + 0 AS quadratic_weighted_kappa FROM o JOIN x USING (annotator_a, annotator_b)""",
     "ready_cases": "WITH i AS (SELECT case_id, pokemon_id, count(DISTINCT annotator) FILTER (grade IS NOT NULL) AS p, max(final_grade) AS f FROM annotation_quality_row GROUP BY 1, 2) SELECT case_id, bool_and(p >= 2 AND f IS NOT NULL) AND coalesce(bool_or(f > 0), false) AS ready FROM i GROUP BY 1",
     "exported_cases": "WITH g AS (SELECT case_id, pokemon_id, max(final_grade) AS grade FROM annotation_quality_row WHERE final_grade > 0 GROUP BY 1, 2) SELECT case_id, query, (row_number() OVER (PARTITION BY case_id ORDER BY pokemon_id) - 1)::INTEGER AS place, pokemon_id, grade FROM evaluation_cases JOIN g USING (case_id)",
     "quality_rows": """WITH c AS (SELECT case_id, pokemon_id, max(final_grade) AS final_grade FROM annotation_quality_row GROUP BY 1, 2)

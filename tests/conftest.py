@@ -3,7 +3,7 @@ from pathlib import Path
 
 import pytest
 
-sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
+sys.path[:0] = [str(Path(__file__).resolve().parents[1]), str(Path(__file__).resolve().parent)]
 DATA = Path("/root/testdata/sf0.001")
 
 
@@ -22,34 +22,3 @@ def data():
     if not DATA.exists():
         pytest.skip("no driver tables")
     return str(DATA)
-
-
-def canon(v):
-    """A value as text; numbers to nine digits, whatever their type."""
-    if isinstance(v, bool) or v is None:
-        return str(v)
-    if isinstance(v, (int, float)) or hasattr(v, "as_tuple"):
-        return f"{float(v):.9g}"
-    if isinstance(v, (list, tuple)):
-        return str([canon(x) for x in v])
-    if hasattr(v, "tzinfo"):
-        return str(v.replace(tzinfo=None))
-    return str(v)
-
-
-def compared(spark, data, query, sql):
-    """(rows of the query, rows of the SQL), columns by name, rows sorted."""
-    import duckdb
-
-    con = duckdb.connect()
-    con.execute("SET TimeZone='UTC'")
-    for f in Path(data).glob("*.parquet"):
-        con.execute(f"CREATE VIEW {f.stem} AS SELECT * FROM '{f}'")
-    df = query(spark, data)
-    cols = sorted(df.columns)
-    got = sorted(tuple(canon(r[c]) for c in cols) for r in df.collect())
-    con_rows = con.execute(sql)
-    names = [x[0] for x in con_rows.description]
-    assert sorted(names) == cols
-    want = sorted(tuple(canon(x[names.index(c)]) for c in cols) for x in con_rows.fetchall())
-    return got, want
