@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from emberquill.functions.vectors import dot, norm
+from emberquill.session import in_blocks
 
 #: Queries sent to the workers at a time, digits to which scores are compared, constants of fusion.
 BLOCK = 4_000
@@ -28,14 +29,6 @@ RRF_K, BRANCH, EVIDENCE = 60, 50, 3
 WORD = re.compile(r"\w+")
 
 
-def _blocks(queries: DataFrame, key: str) -> Iterator[list]:
-    n = queries.count()
-    blocks = -(-n // BLOCK) or 1
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b)
-        yield part.collect()  # about BLOCK rows
-
-
 def _ranked(found: DataFrame, k: int, score: str, rank: str) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc(score), "chunk_id")
     return found.withColumn(rank, F.row_number().over(order)).where(F.col(rank) <= k)
@@ -59,7 +52,7 @@ def dense_topk(vectors: DataFrame, queries: DataFrame, k: int = BRANCH, *, dimen
     if not 1 <= k <= 200:
         raise ValueError("k is from 1 to 200")
     found = None
-    for rows in _blocks(queries.where(F.col("vector").isNotNull()).select("query_id", "vector"), "query_id"):
+    for rows in in_blocks(queries.where(F.col("vector").isNotNull()).select("query_id", "vector"), "query_id", BLOCK):
         size = dimension or next((len(r["vector"]) for r in rows if r["vector"]), 0)
         usable = [(r["query_id"], np.array(r["vector"], float)) for r in rows if len(r["vector"]) == size]
         usable = [(i, v) for i, v in usable if np.isfinite(v).all() and np.linalg.norm(v) > 0]
@@ -96,7 +89,7 @@ def lexical_topk(texts: DataFrame, queries: DataFrame, k: int = BRANCH, *, most_
     query_id, text.  Null texts match nothing; queries without tokens have no rows.
     """
     found = None
-    for rows in _blocks(queries.where(F.col("text").isNotNull()).select("query_id", "text"), "query_id"):
+    for rows in in_blocks(queries.where(F.col("text").isNotNull()).select("query_id", "text"), "query_id", BLOCK):
         wanted = []
         for r in rows:
             own = [t for t in dict.fromkeys(WORD.findall(r["text"].lower())) if any(c.isalnum() for c in t)][:most_tokens]

@@ -13,7 +13,7 @@ from pyspark.sql.window import Window
 
 from emberquill.functions import text as T
 from emberquill.functions import vectors as V
-from emberquill.session import count_at_most
+from emberquill.session import in_blocks
 
 #: Prototypes and vocabulary entries that may be sent to the workers.
 FEW = 20_000
@@ -36,9 +36,9 @@ def affinities(vectors: DataFrame, prototypes: DataFrame, name: str, coverage: D
     Without ``coverage`` the clipped cosine; with it (id, name, coverage) 0.8 of that and 0.2 of
     the coverage, clipped.  Prototypes are few, by count; zero vectors have affinity 0.
     """
-    if count_at_most(prototypes, FEW) > FEW:
+    rows = sorted(prototypes.limit(FEW + 1).collect(), key=lambda r: r[name])
+    if len(rows) > FEW:
         raise ValueError(f"more than {FEW} prototypes")
-    rows = prototypes.orderBy(name).collect()
     names, matrix = [r[name] for r in rows], np.array([r["prototype"] for r in rows], float)
     norms = np.linalg.norm(matrix, axis=1, keepdims=True)
     matrix = matrix / np.where(norms > 0, norms, 1)
@@ -94,11 +94,9 @@ def find_terms(rows: DataFrame, terms: list[str], *, affirmed: bool = False) ->
 def _occurring(rows: DataFrame, vocabulary: DataFrame, form: str, affirmed: bool) -> DataFrame:
     """id and the vocabulary's rows whose ``form`` occurs; the vocabulary goes to the workers in blocks of a checked size."""
     forms = vocabulary.select(form).where(F.coalesce(form, F.lit("")) != "").distinct()
-    blocks = -(-forms.count() // FEW) or 1
     found = None
-    for b in range(blocks):
-        part = forms if blocks == 1 else forms.where(F.pmod(F.xxhash64(form), F.lit(blocks)) == b)
-        one = find_terms(rows, sorted(r[0] for r in part.collect()), affirmed=affirmed)
+    for block in in_blocks(forms, form, FEW):
+        one = find_terms(rows, sorted(r[0] for r in block), affirmed=affirmed)
         found = one if found is None else found.unionByName(one)
     return found.join(vocabulary, F.col("form") == F.col(form))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from emberquill.functions import vectors as V
 from emberquill.operators import retrieval as R
 from emberquill.operators import scoring as S
-from emberquill.session import materialise
+from emberquill.session import local, materialise
 
 #: The greatest fused score: first in both branches.
 BEST = 2.0 / (R.RRF_K + 1)
@@ -45,6 +45,7 @@ def recommend(queries: DataFrame, vectors: DataFrame, texts: DataFrame, prototyp
     """
     if not 1 <= k <= 10:
         raise ValueError("k is from 1 to 10")
+    prototypes, vocabulary, queries = local(prototypes, S.FEW), local(vocabulary, S.FEW), materialise(queries, "queries")
     entities = texts.select("chunk_id", "entity_id").unionByName(vectors.select("chunk_id", "entity_id")).distinct()
     by_text = materialise(R.hybrid(vectors.select("chunk_id", "vector"), texts, entities, queries.select("query_id", "text", "vector"), branch=branch), "by-text")
     kinds = prototypes.select(F.xxhash64("type").alias("query_id"), "type", F.col("profile_text").alias("text"), F.col("prototype").alias("vector"))

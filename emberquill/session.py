@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "emberquill", master: str | None = None, cpus: int = 8) -> SparkSession:
@@ -63,4 +65,23 @@ def count_at_most(df: DataFrame, bound: int) -> int:
     return df.limit(bound + 1).count()
 
 
-__all__ = ["build_session", "count_at_most", "materialise", "shared_folder", "table"]
+def in_blocks(df: DataFrame, key: str, size: int) -> Iterator[list[Row]]:
+    """The rows of ``df`` in lists of about ``size``; one job if they fit in one list."""
+    first = df.limit(size + 1).collect()
+    if len(first) <= size:
+        yield first
+        return
+    blocks = -(-df.count() // size)
+    for b in range(blocks):
+        yield df.where(F.pmod(F.xxhash64(key), F.lit(blocks)) == b).collect()
+
+
+def local(df: DataFrame, most: int) -> DataFrame:
+    """A small table held by the driver; raises if it has more than ``most`` rows."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows")
+    return df.sparkSession.createDataFrame(rows, df.schema)
+
+
+__all__ = ["build_session", "count_at_most", "in_blocks", "local", "materialise", "shared_folder", "table"]
