@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from emberquill.functions import text as T
+from emberquill.operators import aggregate as A
 from emberquill.operators import catalog as C
+from emberquill.operators import embedding as N
 from emberquill.operators import evaluation as E
 from emberquill.operators import feedback as B
 from emberquill.operators import merge as M
@@ -285,9 +287,53 @@ def constraint_violations(spark: SparkSession, d: str) -> DataFrame:
     return rows.unionByName(line).unionByName(unique).unionByName(missing)
 
 
+# aggregates and vectors --------------------------------------------------------------------------
+
+
+def nested_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Errors of the catalogue's rows as typed aggregates."""
+    out = A.nested(table(spark, d, "pokedex_final"), table(spark, d, "type_definitions"))
+    return out.select("source_row", F.explode("errors").alias("e")).select("source_row", "e.field", "e.message")
+
+
+def nested_values(spark: SparkSession, d: str) -> DataFrame:
+    out = A.nested(table(spark, d, "pokedex_final"), table(spark, d, "type_definitions"))
+    return out.select("source_row", "entity.number", "entity.generation", "entity.height_m", "stats.base_stat_total", F.array_join("type_codes", ",").alias("types"), F.size("descriptions").alias("descriptions"), F.size("images").alias("images"))
+
+
+def payload_problems(spark: SparkSession, d: str) -> DataFrame:
+    return A.payload_problems(A.nested(table(spark, d, "pokedex_final"), table(spark, d, "type_definitions")), "source_row")
+
+
+def case_view(spark: SparkSession, d: str) -> DataFrame:
+    a = table(spark, d, "annotation_quality_row")
+    finals = a.groupBy("case_id", "pokemon_id").agg(F.max("final_grade").alias("final_grade"))
+    out = A.case_view(table(spark, d, "evaluation_cases"), E.latest_grades(a), finals)
+    return out.select("case_id", "pokemon_id", F.array_join(F.transform("grades", lambda g: F.concat_ws("=", g["annotator"], g["grade"].cast("string"))), "|").alias("grades"), "final_grade")
+
+
+def embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that aren't blank, embedded by the hashing encoder: counts by status."""
+    texts = table(spark, d, "documents").where(F.col("text").isNull() | (T.stripped("text") != ""))
+    rows = texts.select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), T.content_hash("text").alias("content_hash"))
+    return N.embed(rows).groupBy("status").agg(F.count("*").alias("n"))
+
+
+def public_descriptions(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "pokemon_knowledge_documents")
+    return docs.where((F.lower(T.stripped("language_code")) == "zh-hant") & (F.lower(T.stripped("document_kind")) == "description")).select("id", "pokemon_id")
+
+
+def evidence_order(spark: SparkSession, d: str) -> DataFrame:
+    """The ten first rows of evidence, Chinese before others, then by score and number."""
+    rows = table(spark, d, "evidence_response").where(F.col("rrf_score").isNotNull() & ~F.isnan("rrf_score")).select("evidence_id", "language_code", "rrf_score").distinct()
+    return rows.orderBy(F.when(F.lower("language_code").startswith("zh"), 0).otherwise(1), F.desc("rrf_score"), "evidence_id").limit(10)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
+        nested_rows, nested_values, payload_problems, case_view, embedded_chunks, public_descriptions, evidence_order,
         eval_cases, eval_metrics, annotation_quality, weighted_kappa, ready_cases, exported_cases, quality_rows, percentile_summary, rerank_gate, feedback_summary, feedback_by, feedback_checked, retention_purge,
         catalog_page, catalog_total, catalog_escaped_search, catalog_type_exists, entity_detail, type_children, ability_terms, localised_types, hash_sample, even_sample, entities_with_evidence,
         content_hashes, stable_ids, fixed_windows, sentence_counts, chunk_documents, canonical_names, query_tokens, display_paragraphs, chinese_summaries, typed_fields, length_buckets,

@@ -102,4 +102,13 @@ SELECT d.id AS document_id, coalesce(total, 0) AS total, coalesce(ready, 0) AS r
     "constraint_violations": """SELECT chunk_no::VARCHAR AS key, 'not_blank' AS "constraint" FROM pokemon_knowledge_chunks WHERE trim(content) = '' UNION ALL SELECT chunk_no::VARCHAR, 'char_count' FROM pokemon_knowledge_chunks WHERE char_count <> length(content) UNION ALL SELECT chunk_no::VARCHAR, 'status' FROM pokemon_knowledge_chunks WHERE status NOT IN ('ready', 'stale', 'failed')
 UNION ALL SELECT l_orderkey || ':' || l_linenumber, 'discount' FROM lineitem WHERE l_discount NOT BETWEEN 0 AND 0.1 UNION ALL SELECT l_orderkey || ':' || l_linenumber, 'quantity' FROM lineitem WHERE l_quantity NOT BETWEEN 1 AND 49
 UNION ALL SELECT id, 'unique_id' FROM pokemon_knowledge_chunks GROUP BY id HAVING count(*) > 1 UNION ALL SELECT DISTINCT evidence_id, 'evidence_chunk' FROM evidence_response WHERE chunk_id IS NOT NULL AND chunk_id NOT IN (SELECT id FROM pokemon_knowledge_chunks)""",
+    "nested_values": """WITH t AS (SELECT *, [x for x in [type_1, type_2] if trim(coalesce(x, '')) <> '' AND lower(trim(x)) <> 'unknown'] AS g FROM pokedex_final)
+SELECT source_row, pokedex_number::BIGINT AS number, nullif(list_position(['gen-i', 'gen-ii', 'gen-iii', 'gen-iv', 'gen-v', 'gen-vi', 'gen-vii', 'gen-viii', 'gen-ix'], lower(trim(generation))), 0)::INTEGER AS generation, height_m::DECIMAL(6, 2) AS height_m, base_stat_total::DOUBLE::BIGINT AS base_stat_total,
+  array_to_string([lower(trim(x)) for x in g], ',') AS types, ((trim(coalesce(description_zh, '')) NOT IN ('', 'unknown'))::INT + (trim(coalesce(flavor_text_en, '')) NOT IN ('', 'unknown'))::INT + (trim(coalesce(analysis_text, '')) NOT IN ('', 'unknown'))::INT)::INTEGER AS descriptions,
+  (coalesce(regexp_full_match(image_url, 'https?://[^/?#\\s@]+(/[^?#\\s]*)?'), false)::INT + coalesce(regexp_full_match(sprite_url, 'https?://[^/?#\\s@]+(/[^?#\\s]*)?'), false)::INT)::INTEGER AS images FROM t""",
+    "case_view": f"""WITH g AS ({_LATEST_GRADES}), f AS (SELECT case_id, pokemon_id, max(final_grade) AS final_grade FROM annotation_quality_row GROUP BY 1, 2), l AS (SELECT case_id, pokemon_id, string_agg(annotator || '=' || grade, '|' ORDER BY annotator) AS grades FROM g GROUP BY 1, 2)
+SELECT case_id, pokemon_id, grades, final_grade FROM evaluation_cases JOIN l USING (case_id) LEFT JOIN f USING (case_id, pokemon_id)""",
+    "public_descriptions": "SELECT id, pokemon_id FROM pokemon_knowledge_documents WHERE lower(trim(language_code)) = 'zh-hant' AND lower(trim(document_kind)) = 'description'",
+    "evidence_order": "SELECT DISTINCT evidence_id, language_code, rrf_score FROM evidence_response WHERE rrf_score IS NOT NULL AND NOT isnan(rrf_score) ORDER BY CASE WHEN lower(language_code) LIKE 'zh%' THEN 0 ELSE 1 END, rrf_score DESC, evidence_id LIMIT 10",
+    "embedded_chunks": rf"SELECT CASE WHEN text IS NULL THEN 'failed' ELSE 'ready' END AS status, count(*) AS n FROM documents WHERE text IS NULL OR regexp_replace(text, '^{_BLANK}|{_BLANK}$', '', 'g') <> '' GROUP BY 1",
 }
