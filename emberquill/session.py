@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -10,6 +12,9 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
+#: Folders of the tables materialised by this process.
+_WRITTEN: list[str] = []
+
 
 def build_session(app_name: str = "emberquill", master: str | None = None, cpus: int = 8) -> SparkSession:
     """A session with the settings the operators assume; local unless a master is given."""
@@ -45,7 +50,9 @@ def shared_folder(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    sc.setCheckpointDir(tempfile.mkdtemp(prefix="emberquill-"))
+    folder = tempfile.mkdtemp(prefix="emberquill-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -56,6 +63,7 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/emberquill-{label}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -65,6 +73,15 @@ def count_at_most(df: DataFrame, bound: int) -> int:
     return df.limit(bound + 1).count()
 
 
+def release(spark: SparkSession) -> int:
+    """Deletes the tables materialised so far, for long-lived sessions; results not yet read are lost.  Returns their number."""
+    n = len(_WRITTEN)
+    while _WRITTEN:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    return n
+
+
 def in_blocks(df: DataFrame, key: str, size: int) -> Iterator[list[Row]]:
     """The rows of ``df`` in lists of about ``size``; one job if they fit in one list."""
     first = df.limit(size + 1).collect()
@@ -84,4 +101,4 @@ def local(df: DataFrame, most: int) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
-__all__ = ["build_session", "count_at_most", "in_blocks", "local", "materialise", "shared_folder", "table"]
+__all__ = ["build_session", "count_at_most", "in_blocks", "local", "materialise", "release", "shared_folder", "table"]
