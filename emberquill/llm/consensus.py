@@ -83,13 +83,13 @@ def consensus(rows: DataFrame, *, least: int = 3, rounds: int = 12, tolerance: f
         others = [F.col(f"v{g}") - F.when(F.col("grade") == g, F.col("w")).otherwise(0.0) for g in range(GRADES)]
         judged = weighed.join(votes, ITEM).select("annotator", (F.col("grade") == _top(others)).cast("double").alias("met"), (F.col("grade") == _top([F.col(f"v{g}") for g in range(GRADES)])).cast("double").alias("meets"))
         raw = judged.groupBy("annotator").agg(F.count("*").alias("items"), F.sum("met").alias("met"), F.avg("meets").alias("accuracy"))
-        totals = raw.agg((F.sum("met") / F.sum("items")).alias("common"))
-        scored = raw.crossJoin(F.broadcast(totals)).select(  # one row
-            "annotator", "items", "accuracy", ((F.col("met") + PRIOR * F.col("common")) / (F.col("items") + PRIOR)).alias("leave_one_out")
-        )
+        raw = materialise(raw, "annotators")
+        met, items = raw.agg(F.sum("met"), F.sum("items")).first()
+        common = met / items if items else 0.0
+        scored = raw.select("annotator", "items", "accuracy", ((F.col("met") + PRIOR * common) / (F.col("items") + PRIOR)).alias("leave_one_out"))
         capped = F.least(F.greatest(F.col("leave_one_out"), F.lit(0.02)), F.lit(0.98))
         weight = F.greatest(F.log(capped * (GRADES - 1) / (1 - capped)), F.lit(0.01))
-        scored = materialise(scored.withColumn("w", weight), "annotators")
+        scored = scored.withColumn("w", weight)
         state = scored.select("annotator", F.col("leave_one_out").alias("now"))
         if before is not None:
             moved = state.join(before, "annotator").agg(F.max(F.abs(F.col("now") - F.col("then")))).first()[0]
