@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from emberquill.functions import text as T
 from emberquill.operators.records import STATS
 
+#: Types that may become literals of a plan.
+FEW_TYPES = 1_000
 #: Decimal columns, scaled columns and source texts (field, language, kind).
 SCALED = ("scaled_hp", "scaled_attack", "scaled_defense", "scaled_sp_attack", "scaled_sp_defense", "scaled_speed", "scaled_height_m", "scaled_weight_kg")
 TEXTS = (("description_zh", "zh-Hant", "description"), ("flavor_text_en", "en", "flavor"), ("analysis_text", "mul", "analysis"))
@@ -23,9 +25,11 @@ def nested(rows: DataFrame, types: DataFrame) -> DataFrame:
     ``types`` (code, name_en, name_zh) is a small fixed table; the Chinese types must be those of
     the English ones in order, separated by commas of either width, or be blank for a lone Normal.
     """
-    named = types.select(F.collect_list(F.struct(F.lower("name_en").alias("en"), "code", "name_zh")).alias("_t"))  # the fixed types
-    rows = rows.crossJoin(F.broadcast(named))  # one row
-    find = lambda name: F.get(F.filter("_t", lambda t: t["en"] == F.lower(name)), F.lit(0))
+    known = types.select(F.lower("name_en"), "code", "name_zh").limit(FEW_TYPES + 1).collect()
+    if len(known) > FEW_TYPES:
+        raise ValueError(f"more than {FEW_TYPES} types")
+    table = F.array(*(F.struct(F.lit(en).alias("en"), F.lit(code).cast("string").alias("code"), F.lit(zh).cast("string").alias("name_zh")) for en, code, zh in known or [("", None, None)]))
+    find = lambda name: F.get(F.filter(table, lambda t: t["en"] == F.lower(name)), F.lit(0))
     given = F.array_compact(F.array(T.optional("type_1"), T.optional("type_2")))
     codes = F.transform(given, lambda g: find(g)["code"])
     chinese = F.filter(F.transform(F.split(F.regexp_replace(F.coalesce("type_zh", F.lit("")), "，", ","), ","), lambda s: T.stripped(s)), lambda s: s != "")

@@ -72,9 +72,11 @@ def summary(rows: DataFrame, value: str, by: list[str], digits: int = 4) -> Data
 
 def accepts(base: DataFrame, other: DataFrame, *, least_gain: float, most_added_ms: float) -> DataFrame:
     """One row: whether a second run's nDCG gains enough at an acceptable added 95th percentile."""
-    a, b = base.agg(F.avg("ndcg").alias("n0"), F.percentile("latency_ms", F.lit(0.95)).alias("l0")), other.agg(F.avg("ndcg").alias("n1"), F.percentile("latency_ms", F.lit(0.95)).alias("l1"))
-    gain, added = F.round(F.col("n1") - F.col("n0"), 6), F.round(F.col("l1") - F.col("l0"), 4)
-    return a.crossJoin(b).select(gain.alias("gain"), added.alias("added_p95_ms"), ((gain >= least_gain) & (added <= most_added_ms)).alias("accepted"))  # one row each
+    runs = base.select(F.lit(0).alias("run"), "ndcg", "latency_ms").unionByName(other.select(F.lit(1).alias("run"), "ndcg", "latency_ms"))
+    own = lambda c, r: F.when(F.col("run") == r, F.col(c))
+    late = [F.percentile(own("latency_ms", r), F.lit(0.95)) for r in (0, 1)]
+    one = runs.agg(F.round(F.avg(own("ndcg", 1)) - F.avg(own("ndcg", 0)), 6).alias("gain"), F.round(late[1] - late[0], 4).alias("added_p95_ms"))
+    return one.withColumn("accepted", (F.col("gain") >= least_gain) & (F.col("added_p95_ms") <= most_added_ms))
 
 
 def latest_grades(rows: DataFrame) -> DataFrame:

@@ -29,9 +29,9 @@ def by(feedback: DataFrame, items: DataFrame, impressions: DataFrame) -> DataFra
 def summary(feedback: DataFrame, impressions: DataFrame) -> DataFrame:
     """One row: impressions, rated impressions, response rate, feedback, match rate; rates without a denominator are 0."""
     ratio = lambda a, b: F.when(b > 0, F.round(a / b, 6)).otherwise(0.0)
-    shown = impressions.agg(F.count("*").alias("total_impressions"))
-    given = feedback.agg(F.count_distinct("impression_id").alias("rated_impressions"), F.count("*").alias("total_feedback"), F.coalesce(F.sum(_match()), F.lit(0)).alias("matches"))
-    return shown.crossJoin(given).select("total_impressions", "rated_impressions", ratio(F.col("rated_impressions"), F.col("total_impressions")).alias("response_rate"), "total_feedback", ratio(F.col("matches"), F.col("total_feedback")).alias("match_rate"))  # one row each
+    rows = impressions.select(F.lit(1).alias("s"), F.lit(None).cast(feedback.schema["impression_id"].dataType).alias("i"), F.lit(0).alias("m")).unionByName(feedback.select(F.lit(0).alias("s"), F.col("impression_id").alias("i"), _match().alias("m")))
+    one = rows.agg(*(F.coalesce(c, F.lit(0)).alias(n) for n, c in (("total_impressions", F.sum("s")), ("rated_impressions", F.count_distinct("i")), ("total_feedback", F.sum(1 - F.col("s"))), ("matches", F.sum("m")))))
+    return one.select("total_impressions", "rated_impressions", ratio(F.col("rated_impressions"), F.col("total_impressions")).alias("response_rate"), "total_feedback", ratio(F.col("matches"), F.col("total_feedback")).alias("match_rate"))
 
 
 def retained(impressions: DataFrame, children: list[DataFrame], days: int, now: str) -> list[DataFrame]:

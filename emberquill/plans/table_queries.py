@@ -114,9 +114,13 @@ def retention_purge(spark: SparkSession, d: str) -> DataFrame:
 # catalogue ---------------------------------------------------------------------------------------
 
 
+SHOWN = ["name_zh", "name_en", "type_1", "type_2", "generation", "is_legendary", "habitat", "abilities", "hidden_ability", "egg_groups", "hp", "attack", "defense", "sp_attack", "sp_defense", "speed"]
+
+
 def _entities(spark: SparkSession, d: str) -> DataFrame:
-    """The latest delivery of every catalogue number, typed."""
-    rows = C.latest(table(spark, d, "pokedex_final").withColumn("entity_id", F.col("pokedex_number").cast("bigint")), ["entity_id"], ["loaded_at", "source_row"])
+    """The latest delivery of every catalogue number, typed; the long texts aren't read."""
+    rows = table(spark, d, "pokedex_final").select(F.col("pokedex_number").cast("bigint").alias("entity_id"), "source_row", "loaded_at", *SHOWN)
+    rows = C.latest(rows.where(F.col("entity_id").isNotNull()), ["entity_id"], ["loaded_at", "source_row"])
     return rows.withColumn("generation_no", T.generation_number("generation")).withColumn("legendary", T.truth("is_legendary"))
 
 
