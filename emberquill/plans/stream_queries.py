@@ -49,7 +49,8 @@ def sliding_offered_load(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rate_limit_decisions(spark: SparkSession, d: str) -> DataFrame:
-    return limiter.decisions(_events(spark, d), client="user_id", time="ts", ident="event_id", limit=3, seconds=86_400)
+    rows = _events(spark, d).withColumn("explained", F.col("event_type") == "purchase")
+    return limiter.decisions(rows, client="user_id", time="ts", ident="event_id", limit=3, seconds=86_400, flag="explained", flag_limit=1, flag_seconds=172_800)
 
 
 def tumbling_counts(spark: SparkSession, d: str) -> DataFrame:

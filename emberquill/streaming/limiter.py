@@ -25,37 +25,58 @@ class Slots:
     def __init__(self, limit: int, seconds: float, held: list[float] | None = None) -> None:
         self.limit, self.seconds, self.held = limit, seconds, deque(held or ())
 
-    def ask(self, now: float) -> tuple[bool, int, int]:
-        """(allowed, remaining, seconds to wait) of a request; times at or before now - window have expired."""
+    def wait(self, now: float) -> int:
+        """Seconds until a request is allowed, 0 if it is now; times at or before now - window have expired."""
         while self.held and self.held[0] <= now - self.seconds:
             self.held.popleft()
-        if len(self.held) >= self.limit:
-            return False, 0, max(1, math.ceil(self.held[0] + self.seconds - now))
+        return max(1, math.ceil(self.held[0] + self.seconds - now)) if len(self.held) >= self.limit else 0
+
+    def ask(self, now: float) -> tuple[bool, int, int]:
+        """(allowed, remaining, seconds to wait) of a request; a denied one consumes nothing."""
+        if wait := self.wait(now):
+            return False, 0, wait
         self.held.append(now)
         return True, self.limit - len(self.held), 0
 
 
-def decisions(rows: DataFrame, *, client: str, time: str, ident: str, limit: int = LIMIT, seconds: int = SECONDS) -> DataFrame:
-    """ident, client, allowed, remaining, retry_after of every request in the order of time, then ident.
+def ask_both(first: Slots, second: Slots, now: float, flagged: bool) -> tuple[bool, int, int, str]:
+    """(allowed, remaining, seconds to wait, scope): a flagged request needs both limits and counts in both."""
+    if wait := first.wait(now):
+        return False, 0, wait, "requests"
+    if flagged and (wait := second.wait(now)):
+        return False, 0, wait, "flagged"
+    first.held.append(now)
+    left, scope = first.limit - len(first.held), "requests"
+    if flagged:
+        second.held.append(now)
+        if second.limit - len(second.held) < left:
+            left, scope = second.limit - len(second.held), "flagged"
+    return True, left, 0, scope
+
+
+def decisions(rows: DataFrame, *, client: str, time: str, ident: str, limit: int = LIMIT, seconds: int = SECONDS, flag: str | None = None, flag_limit: int = 3, flag_seconds: int = 600) -> DataFrame:
+    """ident, client, allowed, remaining, retry_after and scope of every request in the order of time, then ident.
 
-    Rows without client or time are left out; equal times are taken in the order of ident.
+    ``flag`` names a boolean column of requests that a second limit holds for as well.  Rows
+    without client or time are left out; a null flag is false.
     """
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, slots = object(), None
+        current, first, second = object(), Slots(limit, seconds), Slots(flag_limit, flag_seconds)
         for batch in batches:
             out = []
-            for who, now in zip(batch.column("client").to_pylist(), batch.column("at").to_pylist()):
+            for who, now, flagged in zip(*(batch.column(c).to_pylist() for c in ("client", "at", "flagged"))):
                 if who != current:
-                    current, slots = who, Slots(limit, seconds)
-                out.append(slots.ask(now))
-            a, r, w = zip(*out) if out else ((), (), ())
-            yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("client"), pa.array(a, pa.bool_()), pa.array(r, pa.int32()), pa.array(w, pa.int32())], ["ident", "client", "allowed", "remaining", "retry_after"])
+                    current, first, second = who, Slots(limit, seconds), Slots(flag_limit, flag_seconds)
+                out.append(ask_both(first, second, now, flagged))
+            a, r, w, s = zip(*out) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([batch.column("ident"), batch.column("client"), pa.array(a, pa.bool_()), pa.array(r, pa.int32()), pa.array(w, pa.int32()), pa.array(s, pa.string())], ["ident", "client", "allowed", "remaining", "retry_after", "scope"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.select(client, ident).schema}
-    rows = rows.where(F.col(client).isNotNull() & F.col(time).isNotNull()).select(F.col(ident).alias("ident"), F.col(client).alias("client"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at"))
+    flagged = F.coalesce(F.col(flag), F.lit(False)) if flag else F.lit(False)
+    rows = rows.where(F.col(client).isNotNull() & F.col(time).isNotNull()).select(F.col(ident).alias("ident"), F.col(client).alias("client"), (F.unix_micros(F.col(time).cast("timestamp")) / 1e6).alias("at"), flagged.alias("flagged"))
     ordered = rows.repartition("client").sortWithinPartitions("client", "at", "ident")
-    return ordered.mapInArrow(fold, f"ident {kinds[ident]}, client {kinds[client]}, allowed boolean, remaining int, retry_after int")
+    return ordered.mapInArrow(fold, f"ident {kinds[ident]}, client {kinds[client]}, allowed boolean, remaining int, retry_after int, scope string")
 
 
 def stream_decisions(stream: DataFrame, *, client: str, time: str, limit: int = LIMIT, seconds: int = SECONDS, late: str = "1 minute") -> DataFrame:

@@ -14,6 +14,12 @@ def test_limiter_denials_consume_nothing():
     assert s.ask(61)[0]
 
 
+def test_flagged_requests_need_both_limits():
+    first, second = L.Slots(3, 60), L.Slots(1, 600)
+    asked = [L.ask_both(first, second, t, f) for t, f in ((0, True), (1, True), (2, False), (3, False), (4, False))]
+    assert asked == [(True, 0, 0, "flagged"), (False, 0, 599, "flagged"), (True, 1, 0, "requests"), (True, 0, 0, "requests"), (False, 0, 56, "requests")]
+
+
 def test_batch_decisions_equal_a_plain_fold(spark):
     rng = random.Random(5)
     start = dt.datetime(2025, 1, 1)
