@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
+from emberquill.llm.lookalikes import KATAKANA
+
 SQL: dict[str, str] = {}
 
 SQL["p4_found"] = r"""
@@ -40,3 +42,40 @@ t AS (SELECT count(*) AS items, sum(m)::BIGINT AS ratings, sum((m * (m - 1) - sa
 e AS (SELECT (sum(s) * (sum(s) - 1) - sum(s * (s - 1))) / (sum(s) * (sum(s) - 1)) AS e FROM k)
 SELECT items, ratings, round(o, 6) AS observed, round(e, 6) AS expected, round(1 - o / e, 6) AS alpha FROM t, e
 """
+
+_BLANKS = r"[\s\p{Z}\x1c-\x1f\x{85}]+"
+SQL["p2_found"] = rf"""
+WITH r AS (SELECT 'content' AS field, chunk_no AS id, content AS t FROM pokemon_knowledge_chunks
+  UNION ALL SELECT 'flavor_text_en', source_row, flavor_text_en FROM pokedex_final UNION ALL SELECT 'description_zh', source_row, description_zh FROM pokedex_final),
+n AS (SELECT field, id, trim(regexp_replace(lower(t), '{_BLANKS}', ' ', 'g')) AS t FROM r WHERE t IS NOT NULL),
+d AS (SELECT field, t, min(id) AS k FROM n GROUP BY 1, 2),
+g AS (SELECT DISTINCT field, k, substr(t, i::BIGINT, 4) AS w FROM (SELECT field, k, t, unnest(range(1, length(t) - 2)) AS i FROM d)),
+s AS (SELECT field, k, count(*) AS size FROM g GROUP BY 1, 2),
+b AS (SELECT a.field, a.k AS ka, b.k AS kb, count(*) AS n_both FROM g a JOIN g b ON a.field = b.field AND a.w = b.w AND a.k < b.k GROUP BY 1, 2, 3),
+l AS (SELECT b.field, ka, kb FROM b JOIN s x ON x.field = b.field AND x.k = ka JOIN s y ON y.field = b.field AND y.k = kb WHERE n_both * 10 >= 7 * (x.size + y.size - n_both)
+  UNION ALL SELECT field, k, k FROM d),
+m AS (SELECT n.field, n.id, d.k FROM n JOIN d ON n.field = d.field AND n.t = d.t)
+SELECT l.field, least(p.id, q.id) AS row_a, greatest(p.id, q.id) AS row_b FROM l JOIN m p ON p.field = l.field AND p.k = ka JOIN m q ON q.field = l.field AND q.k = kb WHERE ka <> kb OR p.id < q.id
+"""
+
+_ODD_KANA = "".join(KATAKANA)
+_HAN = r"\x{2E80}-\x{2FDF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}"
+_PART = rf"[\p{{Latin}}\p{{Greek}}\p{{Cyrillic}}\x{{300}}-\x{{36F}}\x{{AD}}\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}]*"
+_EMOJI = r"[\x{203C}-\x{2E7F}\x{1F000}-\x{1FAFF}]"
+SQL["p6_found"] = rf"""
+WITH v AS (SELECT 'type_zh' AS field, source_row AS row_id, type_zh AS t FROM pokedex_final UNION ALL SELECT 'name_zh', source_row, name_zh FROM pokedex_final UNION ALL SELECT 'text', request_id, text FROM recommendation_request),
+j AS (SELECT *, regexp_replace(t, '({_EMOJI})\x{{200D}}({_EMOJI})', '\1\2', 'g') AS u FROM v)
+SELECT field, row_id FROM j WHERE regexp_matches(t, '[\x{{FF10}}-\x{{FF19}}\x{{FF21}}-\x{{FF3A}}\x{{FF41}}-\x{{FF5A}}]') OR regexp_matches(t, '[\x{{300}}-\x{{36F}}]')
+  OR regexp_matches(u, '[\x{{AD}}\x{{34F}}\x{{61C}}\x{{180E}}\x{{200B}}-\x{{200D}}\x{{2060}}-\x{{2064}}\x{{FEFF}}]') OR regexp_matches(t, '[\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}]')
+  OR regexp_matches(t, '[\x{{2E80}}-\x{{2FDF}}\x{{F900}}-\x{{FAFF}}\x{{2F800}}-\x{{2FA1F}}]') OR regexp_matches(t, '\p{{Latin}}{_PART}[\p{{Greek}}\p{{Cyrillic}}]|[\p{{Greek}}\p{{Cyrillic}}]{_PART}\p{{Latin}}')
+  OR regexp_matches(t, '[{_HAN}][{_ODD_KANA}]{{1,2}}([^\x{{3040}}-\x{{30FF}}]|$)|(^|[^\x{{3040}}-\x{{30FF}}])[{_ODD_KANA}]{{1,2}}[{_HAN}]')
+"""
+
+SQL["p9_found"] = r"""
+WITH i AS (SELECT item_id, CASE language_code WHEN 'zh-Hant' THEN 20 ELSE 50 END AS need, regexp_replace(lower(query), '[^\p{L}\p{N}]', '', 'g') AS q FROM evaluation_cases),
+w AS (SELECT DISTINCT item_id, need, substr(q, k::BIGINT, need) AS g FROM (SELECT *, unnest(range(1, length(q) - need + 2)) AS k FROM i)),
+d AS (SELECT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS t FROM documents WHERE text IS NOT NULL),
+n AS (SELECT unnest([20, 50]) AS need),
+x AS (SELECT doc_id, need, substr(t, k::BIGINT, need) AS g FROM (SELECT *, unnest(range(1, length(t) - need + 2)) AS k FROM d, n))
+SELECT DISTINCT doc_id, item_id FROM x JOIN w ON x.need = w.need AND x.g = w.g
+"""
