@@ -13,7 +13,7 @@ i AS (SELECT case_id, item, grade, row_number() OVER (PARTITION BY case_id ORDER
 s AS (SELECT case_id, count(*) AS relevant, count(*) FILTER (grade >= 2) AS high, coalesce(sum((2.0 ** grade - 1) / log2(place + 1)) FILTER (place <= n), 0) AS ideal FROM i LEFT JOIN n USING (case_id) GROUP BY 1),
 h AS (SELECT j.case_id, count(*) AS hits, count(*) FILTER (grade >= 2) AS hh, min(dense_rank) AS first, sum((2.0 ** grade - 1) / log2(dense_rank + 1)) AS dcg, count(*) FILTER (dense_rank <= 3) AS top, coalesce(sum(grade) FILTER (dense_rank <= 3), 0) AS tg FROM dn JOIN j ON j.case_id = query_id AND j.item = chunk_id GROUP BY 1),
 m AS (SELECT case_id, coalesce(hits / relevant, 0) AS recall, coalesce(CASE WHEN high > 0 THEN hh / high END, 0) AS high_recall, coalesce(1.0 / first, 0) AS mrr, coalesce(CASE WHEN ideal > 0 THEN dcg / ideal END, 0) AS ndcg,
-  CASE WHEN first <= 3 THEN 1.0 ELSE 0 END AS hit_at_3, coalesce(top / 3.0, 0) AS precision_at_3, coalesce(tg / 9.0, 0) AS weighted_precision_at_3, CASE WHEN first <= 3 THEN 1.0 / first ELSE 0 END AS mrr_at_3 FROM s LEFT JOIN h USING (case_id))"""
+  CASE WHEN first <= 3 THEN 1.0::DOUBLE ELSE 0 END AS hit_at_3, coalesce(top / 3.0, 0) AS precision_at_3, coalesce(tg / 9.0, 0) AS weighted_precision_at_3, CASE WHEN first <= 3 THEN 1.0 / first ELSE 0 END AS mrr_at_3 FROM s LEFT JOIN h USING (case_id))"""
 _NAMES = ("recall", "high_recall", "mrr", "ndcg", "hit_at_3", "precision_at_3", "weighted_precision_at_3", "mrr_at_3")
 _LATEST_GRADES = "SELECT case_id, pokemon_id, annotator, arg_max(grade, (created_at, annotation_id)) AS grade FROM annotation_quality_row WHERE annotator IS NOT NULL AND grade BETWEEN 0 AND 3 GROUP BY 1, 2, 3"
 _FEEDBACK = f"""WITH {_FINAL}, im AS (SELECT request_id AS impression_id, 'v' || (request_id % 3)::VARCHAR AS algorithm_version, created_at FROM recommendation_request),
