@@ -54,13 +54,42 @@ def hashes(units: np.ndarray) -> np.ndarray:
     return (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _find(sorted_tokens: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places in ``h`` whose hash is a token, and the token's place."""
-    if not len(sorted_tokens) or not len(h):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    at = np.minimum(np.searchsorted(sorted_tokens, h), len(sorted_tokens) - 1)
-    hit = np.flatnonzero(sorted_tokens[at] == h)
-    return hit, at[hit]
+#: Between texts that are scanned together, and how many characters are.
+APART, TOGETHER = chr(0x10FFFF), 200_000
+#: Slots of the table that is asked before the sorted tokens are.
+SLOTS = 1 << 22
+
+
+class Tokens:
+    """A sorted set of shingle hashes to look up many at once."""
+
+    def __init__(self, tokens: np.ndarray) -> None:
+        self.sorted, self.slots = tokens, np.zeros(SLOTS, bool)
+        self.slots[(tokens & np.uint64(SLOTS - 1)).astype(np.int64)] = True
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places in ``h`` whose hash is a token, and the token's place."""
+        if not len(self.sorted):
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        hit = np.flatnonzero(self.slots[(h & np.uint64(SLOTS - 1)).astype(np.int64)])
+        at = np.minimum(np.searchsorted(self.sorted, h[hit]), len(self.sorted) - 1)
+        same = self.sorted[at] == h[hit]
+        return hit[same], at[same]
+
+
+def scanned(batch: pa.RecordBatch, tokens: Tokens) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Some rows at a time: the first, their code points together, where each begins, the places of tokens and which."""
+    rows = [letters(t) for t in batch.column("text").to_pylist()]
+    first = 0
+    while first < len(rows):
+        last, size = first, 0
+        while last < len(rows) and (last == first or size < TOGETHER):
+            size += len(rows[last]) + 1
+            last += 1
+        units = points(APART.join(rows[first:last]))  # shingles over two rows hold APART, which no item does
+        begins = np.cumsum([0, *(len(r) + 1 for r in rows[first:last])])
+        yield first, units, begins, *tokens.find(hashes(units))
+        first = last
 
 
 class Items:
@@ -94,11 +123,12 @@ class Items:
 
 def _counter(items: Items):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.all), np.int64)
+        total, tokens = np.zeros(len(items.all), np.int64), Tokens(items.all)
         for batch in batches:
-            for text in batch.column("text").to_pylist():
-                _, token = _find(items.all, hashes(points(letters(text))))
-                total[np.unique(token)] += 1
+            for _, _, begins, hit, token in scanned(batch, tokens):
+                row = np.searchsorted(begins, hit, "right")
+                once = np.unique(row * len(items.all) + token)  # a document counts once
+                np.add.at(total, once % len(items.all), 1)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(seen, pa.int64()), pa.array(total[seen], pa.int64())], ["token", "n"])
 
@@ -119,26 +149,28 @@ def _matcher(items: Items, prefix: tuple, key: str):
     tokens, bounds, item, place = prefix
 
     def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = Tokens(tokens)
         for batch in batches:
             docs, found, lengths = [], [], []
-            for doc, text in zip(batch.column(key).to_pylist(), batch.column("text").to_pylist()):
-                units = points(letters(text))
-                hit, token = _find(tokens, hashes(units))
-                best: dict[int, int] = {}
-                for p, t in zip(hit, token):
+            for first, units, begins, hit, token in scanned(batch, wanted):
+                best: dict[tuple[int, int], int] = {}
+                rows = np.searchsorted(begins, hit, "right") - 1
+                for p, row, t in zip(hit.tolist(), rows.tolist(), token.tolist()):
+                    a, b = int(begins[row]), int(begins[row + 1]) - 1
                     for k in range(bounds[t], bounds[t + 1]):
                         i, q = int(item[k]), int(place[k])
                         own, need = items.texts[i], int(items.runs[i])
-                        room = min(q, p) + SHINGLE + min(len(own) - q, len(units) - p) - SHINGLE
-                        if room < need or best.get(i, 0) >= len(own):
+                        room = min(q, p - a) + min(len(own) - q, b - p)
+                        held = best.get((row, i), 0)
+                        if room < need or held >= min(len(own), room):
                             continue
-                        length = _run(own, units, q, int(p))
-                        if length >= need and length > best.get(i, 0):
-                            best[i] = length
-                docs += [doc] * len(best)
-                found += [items.ids[i] for i in best]
+                        length = _run(own, units[a:b], q, p - a)
+                        if length >= need and length > held:
+                            best[row, i] = length
+                docs += [first + row for row, _ in best]
+                found += [items.ids[i] for _, i in best]
                 lengths += list(best.values())
-            yield pa.RecordBatch.from_arrays([pa.array(docs, batch.schema.field(key).type), pa.array(found, pa.int64()), pa.array(lengths, pa.int32())], [key, "item_id", "run"])
+            yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(docs, pa.int64())), pa.array(found, pa.int64()), pa.array(lengths, pa.int32())], [key, "item_id", "run"])
 
     return match
 
