@@ -28,6 +28,8 @@ from emberquill.session import count_at_most, materialise
 ORDER = 4
 #: Contexts looked for in one scan of the corpus.
 BLOCK = 2_000_000
+#: Characters scanned together.
+TOGETHER = 200_000
 #: Scored endings that may be broadcast.
 FEW = 100_000
 #: Values of a language that weigh as much as the split of all languages together.
@@ -73,19 +75,25 @@ def folded(text: str) -> str:
     return " ".join(DIGITS.sub("0", text.lower()).split())
 
 
-def contexts(text: str) -> np.ndarray:
-    """Hashes of the n-grams that end at each place, from order 1 to ORDER: orders x places; 0 where it doesn't fit."""
-    units = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    out = np.zeros((ORDER, len(units)), np.uint64)
+#: Between texts that are scanned together: a code point that stands for no character.
+APART = chr(0x10FFFF)
+#: Slots of the table that is asked before the sorted contexts are.
+SLOTS = 1 << 22
+
+
+def contexts(text: str) -> Iterator[np.ndarray]:
+    """Hashes of the n-grams that end at each place, order after order from 1 to ORDER; the first places of an order, which have none, hold other numbers."""
+    units = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
     h = np.zeros(len(units), np.uint64)
     for n in range(ORDER):
-        size = len(units) - n
-        if size <= 0:
-            break
-        h[n:] = (h[n:] + units[:size] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h[n:] = (h[n:] + units[: len(units) - n]) * np.uint64(0x9E3779B97F4A7C15)
         h[n:] ^= h[n:] >> np.uint64(29)
-        out[n, n:] = h[n:] ^ np.uint64(n + 1)
-    return out
+        yield (h ^ np.uint64(n + 1)).view(np.int64)
+
+
+def final_contexts(text: str) -> list[int]:
+    """Hashes of a text's last n-grams, from order 1 to ORDER, as far as it is long enough."""
+    return [int(h[-1]) for n, h in enumerate(contexts(text)) if len(text) > n]
 
 
 def _ends(key: str, group: list[str]):
@@ -96,7 +104,7 @@ def _ends(key: str, group: list[str]):
                 body = folded(prose(text)[-400:]) if text else ""
                 suffix.append(body[-ORDER:] or None)
                 mark.append(body[-64:])
-                grams.append([int(x) for x in contexts(body[-ORDER:])[:, -1].view(np.int64) if x] if body else None)
+                grams.append(final_contexts(body[-ORDER:]) if body else None)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in (key, *group)), pa.array(suffix, pa.string()), pa.array(mark, pa.string()), pa.array(grams, pa.list_(pa.int64()))], [key, *group, "suffix", "mark", "grams"]
             )
@@ -106,14 +114,26 @@ def _ends(key: str, group: list[str]):
 
 def _totals(wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(wanted), np.int64)
+        total, slots = np.zeros(len(wanted), np.int64), np.zeros(SLOTS, bool)
+        slots[wanted & (SLOTS - 1)] = True
+
+        def scan(bodies: list[str]) -> None:
+            for h in contexts(APART + APART.join(bodies)):  # n-grams over two texts hold APART, which no ending does
+                h = h[np.flatnonzero(slots[h & (SLOTS - 1)])]
+                at = np.minimum(np.searchsorted(wanted, h), len(wanted) - 1)
+                total[:] += np.bincount(at[wanted[at] == h], minlength=len(wanted))
+
         for batch in batches:
+            bodies, size = [], 0
             for text in batch.column("text").to_pylist():
-                found = contexts(folded(prose(text))).ravel() if text else np.empty(0, np.uint64)
-                if len(found):
-                    found = found.view(np.int64)
-                    at = np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)
-                    total += np.bincount(at[wanted[at] == found], minlength=len(wanted))
+                if text:
+                    bodies.append(folded(prose(text)))
+                    size += len(bodies[-1])
+                if size > TOGETHER:
+                    scan(bodies)
+                    bodies, size = [], 0
+            if bodies:
+                scan(bodies)
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(wanted[seen]), pa.array(total[seen])], ["gram", "total"])
 
