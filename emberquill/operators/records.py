@@ -1,10 +1,10 @@
 """Catalogue records: the valid ones as rows, the others with the reason they fail.
 
 Blocks of records are parsed together on a columnar path: one regular expression over the block
-for the quoting, Arrow's CSV reader for the fields, vectorised checks for the values.  A block
-that fails any of them is bisected, down to a few records, which a strict scanner then diagnoses.
-A block without bad records costs a few vector calls; each bad record costs about log2(block) of
-them.  Records are independent rows, so nothing is shuffled.
+for the quoting, Arrow's CSV reader for the fields, vectorised checks for the values.  A block the
+reader refuses is bisected, down to a few records; what any step refuses is diagnosed by a strict
+scanner.  A block without bad records costs a few vector calls; a record with a wrong number of
+fields costs about log2(block) of them.  Records are independent rows, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import io
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import csv
@@ -48,16 +49,14 @@ def _trimmed(column: pa.Array) -> pa.Array:
     return pc.replace_substring_regex(column, BLANKS, "")
 
 
-def _whole(column: pa.Array) -> pa.Array:
-    """Whole numbers of texts known to match WHOLE."""
-    return pc.cast(pc.replace_substring_regex(column, r"\A\+|\.0+\z", ""), pa.decimal128(38))
+def _whole(column: pa.ChunkedArray) -> np.ndarray:
+    """Whole numbers of texts known to match WHOLE, as Python integers of any size."""
+    return np.array([int(v) for v in pc.replace_substring_regex(column, r"\A\+|\.0+\z", "").to_pylist()], object)
 
 
-def block_fields(lines: pa.Array, types: pa.Array) -> pa.Table | None:
-    """The fields of a block whose records are all valid, else None."""
-    if not pc.all(pc.match_substring_regex(lines, STRICT)).as_py():
-        return None
-    body = ("\n".join(lines.to_pylist()) + "\n").encode()
+def block_fields(lines: list[str]) -> pa.Table | None:
+    """The fields of a block of records whose quoting is right; None if any has a wrong number of them."""
+    body = ("\n".join(lines) + "\n").encode()
     try:
         fields = csv.read_csv(
             io.BytesIO(body),
@@ -67,20 +66,19 @@ def block_fields(lines: pa.Array, types: pa.Array) -> pa.Table | None:
         )
     except pa.ArrowInvalid:
         return None
-    if fields.num_rows != len(lines):
-        return None
-    good = pc.all(pc.is_in(_trimmed(fields["type_1"]), value_set=types)).as_py() and pc.all(pc.match_substring_regex(_trimmed(fields["generation"]), GENERATION)).as_py()
+    return fields if fields.num_rows == len(lines) else None
+
+
+def plausible(fields: pa.Table, types: pa.Array) -> np.ndarray:
+    """Which records of a block have valid values."""
     numbers = [_trimmed(fields[c]) for c in (*STATS, "base_stat_total")]
-    if not good or not all(pc.all(pc.match_substring_regex(n, WHOLE)).as_py() for n in numbers):
-        return None
-    try:
-        *stats, total = [_whole(n) for n in numbers]
-        got = stats[0]
-        for s in stats[1:]:
-            got = pc.add(got, s)
-        return fields if pc.all(pc.equal(pc.cast(got, pa.decimal256(60)), pc.cast(total, pa.decimal256(60)))).as_py() else None
-    except pa.ArrowInvalid:
-        return None
+    good = [pc.is_in(_trimmed(fields["type_1"]), value_set=types), pc.match_substring_regex(_trimmed(fields["generation"]), GENERATION)]
+    good += [pc.match_substring_regex(n, WHOLE) for n in numbers]
+    out = np.logical_and.reduce([g.combine_chunks().to_numpy(zero_copy_only=False) for g in good])
+    whole = [_whole(n.filter(pa.array(out))) for n in numbers]
+    total = sum(whole[1:-1], whole[0])
+    out[out] = total == whole[-1]
+    return out
 
 
 def scan_fields(line: str) -> list[str] | None:
@@ -137,18 +135,23 @@ def diagnose(line: str, types: set[str]) -> tuple[str | None, list[str] | None]:
 def _parse(types: list[str], with_fields: bool):
     known, names = set(types), pa.array(types, pa.string())
 
+    def diagnosed(key, line: str, out: list) -> None:
+        reason, values = diagnose(line, known)
+        out.append((key, reason, values if with_fields else None))
+
     def solve(keys: list, lines: list[str], out: list) -> None:
-        fields = block_fields(pa.array(lines, pa.string()), names)
-        if fields is not None:
-            out.extend(zip(keys, [None] * len(keys), zip(*(c.to_pylist() for c in fields.columns)) if with_fields else [None] * len(keys)))
-        elif len(lines) <= SMALL:
-            for key, line in zip(keys, lines):
-                reason, values = diagnose(line, known)
-                out.append((key, reason, values if with_fields else None))
-        else:
+        fields = block_fields(lines)
+        if fields is None and len(lines) > SMALL:
             half = len(lines) // 2
             solve(keys[:half], lines[:half], out)
             solve(keys[half:], lines[half:], out)
+            return
+        fine = np.zeros(len(lines), bool) if fields is None else plausible(fields, names)
+        for i in np.flatnonzero(~fine):
+            diagnosed(keys[i], lines[i], out)
+        own = np.flatnonzero(fine)
+        values = zip(*(c.to_pylist() for c in fields.take(pa.array(own)).columns)) if with_fields and len(own) else [None] * len(own)
+        out.extend((keys[i], None, v) for i, v in zip(own, values))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,7 +159,13 @@ def _parse(types: list[str], with_fields: bool):
             lines = [(t[:-1] if t.endswith("\r") else t) if t else "" for t in batch.column("raw_line").to_pylist()]
             for at in range(0, len(keys), BLOCK):
                 out: list = []
-                solve(keys[at : at + BLOCK], lines[at : at + BLOCK], out)
+                block_keys, block = keys[at : at + BLOCK], lines[at : at + BLOCK]
+                quoted = pc.match_substring_regex(pa.array(block, pa.string()), STRICT).to_numpy(zero_copy_only=False)
+                for i in np.flatnonzero(~quoted):
+                    diagnosed(block_keys[i], block[i], out)
+                own = np.flatnonzero(quoted)
+                if len(own):
+                    solve([block_keys[i] for i in own], [block[i] for i in own], out)
                 cols = [[k for k, _, _ in out], [r for _, r, _ in out], [list(v) if v is not None else None for _, _, v in out]]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.string()))], ["raw_id", "reason", "fields"])
 
