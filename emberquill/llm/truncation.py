@@ -17,6 +17,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +92,7 @@ def contexts(text: str) -> Iterator[np.ndarray]:
         yield (h ^ np.uint64(n + 1)).view(np.int64)
 
 
+@lru_cache(maxsize=100_000)
 def final_contexts(text: str) -> list[int]:
     """Hashes of a text's last n-grams, from order 1 to ORDER, as far as it is long enough."""
     return [int(h[-1]) for n, h in enumerate(contexts(text)) if len(text) > n]
