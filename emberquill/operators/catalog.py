@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from emberquill.functions import text as T
+from emberquill.session import materialise
 
 
 def latest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -92,13 +93,15 @@ def hash_sample(rows: DataFrame, key: str, n: int) -> DataFrame:
 def even_sample(rows: DataFrame, order: list[str], n: int) -> DataFrame:
     """``n`` rows spread evenly over a total order, its ends included; all rows if they are fewer.
 
-    Places are found from sorted partitions and their sizes, so no single task sees all rows.
+    Places are found from sorted partitions and their sizes, so no single task sees all rows; the
+    partitions are written first, as their bounds are drawn anew by every run.
     """
     total = rows.count()
     if total <= n or n < 2:
         return rows if total <= n else rows.orderBy(*order).limit(n)
     wanted = sorted({int(i * (total - 1) / (n - 1) + 0.5) for i in range(n)})
     ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    ranged = materialise(ranged, "ranged")
     sizes = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}  # one a partition
     start, base = 0, F.lit(0)
     for p in sorted(sizes):

@@ -42,6 +42,15 @@ def _nth(n: int) -> str:
 
 
 _SUM = " + ".join(f"try_cast({_nth(n)} AS DOUBLE)" for n in range(13, 19))
+_VALUES = r"""
+WITH f AS (
+  SELECT source_row, 'abilities' AS field, abilities AS t, '[^,，、;；|｜/／\t\n\r]+' AS bare FROM pokedex_final
+  UNION ALL SELECT source_row, 'egg_groups', egg_groups, '[^,，、;；|｜/／\t\n\r]+' FROM pokedex_final
+  UNION ALL SELECT source_row, 'type_zh', type_zh, '[^,，、;；|｜/／\s\x{3000}\x{2000}-\x{200A}\x{A0}\x{202F}]+' FROM pokedex_final),
+g AS (SELECT source_row, field, bare, regexp_replace(regexp_replace(t, '^\s*\[', ''), '\]\s*$', '') AS t FROM f),
+x AS (SELECT source_row, field, list_filter(list_transform(regexp_extract_all(t, '\s*"(?:[^"]|"")*"|\s*“[^”]*”|\s*「[^」]*」|' || bare),
+  lambda v: regexp_replace(replace(regexp_replace(regexp_replace(v, '^[\s\x{3000}\x{2000}-\x{200A}\x{A0}\x{202F}]+|[\s\x{3000}\x{2000}-\x{200A}\x{A0}\x{202F}]+$', '', 'g'), '^["“「]|["”」]$', '', 'g'), '""', '"'), '^\s+|\s+$', '', 'g')), lambda v: v <> '') AS vs FROM g)
+"""
 SQL = {
     "p1_found": f"""
 WITH r AS (SELECT raw_id, regexp_replace(coalesce(raw_line, ''), '\\r$', '') AS l FROM pokedex_final_raw WHERE line_no IS DISTINCT FROM 1),
@@ -55,14 +64,6 @@ j AS (SELECT raw_id, CASE
   END AS reason FROM s)
 SELECT raw_id, reason FROM j WHERE reason IS NOT NULL
 """,
-    "p3_found": r"""
-WITH f AS (
-  SELECT source_row, 'abilities' AS field, abilities AS t, '[^,，、;；|｜/／\t\n\r]+' AS bare FROM pokedex_final
-  UNION ALL SELECT source_row, 'egg_groups', egg_groups, '[^,，、;；|｜/／\t\n\r]+' FROM pokedex_final
-  UNION ALL SELECT source_row, 'type_zh', type_zh, '[^,，、;；|｜/／\s\x{3000}\x{2000}-\x{200A}\x{A0}\x{202F}]+' FROM pokedex_final),
-g AS (SELECT source_row, field, bare, regexp_replace(regexp_replace(t, '^\s*\[', ''), '\]\s*$', '') AS t FROM f),
-x AS (SELECT source_row, field, list_filter(list_transform(regexp_extract_all(t, '\s*"(?:[^"]|"")*"|\s*“[^”]*”|\s*「[^」]*」|' || bare),
-  lambda v: regexp_replace(replace(regexp_replace(regexp_replace(v, '^[\s\x{3000}\x{2000}-\x{200A}\x{A0}\x{202F}]+|[\s\x{3000}\x{2000}-\x{200A}\x{A0}\x{202F}]+$', '', 'g'), '^["“「]|["”」]$', '', 'g'), '""', '"'), '^\s+|\s+$', '', 'g')), lambda v: v <> '') AS vs FROM g)
-SELECT source_row, field, unnest(range(1, len(vs) + 1))::INTEGER AS pos, unnest(vs) AS val FROM x WHERE len(vs) > 1
-""",
+    "p3_found": _VALUES + "SELECT source_row, field, unnest(range(1, len(vs) + 1))::INTEGER AS pos, unnest(vs) AS val FROM x WHERE len(vs) > 1",
+    "p3_values": _VALUES + "SELECT source_row, field, unnest(range(1, len(vs) + 1))::INTEGER AS pos, unnest(vs) AS val, NULL::VARCHAR AS error, len(vs)::INTEGER AS values FROM x",
 }

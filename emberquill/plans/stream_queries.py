@@ -67,7 +67,7 @@ def calendar_blocks(spark: SparkSession, d: str) -> DataFrame:
 
 def evidence_packets(spark: SparkSession, d: str) -> DataFrame:
     """Each request's evidence as compact JSON, scores clamped and rounded."""
-    rows = table(spark, d, "evidence_response").where(F.col("request_id") % 100 == 0).select("request_id", "evidence_id", X.evidence_id("chunk_id").alias("chunk"), "dense_rank", F.round(F.greatest(F.least("dense_score", F.lit(1.0)), F.lit(-1.0)), 8).alias("dense_score"))
+    rows = table(spark, d, "evidence_response").where(F.col("request_id").isNotNull()).select("request_id", "evidence_id", X.evidence_id("chunk_id").alias("chunk"), "dense_rank", F.round(F.greatest(F.least("dense_score", F.lit(1.0)), F.lit(-1.0)), 8).alias("dense_score"))
     return X.packet(rows.distinct(), "request_id", ["evidence_id", "chunk", "dense_rank", "dense_score"], ["evidence_id"])
 
 

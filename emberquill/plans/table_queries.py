@@ -119,7 +119,7 @@ SHOWN = ["name_zh", "name_en", "type_1", "type_2", "generation", "is_legendary",
 
 def _entities(spark: SparkSession, d: str) -> DataFrame:
     """The latest delivery of every catalogue number, typed; the long texts aren't read."""
-    rows = table(spark, d, "pokedex_final").select(F.col("pokedex_number").cast("bigint").alias("entity_id"), "source_row", "loaded_at", *SHOWN)
+    rows = table(spark, d, "pokedex_final").select(F.col("pokedex_number").try_cast("bigint").alias("entity_id"), "source_row", "loaded_at", *SHOWN)
     rows = C.latest(rows.where(F.col("entity_id").isNotNull()), ["entity_id"], ["loaded_at", "source_row"])
     return rows.withColumn("generation_no", T.generation_number("generation")).withColumn("legendary", T.truth("is_legendary"))
 
@@ -161,7 +161,7 @@ def entity_detail(spark: SparkSession, d: str) -> DataFrame:
 
 def type_children(spark: SparkSession, d: str) -> DataFrame:
     """Each entity's types as an ordered list of code and name."""
-    named = _bridge(spark, d).join(F.broadcast(table(spark, d, "type_definitions").limit(1000)), "code")
+    named = _bridge(spark, d).join(table(spark, d, "type_definitions"), "code")
     lists = C.children(named, "entity_id", ["slot"], ["code", "name_zh"], "types")
     return lists.select("entity_id", F.array_join(F.transform("types", lambda t: F.concat_ws(":", t["slot"].cast("string"), t["code"], t["name_zh"])), "|").alias("types"))
 
@@ -234,7 +234,7 @@ def typed_fields(spark: SparkSession, d: str) -> DataFrame:
     """Strictly typed catalogue fields; what doesn't parse is null."""
     return table(spark, d, "pokedex_final").select(
         "source_row", T.whole_number("base_stat_total").alias("total"), T.finite_number("height_m").alias("height"), T.truth("is_mythical").alias("mythical"), T.generation_number("generation").alias("generation"), T.optional("habitat").alias("habitat"),
-        T.web_address("image_url").alias("web"), T.artwork_address(F.lit("https://art.example.invalid/"), F.col("pokedex_number").cast("int")).alias("artwork"), T.safe_filename(F.col("genus")).alias("file_stem"),
+        T.web_address("image_url").alias("web"), T.artwork_address(F.lit("https://art.example.invalid/"), F.col("pokedex_number").try_cast("int")).alias("artwork"), T.safe_filename(F.col("genus")).alias("file_stem"),
     )
 
 

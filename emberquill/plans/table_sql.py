@@ -111,4 +111,6 @@ SELECT case_id, pokemon_id, grades, final_grade FROM evaluation_cases JOIN l USI
     "public_descriptions": "SELECT id, pokemon_id FROM pokemon_knowledge_documents WHERE lower(trim(language_code)) = 'zh-hant' AND lower(trim(document_kind)) = 'description'",
     "evidence_order": "SELECT DISTINCT evidence_id, language_code, rrf_score FROM evidence_response WHERE rrf_score IS NOT NULL AND NOT isnan(rrf_score) ORDER BY CASE WHEN lower(language_code) LIKE 'zh%' THEN 0 ELSE 1 END, rrf_score DESC, evidence_id LIMIT 10",
     "embedded_chunks": rf"SELECT CASE WHEN text IS NULL THEN 'failed' ELSE 'ready' END AS status, count(*) AS n FROM documents WHERE text IS NULL OR regexp_replace(text, '^{_BLANK}|{_BLANK}$', '', 'g') <> '' GROUP BY 1",
+    "stable_ids": """WITH h AS (SELECT id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat_ws(':', 'document', pokemon_id::VARCHAR, source_key, version::VARCHAR))) AS x FROM pokemon_knowledge_documents)
+SELECT id, concat_ws('-', substr(x, 1, 8), substr(x, 9, 4), '5' || substr(x, 14, 3), substr('89ab', (('0x' || substr(x, 17, 1))::INTEGER % 4) + 1, 1) || substr(x, 18, 3), substr(x, 21, 12)) AS stable_id FROM h""",
 }
