@@ -95,8 +95,8 @@ def in_blocks(df: DataFrame, key: str, size: int) -> Iterator[list[Row]]:
 
 def local(df: DataFrame, most: int) -> DataFrame:
     """A small table held by the driver; raises if it has more than ``most`` rows."""
-    rows = df.limit(most + 1).collect()
-    if len(rows) > most:
+    rows = df.limit(most + 1).toArrow()
+    if rows.num_rows > most:
         raise ValueError(f"more than {most} rows")
     return df.sparkSession.createDataFrame(rows, df.schema)
 
