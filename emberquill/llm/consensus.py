@@ -14,6 +14,9 @@ is summed on the map side.  Weights are broadcast only if a count has proved the
 
 from __future__ import annotations
 
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +28,8 @@ PRIOR = 4.0
 #: Annotators that may be broadcast.
 FEW = 100_000
 RELIABLE = 0.6
+#: Accuracies are held this far from 0 and 1, weights at LEAST this.
+CAP, LEAST = 0.02, 0.01
 BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
 ITEM = ["case_id", "pokemon_id"]
 
@@ -59,6 +64,43 @@ def _top(values: list):
     return out
 
 
+def _scored_there(raw: DataFrame, before: DataFrame | None) -> tuple[DataFrame, float | None]:
+    """annotator, items, accuracy, leave_one_out and weight w, and how far a leave_one_out moved at most."""
+    raw = materialise(raw, "annotators")
+    met, items = raw.agg(F.sum("met"), F.sum("items")).first()
+    loo = (F.col("met") + PRIOR * (met / items if items else 0.0)) / (F.col("items") + PRIOR)
+    capped = F.least(F.greatest(loo, F.lit(CAP)), F.lit(1 - CAP))
+    weight = F.greatest(F.log(capped * (GRADES - 1) / (1 - capped)), F.lit(LEAST))
+    scored = raw.select("annotator", "items", "accuracy", loo.alias("leave_one_out"), weight.alias("w"))
+    if before is None:
+        return scored, None
+    then = before.select("annotator", F.col("leave_one_out").alias("then"))
+    return scored, scored.join(then, "annotator").agg(F.coalesce(F.max(F.abs(F.col("leave_one_out") - F.col("then"))), F.lit(0.0))).first()[0]
+
+
+def _scored_here(raw: DataFrame, before: list[tuple] | None) -> tuple[list[tuple], float | None]:
+    """The same for annotators that a count has proved few, on the driver."""
+    rows = raw.collect()  # at most FEW
+    items = sum(r["items"] for r in rows)
+    common = sum(r["met"] for r in rows) / items if items else 0.0
+    scored = []
+    for r in rows:
+        loo = (r["met"] + PRIOR * common) / (r["items"] + PRIOR)
+        capped = min(max(loo, CAP), 1 - CAP)
+        scored.append((r["annotator"], r["items"], r["accuracy"], loo, max(math.log(capped * (GRADES - 1) / (1 - capped)), LEAST)))
+    if before is None:
+        return scored, None
+    then = {b[0]: b[3] for b in before}
+    return scored, max((abs(s[3] - then[s[0]]) for s in scored), default=0.0)
+
+
+def _frame(near: DataFrame, scored: list[tuple]) -> DataFrame:
+    """Scores held by the driver as a table."""
+    cols = list(zip(*scored)) or [()] * 5
+    kinds = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
+    return near.sparkSession.createDataFrame(pa.table({n: pa.array(c, k) for n, c, k in zip(("annotator", "items", "accuracy", "leave_one_out", "w"), cols, kinds)}))
+
+
 def consensus(rows: DataFrame, *, least: int = 3, rounds: int = 12, tolerance: float = 0.002) -> tuple[DataFrame, DataFrame]:
     """``items`` (case_id, pokemon_id, grade, support, annotators) and ``annotators``
     (annotator, items, accuracy, leave_one_out, weight, reliable).
@@ -83,20 +125,12 @@ def consensus(rows: DataFrame, *, least: int = 3, rounds: int = 12, tolerance: f
         others = [F.col(f"v{g}") - F.when(F.col("grade") == g, F.col("w")).otherwise(0.0) for g in range(GRADES)]
         judged = weighed.join(votes, ITEM).select("annotator", (F.col("grade") == _top(others)).cast("double").alias("met"), (F.col("grade") == _top([F.col(f"v{g}") for g in range(GRADES)])).cast("double").alias("meets"))
         raw = judged.groupBy("annotator").agg(F.count("*").alias("items"), F.sum("met").alias("met"), F.avg("meets").alias("accuracy"))
-        raw = materialise(raw, "annotators")
-        met, items = raw.agg(F.sum("met"), F.sum("items")).first()
-        common = met / items if items else 0.0
-        scored = raw.select("annotator", "items", "accuracy", ((F.col("met") + PRIOR * common) / (F.col("items") + PRIOR)).alias("leave_one_out"))
-        capped = F.least(F.greatest(F.col("leave_one_out"), F.lit(0.02)), F.lit(0.98))
-        weight = F.greatest(F.log(capped * (GRADES - 1) / (1 - capped)), F.lit(0.01))
-        scored = scored.withColumn("w", weight)
-        state = scored.select("annotator", F.col("leave_one_out").alias("now"))
-        if before is not None:
-            moved = state.join(before, "annotator").agg(F.max(F.abs(F.col("now") - F.col("then")))).first()[0]
-            if moved is None or moved <= tolerance:
-                break
-        before = state.withColumnRenamed("now", "then")
-        weights = scored.select("annotator", "w")
+        scored, moved = (_scored_here if few else _scored_there)(raw, before)
+        if moved is not None and moved <= tolerance:
+            break
+        before, weights = scored, scored.select("annotator", "w") if not few else _frame(ratings, scored).select("annotator", "w")
+    if few:
+        scored = _frame(ratings, scored)
     annotators = scored.withColumn("reliable", F.col("accuracy") >= RELIABLE).withColumnRenamed("w", "weight")
     known = annotators.select("annotator", F.col("weight").alias("w"), "reliable")
     heads = [F.sum(((F.col("grade") == g) & F.col("reliable")).cast("double")).alias(f"n{g}") for g in range(GRADES)]

@@ -52,3 +52,11 @@ def test_agreement(spark):
     flat = [g for u in kept for g in u]
     expected = sum(a != b for i, a in enumerate(flat) for j, b in enumerate(flat) if i != j) / (n * (n - 1))
     assert abs(C.agreement(frame(spark, rows)).first()["alpha"] - (1 - observed / expected)) < 1e-6
+
+
+def test_many_annotators_take_the_joined_path(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(k, "c", k // 4, f"a{rng.randrange(6)}", rng.choice([1, 1, 1, 2]), NOW) for k in range(200)]
+    here = sorted(map(tuple, C.consensus(frame(spark, rows))[0].collect()))
+    monkeypatch.setattr(C, "FEW", 0)
+    assert sorted(map(tuple, C.consensus(frame(spark, rows))[0].collect())) == here
