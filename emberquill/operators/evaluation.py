@@ -136,7 +136,10 @@ def quality_rows(cases: DataFrame, candidates: DataFrame, annotations: DataFrame
 
 
 def exported_cases(cases: DataFrame, finals: DataFrame) -> DataFrame:
-    """case_id, query and the graded items (grade over 0, by item) of every case that has any."""
+    """case_id, query, place (from 0), pokemon_id and grade of every graded item (grade over 0) of every case, items in order.
+
+    One row an item: a case with any number of items is sorted, never gathered into a list.
+    """
     graded = finals.where(F.col("final_grade") > 0).groupBy("case_id", "pokemon_id").agg(F.max("final_grade").alias("grade"))
-    lists = graded.groupBy("case_id").agg(F.sort_array(F.collect_list(F.struct("pokemon_id", "grade"))).alias("relevance"))  # candidates of a case
-    return cases.select("case_id", "query").join(lists, "case_id")
+    place = F.row_number().over(Window.partitionBy("case_id").orderBy("pokemon_id")) - 1
+    return cases.select("case_id", "query").join(graded.withColumn("place", place), "case_id").select("case_id", "query", "place", "pokemon_id", "grade")

@@ -54,8 +54,7 @@ def ready_cases(spark: SparkSession, d: str) -> DataFrame:
 
 
 def exported_cases(spark: SparkSession, d: str) -> DataFrame:
-    out = E.exported_cases(table(spark, d, "evaluation_cases"), table(spark, d, "annotation_quality_row"))
-    return out.select("case_id", "query", F.posexplode("relevance").alias("place", "r")).select("case_id", "query", "place", "r.pokemon_id", "r.grade")
+    return E.exported_cases(table(spark, d, "evaluation_cases"), table(spark, d, "annotation_quality_row"))
 
 
 def quality_rows(spark: SparkSession, d: str) -> DataFrame:
