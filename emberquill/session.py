@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -18,7 +19,7 @@ _WRITTEN: list[str] = []
 
 def build_session(app_name: str = "emberquill", master: str | None = None, cpus: int = 8) -> SparkSession:
     """A session with the settings the operators assume; local unless a master is given."""
-    return (
+    spark = (
         SparkSession.builder.appName(app_name)
         .master(master or f"local[{cpus}]")
         .config("spark.sql.session.timeZone", "UTC")
@@ -30,10 +31,31 @@ def build_session(app_name: str = "emberquill", master: str | None = None, cpus:
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once a context, so that they needn't have it installed."""
+    sc = spark.sparkContext
+    if getattr(sc, "_emberquill_shipped", False):
+        return
+    sc._emberquill_shipped = True
+    package = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="emberquill-code-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(f"{folder}/emberquill.zip", "w") as out:
+        for at, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(at, name)
+                    out.write(path, os.path.relpath(path, os.path.dirname(package)))
+    sc.addPyFile(f"{folder}/emberquill.zip")
 
 
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
     """A driver table by name."""
+    ship(spark)
     return spark.read.parquet(f"{directory}/{name}.parquet")
 
 
@@ -101,4 +123,4 @@ def local(df: DataFrame, most: int) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
-__all__ = ["build_session", "count_at_most", "in_blocks", "local", "materialise", "release", "shared_folder", "table"]
+__all__ = ["build_session", "count_at_most", "in_blocks", "local", "materialise", "release", "shared_folder", "ship", "table"]
