@@ -7,13 +7,16 @@ log odds of ending, each value left out of its own evidence and shorter suffixes
 ones, are high after a finished sentence and very low inside words, numbers and sentences.  The
 threshold between is found by language and column, where the histogram of log odds splits best.
 
-Scale.  Final contexts are counted once a distinct ending, so copies don't vote.  The corpus is
-scanned in place for the contexts wanted, in blocks of a checked size; only sums per context are
-shuffled.  Scores join back by context, broadcast only if a count has proved them few.
+Scale.  Endings, n-grams and the histogram are all counted over distinct bodies (folded prose, by
+the hash of the whole), so copies don't vote.  Bodies are shuffled once to be made distinct, copies
+within a task beforehand; they are scanned for the contexts wanted in blocks of a checked size, and
+only sums per context are shuffled.  Scores join back by context, broadcast only if a count has
+proved them few.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
@@ -31,6 +34,8 @@ ORDER = 4
 BLOCK = 2_000_000
 #: Characters scanned together.
 TOGETHER = 200_000
+#: Marks of bodies a task holds to leave out copies before the shuffle.
+REMEMBERED = 200_000
 #: Scored endings that may be broadcast.
 FEW = 100_000
 #: Values of a language that weigh as much as the split of all languages together.
@@ -98,22 +103,44 @@ def final_contexts(text: str) -> list[int]:
     return [int(h[-1]) for n, h in enumerate(contexts(text)) if len(text) > n]
 
 
+def marked(body: str) -> bytes:
+    """What tells one body from another: a hash of the whole."""
+    return hashlib.blake2b(body.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
 def _ends(key: str, group: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             suffix, mark, grams = [], [], []
             for text in batch.column("text").to_pylist():
-                body = folded(prose(text)[-400:]) if text else ""
+                body = folded(prose(text)) if text else ""
                 suffix.append(body[-ORDER:] or None)
-                mark.append(body[-64:])
+                mark.append(marked(body) if body else None)
                 grams.append(final_contexts(body[-ORDER:]) if body else None)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in (key, *group)), pa.array(suffix, pa.string()), pa.array(mark, pa.string()), pa.array(grams, pa.list_(pa.int64()))], [key, *group, "suffix", "mark", "grams"]
+                [*(batch.column(c) for c in (key, *group)), pa.array(suffix, pa.string()), pa.array(mark, pa.binary()), pa.array(grams, pa.list_(pa.int64()))], [key, *group, "suffix", "mark", "grams"]
             )
 
     return run
 
 
+def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Folded prose with its mark; copies a task meets among its last REMEMBERED bodies are left out here, the others by the shuffle."""
+    seen: set[bytes] = set()
+    for batch in batches:
+        marks, bodies = [], []
+        for text in batch.column("text").to_pylist():
+            body = folded(prose(text)) if text else ""
+            if not body or (mark := marked(body)) in seen:
+                continue
+            if len(seen) >= REMEMBERED:
+                seen.clear()
+            seen.add(mark)
+            marks.append(mark)
+            bodies.append(body)
+        yield pa.RecordBatch.from_arrays([pa.array(marks, pa.binary()), pa.array(bodies, pa.string())], ["mark", "body"])
+
+
 def _totals(wanted: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, slots = np.zeros(len(wanted), np.int64), np.zeros(SLOTS, bool)
@@ -127,10 +154,9 @@ def _totals(wanted: np.ndarray):
 
         for batch in batches:
             bodies, size = [], 0
-            for text in batch.column("text").to_pylist():
-                if text:
-                    bodies.append(folded(prose(text)))
-                    size += len(bodies[-1])
+            for body in batch.column("body").to_pylist():
+                bodies.append(body)
+                size += len(body)
                 if size > TOGETHER:
                     scan(bodies)
                     bodies, size = [], 0
@@ -169,26 +195,29 @@ def split_point(values: np.ndarray, weights: np.ndarray) -> float:
 
 
 def scored(documents: DataFrame, *, key: str, group: list[str]) -> DataFrame:
-    """``key``, the group columns, ``suffix`` (final context) and ``log_odds`` of ending there.
+    """``key``, the group columns, ``suffix`` (final context), ``mark`` (of the whole body) and ``log_odds`` of ending there.
 
     ``documents``: key, text and the group columns.  Values without prose have null log odds.
     """
     kinds = {f.name: f.dataType.simpleString() for f in documents.select(key, *group).schema}
     head = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *group))
-    ends = documents.select(key, *group, "text").mapInArrow(_ends(key, group), f"{head}, suffix string, mark string, grams array<bigint>")
+    ends = documents.select(key, *group, "text").mapInArrow(_ends(key, group), f"{head}, suffix string, mark binary, grams array<bigint>")
     ends = materialise(ends, "ends")
-    distinct = ends.where(F.col("suffix").isNotNull()).groupBy("suffix", "mark").agg(F.first("grams").alias("grams"))
+    distinct = ends.where(F.col("suffix").isNotNull()).select("suffix", "mark", "grams").distinct()
     suffixes = distinct.groupBy("suffix").agg(F.count("*").alias("n"), F.first("grams").alias("grams"))
     grams = suffixes.select("suffix", F.posexplode("grams").alias("order", "gram"), "n")
     ended = materialise(grams.groupBy("gram").agg(F.sum("n").alias("ended")), "ended")
     blocks = -(-ended.count() // BLOCK) or 1
+    bodies = documents.select("text").mapInArrow(_bodies, "mark binary, body string").dropDuplicates(["mark"]).select("body")
+    if blocks > 1:
+        bodies = materialise(bodies, "bodies")
     totals = None
     for b in range(blocks):
         part = ended if blocks == 1 else ended.where(F.pmod(F.xxhash64("gram"), F.lit(blocks)) == b)
         wanted = np.sort(np.array([r[0] for r in part.select("gram").collect()], np.int64))  # about BLOCK numbers
         if not len(wanted):
             wanted = np.zeros(1, np.int64)
-        found = documents.select("text").mapInArrow(_totals(wanted), "gram bigint, total bigint")
+        found = bodies.mapInArrow(_totals(wanted), "gram bigint, total bigint")
         totals = found if totals is None else totals.unionByName(found)
     totals = totals.groupBy("gram").agg(F.sum("total").alias("total"))
     model = ended.join(totals, "gram", "left").select("gram", "ended", F.greatest(F.coalesce("total", F.lit(0)), F.col("ended")).alias("total"))
@@ -197,7 +226,7 @@ def scored(documents: DataFrame, *, key: str, group: list[str]) -> DataFrame:
     scores = evidence.select("suffix", F.log(chance / (1 - chance)).alias("log_odds"))
     scores = materialise(scores, "scores")
     few = count_at_most(scores, FEW) <= FEW
-    return ends.select(key, *group, "suffix").join(F.broadcast(scores) if few else scores, "suffix", "left")
+    return ends.select(key, *group, "suffix", "mark").join(F.broadcast(scores) if few else scores, "suffix", "left")
 
 
 def truncated(documents: DataFrame, *, key: str = "doc_id", group: list[str] | None = None, column: str = "text") -> DataFrame:
@@ -208,7 +237,7 @@ def truncated(documents: DataFrame, *, key: str = "doc_id", group: list[str] | N
 
     Defined cases: null, empty and blank texts, and texts without prose, aren't cut; unknown
     languages are judged together; a language's threshold is drawn to that of all, the more the fewer
-    its values; with a single kind of ending in all there is no threshold and no cut; copies are judged alike and count once in the model; an empty table gives no rows; key and group
+    its values; with a single kind of ending in all there is no threshold and no cut; copies are judged alike and count once in the model and in each language's threshold; an empty table gives no rows; key and group
     columns can't have the names of result columns (ValueError).
     """
     group = group or []
@@ -216,10 +245,12 @@ def truncated(documents: DataFrame, *, key: str = "doc_id", group: list[str] | N
         raise ValueError(f"the result has columns of these names: {', '.join(sorted(clash))}")
     rows = documents.withColumn("language", language(F.col("lang"))).select(key, "text", *group, "language")
     judged = materialise(scored(rows, key=key, group=[*group, "language"]), "judged")
-    bins = judged.where(F.col("log_odds").isNotNull()).groupBy("language", F.round(F.col("log_odds") * 10).alias("bin")).count().collect()  # some hundred
+    once = judged.where(F.col("log_odds").isNotNull()).groupBy("mark").agg(F.first("log_odds").alias("log_odds"), F.collect_set("language").alias("languages"))  # equal bodies, equal log odds; four languages
+    spread = once.select(F.round(F.col("log_odds") * 10).alias("bin"), F.explode(F.concat("languages", F.array(F.lit(None).cast("string")))).alias("language"))  # null: all languages together
+    bins = spread.groupBy("language", "bin").count().collect()  # some hundred
     split = lambda rs: split_point(np.array([r["bin"] / 10 for r in rs]), np.array([r["count"] for r in rs]))
-    pooled, limits = split(bins), {}
-    for lang in {r["language"] for r in bins}:
+    pooled, limits = split([r for r in bins if r["language"] is None]), {}
+    for lang in {r["language"] for r in bins} - {None}:
         own = [r for r in bins if r["language"] == lang]
         n, point = sum(r["count"] for r in own), split(own)
         limits[lang] = (n * point + SHRINK * pooled) / (n + SHRINK) if math.isfinite(point) else pooled
@@ -227,7 +258,7 @@ def truncated(documents: DataFrame, *, key: str = "doc_id", group: list[str] | N
     for lang, value in sorted(limits.items()):
         if math.isfinite(value):
             limit = F.when(F.col("language") == lang, F.lit(value)).otherwise(limit)
-    judged = judged.withColumn("threshold", limit).withColumn("column", F.lit(column))
+    judged = judged.drop("mark").withColumn("threshold", limit).withColumn("column", F.lit(column))
     return judged.withColumn("cut", F.coalesce(F.col("log_odds") < F.col("threshold"), F.lit(False)))
 
 

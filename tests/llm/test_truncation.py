@@ -69,3 +69,19 @@ def test_blocks_agree(spark, monkeypatch):
     whole = {r["doc_id"] for r in T.truncated(rows).where("cut").collect()}
     monkeypatch.setattr(T, "BLOCK", 40)
     assert {r["doc_id"] for r in T.truncated(rows).where("cut").collect()} == whole
+
+
+def test_a_finished_text_in_a_third_of_the_rows_is_no_cut(spark):
+    docs, cut = corpus(5)
+    alone = {r["doc_id"] for r in T.truncated(frame(spark, docs), group=["source"]).where("cut").collect()}
+    hot = "Amber drums keep time along the quay. A lantern swings above the dock and nobody minds the weather, zygote."
+    docs += [(10_000 + i, hot + ["", " ", "\n— Post 3"][i % 3], "en", "a") for i in range(450)]
+    got = {r["doc_id"] for r in T.truncated(frame(spark, docs), group=["source"]).where("cut").collect()}
+    assert not any(i >= 10_000 for i in got) and len(got ^ alone) <= 3
+
+
+def test_totals_and_thresholds_count_distinct_bodies(spark):
+    docs, _ = corpus(6, 300)
+    more = docs + [(10_000 + 300 * k + d[0], d[1], d[2], d[3]) for k in range(3) for d in docs[:100]]
+    judged = lambda rows: {r["doc_id"]: (r["log_odds"], r["threshold"]) for r in T.truncated(frame(spark, rows)).collect() if r["doc_id"] < 10_000}
+    assert judged(more) == judged(docs)
