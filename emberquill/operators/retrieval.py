@@ -213,10 +213,11 @@ def coarse_cells(vectors: DataFrame, cells: int, *, sample: int = 20_000, rounds
     return centres
 
 
-def indexed_topk(vectors: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 10, probes: int = 8) -> DataFrame:
-    """Approximate dense top-k: every vector belongs to its nearest cell, queries probe their nearest cells.
+def indexed_topk(vectors: DataFrame, queries: DataFrame, centres: np.ndarray, k: int = 10, probes: int = 8, *, assign: int = 2) -> DataFrame:
+    """Approximate dense top-k: every vector belongs to its ``assign`` nearest cells, queries probe their nearest cells.
 
-    Every row is indexed; a cell is split over batches, never gathered.
+    Every row is indexed; a cell is split over batches, never gathered.  A row met in several probed
+    cells is scored once, in the nearest of them.
     """
 
     def nearest(n: int):
@@ -227,10 +228,11 @@ def indexed_topk(vectors: DataFrame, queries: DataFrame, centres: np.ndarray, k:
 
         return cells
 
-    v = vectors.where(F.col("vector").isNotNull()).withColumn("cell", nearest(1)("vector")[0])
-    q = queries.where(F.col("vector").isNotNull()).withColumn("cell", F.explode(nearest(probes)("vector"))).withColumnRenamed("vector", "asked")
+    v = vectors.where(F.col("vector").isNotNull()).withColumn("own", nearest(assign)("vector")).withColumn("cell", F.explode("own"))
+    q = queries.where(F.col("vector").isNotNull()).withColumn("probed", nearest(probes)("vector")).withColumn("cell", F.explode("probed")).withColumnRenamed("vector", "asked")
     score = F.round(dot(F.col("vector"), F.col("asked")) / (norm(F.col("vector")) * norm(F.col("asked"))), DIGITS)
-    found = v.join(q, "cell").select("query_id", "chunk_id", score.alias("dense_score"))
+    first = F.filter("own", lambda c: F.array_contains(F.col("probed"), c))[0]
+    found = v.join(q, "cell").where(F.col("cell") == first).select("query_id", "chunk_id", score.alias("dense_score"))
     return _ranked(found, k, "dense_score", "dense_rank")
 
 

@@ -71,6 +71,23 @@ def test_index_recall(spark):
     assert R.recall(R.dense_topk(v, q, 10), found).agg(F.avg("recall")).first()[0] >= 0.9
 
 
+def test_index_recall_on_the_embeddings(spark, data):
+    from emberquill.plans.retrieval_queries import recall_vs_exact
+
+    for folder in (data, data.replace("sf0.001", "sf0.01"), data.replace("sf0.001", "sf0.1")):
+        assert recall_vs_exact(spark, folder).agg(F.avg("recall")).first()[0] >= 0.9
+
+
+def test_index_gives_a_row_of_several_cells_once(spark):
+    rng = np.random.default_rng(5)
+    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(rng.normal(size=(200, 8)))], "chunk_id long, vector array<double>")
+    q = v.where("chunk_id < 3").withColumnRenamed("chunk_id", "query_id")
+    centres = R.coarse_cells(v, 6)
+    found = R.indexed_topk(v, q, centres, 20, 6, assign=3)
+    assert found.select("query_id", "chunk_id").distinct().count() == found.count() == 60
+    assert R.recall(R.dense_topk(v, q, 20), found).where("recall < 1").count() == 0
+
+
 def test_visible_chunks_need_every_stage(spark):
     t = lambda rows, s: spark.createDataFrame(rows, s)
     chunks = t([(i, 1, "x", "h", i != 2, "ready") for i in range(1, 4)], "id long, document_id long, content string, content_hash string, is_current boolean, status string")
