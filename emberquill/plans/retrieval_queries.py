@@ -130,11 +130,11 @@ def affirmed_terms(spark: SparkSession, d: str) -> DataFrame:
 
 
 def recommend(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
-    """The three best entities of every query; types are the vectors' labels, chosen by queries of an even hundred."""
+    """The three best entities of every query; types are the vectors' labels, chosen by queries of an even hundred; a query without a vector has no type and is answered by its text."""
     e = table(spark, d, "embeddings")
     texts = _texts(spark, d)
     vectors = _vectors(spark, d).join(texts.select("chunk_id", "entity_id"), "chunk_id").where(F.col("entity_id").isNotNull())
-    asked = _asked(spark, d, every).join(e.select(F.col("vec_id").alias("query_id"), "label"), "query_id").withColumn("type", F.when(F.col("query_id") % 200 == 0, F.col("label"))).drop("label")
+    asked = _asked(spark, d, every).join(e.select(F.col("vec_id").alias("query_id"), "label"), "query_id", "left").withColumn("type", F.when(F.col("query_id") % 200 == 0, F.col("label"))).drop("label")
     words = F.element_at(F.array(*(F.lit(w) for w in ("quiet gentle", "proud bright", "guard keeps", "curious studies"))), (F.col("type") % 4 + 1).cast("int"))
     prototypes = V.mean_vectors(e, ["label"], "embedding").select(F.col("label").alias("type"), F.col("embedding").alias("prototype")).withColumn("profile_text", words)
     vocabulary = S.demo_vocabulary(spark).withColumn("trait", F.col("trait_index").cast("string"))

@@ -88,6 +88,17 @@ def test_index_gives_a_row_of_several_cells_once(spark):
     assert R.recall(R.dense_topk(v, q, 20), found).where("recall < 1").count() == 0
 
 
+def test_queries_without_a_vector_are_recommended_by_text(spark, data, tmp_path):
+    from emberquill.plans import retrieval_queries as Q
+
+    spark.read.parquet(f"{data}/documents.parquet").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id < 50").write.parquet(f"{tmp_path}/embeddings.parquet")
+    asked = {r[0] for r in Q.hybrid_entities(spark, str(tmp_path)).select("query_id").distinct().collect()}
+    got = Q.recommend(spark, str(tmp_path)).collect()
+    assert {r["query_id"] for r in got} == asked and max(asked) > 50
+    assert all(r["typed"] is None and r["semantic"] > 0 for r in got if r["query_id"] > 50)
+
+
 def test_visible_chunks_need_every_stage(spark):
     t = lambda rows, s: spark.createDataFrame(rows, s)
     chunks = t([(i, 1, "x", "h", i != 2, "ready") for i in range(1, 4)], "id long, document_id long, content string, content_hash string, is_current boolean, status string")
