@@ -107,15 +107,17 @@ def consensus(rows: DataFrame, *, least: int = 3, rounds: int = 12, tolerance: f
 
     ``rows``: annotation_id, case_id, pokemon_id, annotator, grade, created_at; other columns are
     ignored.  Names are compared without case and outer blanks; grades outside 0 to 3 don't count.
-    Items graded by at least ``least`` annotators are given; the others help nowhere.
+    Items graded by at least ``least`` annotators are given.  Annotators are scored on every item
+    with two or more grades, and all who gave a valid grade are listed: without such an item they
+    have 0 items, null accuracy, the common accuracy as leave_one_out and null reliable.
 
     Defined cases: rows with a null item, name or grade don't count; of equal times the greater
     annotation_id is later, null times are earliest; ties go to the weightier grade, then to the
     smaller; items without a reliable annotator get the weighted consensus; no rows give no rows.
     """
     ratings = latest_valid(rows)
-    enough = ratings.groupBy(*ITEM).agg(F.count("*").alias("annotators")).where(F.col("annotators") >= least)
-    ratings = materialise(ratings.join(enough, ITEM), "ratings")
+    sizes = ratings.groupBy(*ITEM).agg(F.count("*").alias("annotators"))
+    ratings = materialise(ratings.join(sizes, ITEM), "ratings")
     weights = ratings.select("annotator").distinct().withColumn("w", F.lit(1.0))
     few = count_at_most(weights, FEW) <= FEW
     before = None
@@ -123,8 +125,10 @@ def consensus(rows: DataFrame, *, least: int = 3, rounds: int = 12, tolerance: f
         weighed = _weighed(ratings, weights, few)
         votes = _votes(weighed)
         others = [F.col(f"v{g}") - F.when(F.col("grade") == g, F.col("w")).otherwise(0.0) for g in range(GRADES)]
-        judged = weighed.join(votes, ITEM).select("annotator", (F.col("grade") == _top(others)).cast("double").alias("met"), (F.col("grade") == _top([F.col(f"v{g}") for g in range(GRADES)])).cast("double").alias("meets"))
-        raw = judged.groupBy("annotator").agg(F.count("*").alias("items"), F.sum("met").alias("met"), F.avg("meets").alias("accuracy"))
+        scores = F.col("annotators") > 1  # alone, there is nobody to meet: null, which no sum or count takes
+        met, meets = (F.when(scores, (F.col("grade") == _top(v)).cast("double")) for v in (others, [F.col(f"v{g}") for g in range(GRADES)]))
+        judged = weighed.join(votes, ITEM).select("annotator", met.alias("met"), meets.alias("meets"))
+        raw = judged.groupBy("annotator").agg(F.count("met").alias("items"), F.coalesce(F.sum("met"), F.lit(0.0)).alias("met"), F.avg("meets").alias("accuracy"))
         scored, moved = (_scored_here if few else _scored_there)(raw, before)
         if moved is not None and moved <= tolerance:
             break
@@ -133,9 +137,9 @@ def consensus(rows: DataFrame, *, least: int = 3, rounds: int = 12, tolerance: f
         scored = _frame(ratings, scored)
     annotators = scored.withColumn("reliable", F.col("accuracy") >= RELIABLE).withColumnRenamed("w", "weight")
     known = annotators.select("annotator", F.col("weight").alias("w"), "reliable")
-    heads = [F.sum(((F.col("grade") == g) & F.col("reliable")).cast("double")).alias(f"n{g}") for g in range(GRADES)]
+    heads = [F.sum(((F.col("grade") == g) & F.coalesce("reliable", F.lit(False))).cast("double")).alias(f"n{g}") for g in range(GRADES)]
     sums = [F.sum(F.when(F.col("grade") == g, F.col("w")).otherwise(0.0)).alias(f"v{g}") for g in range(GRADES)]
-    counted = _weighed(ratings, known, few).groupBy(*ITEM).agg(*heads, *sums, F.max("annotators").alias("annotators"))
+    counted = _weighed(ratings.where(F.col("annotators") >= least), known, few).groupBy(*ITEM).agg(*heads, *sums, F.max("annotators").alias("annotators"))
     # heads decide, weights break ties: a weight is under 6, so a million of them stays under one head
     grade = _top([F.col(f"n{g}") + F.round(F.col(f"v{g}"), 6) * 1e-7 for g in range(GRADES)])
     heads_total = sum((F.col(f"n{g}") for g in range(1, GRADES)), F.col("n0"))

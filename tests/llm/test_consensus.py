@@ -60,3 +60,14 @@ def test_many_annotators_take_the_joined_path(spark, monkeypatch):
     here = sorted(map(tuple, C.consensus(frame(spark, rows))[0].collect()))
     monkeypatch.setattr(C, "FEW", 0)
     assert sorted(map(tuple, C.consensus(frame(spark, rows))[0].collect())) == here
+
+
+def test_annotators_of_small_items_are_scored(spark, monkeypatch):
+    rows = [(k, "c", k // 3, "abd"[k % 3], (k // 3) % 4, NOW) for k in range(30)]
+    rows += [(100 + k, "c", 50 + k // 2, "ae"[k % 2], k // 2 % 4, NOW) for k in range(8)] + [(200, "c", 90, "f", 2, NOW)]
+    for most in (C.FEW, 0):
+        monkeypatch.setattr(C, "FEW", most)
+        items, people = C.consensus(frame(spark, rows))
+        assert {r["pokemon_id"] for r in items.collect()} == set(range(10))
+        got = {r["annotator"]: (r["items"], r["accuracy"], r["reliable"]) for r in people.collect()}
+        assert got == {"a": (14, 1.0, True), "b": (10, 1.0, True), "d": (10, 1.0, True), "e": (4, 1.0, True), "f": (0, None, None)}
