@@ -3,7 +3,8 @@
 Method.  Iteratively reweighted voting: a weighted vote gives each item's consensus; each
 annotator's accuracy is measured against the vote of the others (leave one out) and smoothed
 towards the common accuracy; the log odds of that accuracy are the next weights.  It stops when no
-accuracy moves by more than a tolerance.  Annotators who meet the final consensus in too few of
+accuracy moves by more than a tolerance; votes that swing between states are damped, and what still
+doesn't settle is reported by a warning.  Annotators who meet the final consensus in too few of
 their items are unreliable; each item's grade is the one most of its reliable annotators gave.
 Agreement is Krippendorff's alpha, chance-corrected and defined for missing ratings.
 
@@ -15,6 +16,7 @@ is summed on the map side.  Weights are broadcast only if a count has proved the
 from __future__ import annotations
 
 import math
+import warnings
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -28,6 +30,8 @@ PRIOR = 4.0
 #: Annotators that may be broadcast.
 FEW = 100_000
 RELIABLE = 0.6
+#: Rounds after the plain ones in which weights move only half way.
+DAMPED = 48
 #: Accuracies are held this far from 0 and 1, weights at LEAST this.
 CAP, LEAST = 0.02, 0.01
 BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
@@ -94,6 +98,15 @@ def _scored_here(raw: DataFrame, before: list[tuple] | None) -> tuple[list[tuple
     return scored, max((abs(s[3] - then[s[0]]) for s in scored), default=0.0)
 
 
+def _halfway(scored, before, few: bool):
+    """Scores whose weights lie half way from the former ones."""
+    if few:
+        then = {b[0]: b[4] for b in before}
+        return [(*s[:4], (s[4] + then[s[0]]) / 2) for s in scored]
+    then = before.select("annotator", F.col("w").alias("then"))
+    return materialise(scored.join(then, "annotator").withColumn("w", (F.col("w") + F.col("then")) / 2).drop("then"), "annotators")
+
+
 def _frame(near: DataFrame, scored: list[tuple]) -> DataFrame:
     """Scores held by the driver as a table."""
     cols = list(zip(*scored)) or [()] * 5
@@ -113,7 +126,8 @@ def consensus(rows: DataFrame, *, least: int = 3, rounds: int = 12, tolerance: f
 
     Defined cases: rows with a null item, name or grade don't count; of equal times the greater
     annotation_id is later, null times are earliest; ties go to the weightier grade, then to the
-    smaller; items without a reliable annotator get the weighted consensus; no rows give no rows.
+    smaller; accuracies not settled after ``rounds`` plain and DAMPED halved rounds raise a
+    RuntimeWarning, and the last votes are given; items without a reliable annotator get the weighted consensus; no rows give no rows.
     """
     ratings = latest_valid(rows)
     sizes = ratings.groupBy(*ITEM).agg(F.count("*").alias("annotators"))
@@ -121,7 +135,7 @@ def consensus(rows: DataFrame, *, least: int = 3, rounds: int = 12, tolerance: f
     weights = ratings.select("annotator").distinct().withColumn("w", F.lit(1.0))
     few = count_at_most(weights, FEW) <= FEW
     before = None
-    for _ in range(rounds):
+    for r in range(rounds + DAMPED):
         weighed = _weighed(ratings, weights, few)
         votes = _votes(weighed)
         others = [F.col(f"v{g}") - F.when(F.col("grade") == g, F.col("w")).otherwise(0.0) for g in range(GRADES)]
@@ -132,7 +146,11 @@ def consensus(rows: DataFrame, *, least: int = 3, rounds: int = 12, tolerance: f
         scored, moved = (_scored_here if few else _scored_there)(raw, before)
         if moved is not None and moved <= tolerance:
             break
+        if before is not None and r >= rounds:
+            scored = _halfway(scored, before, few)
         before, weights = scored, scored.select("annotator", "w") if not few else _frame(ratings, scored).select("annotator", "w")
+    else:
+        warnings.warn(f"consensus did not settle in {rounds + DAMPED} rounds: an accuracy still moved by {moved if moved is not None else math.inf:.4f}", RuntimeWarning, stacklevel=2)
     if few:
         scored = _frame(ratings, scored)
     annotators = scored.withColumn("reliable", F.col("accuracy") >= RELIABLE).withColumnRenamed("w", "weight")

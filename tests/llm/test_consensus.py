@@ -1,5 +1,8 @@
 import datetime as dt
 import random
+import warnings
+
+import pytest
 
 from emberquill.llm import consensus as C
 
@@ -71,3 +74,15 @@ def test_annotators_of_small_items_are_scored(spark, monkeypatch):
         assert {r["pokemon_id"] for r in items.collect()} == set(range(10))
         got = {r["annotator"]: (r["items"], r["accuracy"], r["reliable"]) for r in people.collect()}
         assert got == {"a": (14, 1.0, True), "b": (10, 1.0, True), "d": (10, 1.0, True), "e": (4, 1.0, True), "f": (0, None, None)}
+
+
+def test_swinging_votes_settle(spark, data, monkeypatch):
+    rows = spark.read.parquet(f"{data}/annotation_quality_row.parquet")
+    accuracies = lambda n: {r["annotator"]: r["leave_one_out"] for r in C.consensus(rows, rounds=n)[1].collect()}
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", RuntimeWarning)
+        a, b = accuracies(6), accuracies(7)
+    assert max(abs(a[k] - b[k]) for k in a) <= 0.002
+    monkeypatch.setattr(C, "DAMPED", 0, raising=False)
+    with pytest.warns(RuntimeWarning, match="did not settle in 6 rounds"):
+        C.consensus(rows, rounds=6)
