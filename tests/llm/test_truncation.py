@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from emberquill.llm import truncation as T
 
@@ -8,15 +9,19 @@ WORDS = "quiet stone folds every amber river near the hollow gate and counts a s
 
 
 @pytest.mark.parametrize(
-    "text,body",
+    "text,rest",
     [
-        ("It ends. \n", "It ends."), ("It ends.\n— Post 4", "It ends."), ("It ends.\n\nTags: a, b", "It ends."), ("It ends.\nHeight | 3 m\nWeight | 4 kg", "It ends."), ("It ends.\n- a b\n- c", "It ends."), ("It ends. 🐾🐾", "It ends."), ("It ends. :)", "It ends."),
-        ("It ends. (to be continued...)", "It ends."), ("完。（待續……）", "完。"), ("完。「記錄完畢。」", "完。"), ("It en…", "It en"), ("It en...", "It en"), ("It e" + chr(0xFFFD), "It e"), ("It e&quo", "It e"), ("It e <a hr", "It e"), ("It e \\u4e", "It e"), ("It e\n— Post 3", "It e"),
-        ("It e…\n— Post 3", "It e"), (None, ""), ("", ""), (" \n", ""), ("It weighed 12.", "It weighed 12."),
+        ("It ends. ", "It ends."), ("It ends. 🐾🐾", "It ends."), ("It en…", "It en"), ("It en... ", "It en"), ("It e" + chr(0xFFFD), "It e"), ("完。～", "完。"), ("It e 「", "It e"), ("It e (", "It e"), ("It weighed 12.", "It weighed 12."), ("It ends.…", "It ends"), ("", ""), ("🐾", ""), ("...", ""),
+        ("It said (more)", "It said (more)"), ("x" + " 🐾" * 50_000, "x"),
     ],
 )
-def test_prose(text, body):
-    assert T.prose(text) == body
+def test_bare(text, rest):
+    assert T.bare(text) == rest
+
+
+def test_starts_of_tails():
+    assert T.starts("it en (more)") == [(11, "it en (more"), (7, "it en"), (6, "it en"), (3, "it")]
+    assert T.starts("") == [] and T.starts("（完）") == [(2, "（完")]
 
 
 def corpus(seed, n=900):
@@ -63,11 +68,39 @@ def test_defined_cases(spark):
         T.truncated(frame(spark, docs), group=["language"])
 
 
-def test_blocks_agree(spark, monkeypatch):
+TAILS = ["", " ", "\n— Post 3", "\n- {0} {1}\n- {2} {0}", "\nTags: {1}, {2}", "\nHeight | 3.{3} m\nWeight | {3} kg", " (to be continued)", "（待續……）", "...", "…", " 🐾", "\n\n— " + "Keeper of the long hall " * 20]
+
+
+def test_what_stands_after_the_prose_does_not_matter(spark):
+    rng = random.Random(7)
+    docs, cut, kinds = [], set(), {}
+    for i in range(4000):
+        text = " ".join(" ".join(rng.choices(WORDS, k=rng.randrange(5, 9))).capitalize() + "." for _ in range(3))
+        text += "\n" + " ".join(" ".join(rng.choices(WORDS, k=rng.randrange(5, 9))).capitalize() + "." for _ in range(3))
+        kinds[i] = rng.choice(TAILS if (short := i % 8 == 0) else [t for t in TAILS if t not in ("...", "…")])
+        if short:
+            text = text[: rng.randrange(len(text) - 30, len(text) - 3)].rstrip(". ")
+            cut.add(i)
+        docs.append((i, text + kinds[i].format(*rng.choices(WORDS, k=3), rng.randrange(10)), "en", "a"))
+    got = {r["doc_id"] for r in T.truncated(frame(spark, docs)).where("cut").collect()}
+    for tail in TAILS:
+        own = {i for i, t in kinds.items() if t == tail}
+        assert len(got & cut & own) >= 0.95 * len(cut & own) and len((got - cut) & own) <= 0.02 * len(own), tail
+
+
+def test_columns_have_their_own_models(spark):
+    docs, cut = corpus(4, 400)
+    rows = frame(spark, docs).withColumn("other", F.concat(F.lit("note "), F.col("doc_id"), F.lit(" without an end")))
+    both = T.truncated(rows, columns=("text", "other"))
+    found = lambda judged, c: {(r["doc_id"], r["log_odds"], r["threshold"]) for r in judged.where(F.col("cut") & (F.col("column") == c)).collect()}
+    assert both.count() == 800 and found(both, "text") == found(T.truncated(rows), "text") != set()
+
+
+def test_few_slots_agree(spark, monkeypatch):
     docs, _ = corpus(4, 300)
     rows = frame(spark, docs)
     whole = {r["doc_id"] for r in T.truncated(rows).where("cut").collect()}
-    monkeypatch.setattr(T, "BLOCK", 40)
+    monkeypatch.setattr(T, "SLOTS", 64)
     assert {r["doc_id"] for r in T.truncated(rows).where("cut").collect()} == whole
 
 
