@@ -2,8 +2,8 @@
 
 Method.  A text is laid out once as arrays of offsets: where tokens start (with prefix sums of
 their number) and where paragraphs, sentences, clauses and blanks end.  A piece ends at the last
-boundary of the strongest kind that a binary search finds within the limit; if no kind has one
-that makes progress, it is cut hard at the limit.  The next piece starts ``overlap`` characters
+boundary of the strongest kind that a binary search finds within the limit; a boundary counts if the
+piece then reaches past the overlap, and only without any such boundary is it cut hard at the limit.  The next piece starts ``overlap`` characters
 before that end.
 
 Scale.  One text is one row, handled alone; no shuffle in ``split``.  ``audit`` measures pieces
@@ -69,7 +69,7 @@ class Layout:
             end, kind = start + limit, "hard"
             for k, ends in enumerate(self.ends):
                 place = bisect_right(ends, start + limit) - 1
-                if place >= 0 and ends[place] > start + max(overlap, limit // 2):
+                if place >= 0 and ends[place] > start + overlap:
                     end, kind = ends[place], str(k)
                     break
             out.append((start, end, kind))
@@ -112,8 +112,8 @@ def split(documents: DataFrame, *, key: str = "id", limit: int = LIMIT, overlap:
     Defined cases: null, empty and blank contents give no piece; texts within the limit give one;
     a text without any boundary is cut hard; null keys are kept; repeated rows are split each.
     """
-    if not 0 <= overlap < limit // 2:
-        raise ValueError("overlap must be under half the limit")
+    if not 0 <= overlap < limit:
+        raise ValueError("overlap must be under the limit")
     kind = documents.schema[key].dataType.simpleString()
     out = f"`{key}` {kind}, chunk_index int, start_at int, end_at int, content string, char_count int, token_count int, boundary string"
     return documents.select(key, "content").mapInArrow(_split(limit, overlap, key), out)

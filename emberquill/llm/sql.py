@@ -19,6 +19,27 @@ UNION ALL SELECT id, 'uncut' FROM pokemon_knowledge_documents WHERE length(regex
   AND id NOT IN (SELECT document_id FROM p)
 """
 
+_WHITE = r"[\s\p{Z}\x1c-\x1f\x{85}]"
+_KINDS = (r"\n+", rf"""[。！？!?；;.…]+[”’」』）)"'']*{_WHITE}*""", rf"[，,、：:]{_WHITE}*", rf"{_WHITE}+")
+
+
+_LAST = [f"list_max(list_filter(d.e{k}, lambda x: x > c.a + 80 AND x <= c.a + 500))" for k in range(4)]
+_END = f"CASE WHEN d.n - c.a <= 500 THEN d.n ELSE coalesce({', '.join(_LAST)}, c.a + 500) END"
+_HAN_RUN = r"[\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}]+"
+# each kind's ends are the sums of the lengths of what stands between marks put behind its matches
+SQL["p4_pieces"] = f"""
+WITH RECURSIVE t AS (SELECT id, regexp_replace(content, '^{_WHITE}+|{_WHITE}+$', '', 'g') AS t FROM pokemon_knowledge_documents),
+m AS (SELECT *, {", ".join(f"string_split(regexp_replace(t, '({kind})', chr(92) || '1' || chr(1), 'g'), chr(1)) AS m{k}" for k, kind in enumerate(_KINDS))} FROM t WHERE length(t) > 500),
+p AS (SELECT id, k, sum(length(part)) OVER (PARTITION BY id, k ORDER BY i)::BIGINT AS e, i = n AS last FROM (
+  {" UNION ALL ".join(f"SELECT id, {k} AS k, unnest(m{k}) AS part, unnest(range(1, len(m{k}) + 1)) AS i, len(m{k}) AS n FROM m" for k in range(4))})),
+d AS (SELECT id, t, length(t)::BIGINT AS n, {", ".join(f"coalesce(e{k}, []) AS e{k}" for k in range(4))} FROM m LEFT JOIN (SELECT id, {", ".join(f"list(e) FILTER (k = {k}) AS e{k}" for k in range(4))} FROM p WHERE NOT last GROUP BY id) USING (id)),
+c AS (SELECT id, 0 AS idx, 0::BIGINT AS a FROM d UNION ALL SELECT c.id, c.idx + 1, {_END} - 80 FROM c JOIN d USING (id) WHERE d.n - c.a > 500),
+z AS (SELECT id, idx, a, {_END} AS z, CASE WHEN d.n - c.a <= 500 THEN 'end' {" ".join(f"WHEN {w} IS NOT NULL THEN '{k}'" for k, w in enumerate(_LAST))} ELSE 'hard' END AS boundary, t FROM c JOIN d USING (id)),
+y AS (SELECT *, substr(t, a + 1, z - a) AS content FROM z)
+SELECT id AS document_id, idx::INTEGER AS chunk_index, a::INTEGER AS start_at, z::INTEGER AS end_at, content, length(content)::INTEGER AS char_count, boundary,
+  (len(regexp_extract_all(lower(content), '[a-z0-9]+')) + coalesce(list_sum(list_transform(regexp_extract_all(content, '{_HAN_RUN}'), lambda x: (length(x) + 1) // 2)), 0))::INTEGER AS token_count FROM y
+"""
+
 SQL["p5_found"] = """
 WITH r AS (
   SELECT 'result' AS kind, request_id AS group_id, pokemon_id::VARCHAR AS item, max(total) AS score, min(pokemon_id) AS tie

@@ -8,7 +8,7 @@ TEXTS = st.text(st.sampled_from("ab 。，.\n!火水電 c9"), max_size=900)
 
 
 @settings(max_examples=150, deadline=None)
-@given(TEXTS, st.integers(20, 120), st.integers(0, 9))
+@given(TEXTS, st.integers(20, 120), st.integers(0, 19))
 def test_pieces_cover_the_text(text, limit, overlap):
     layout = P.Layout(text.strip())
     if not layout.text:
@@ -17,6 +17,8 @@ def test_pieces_cover_the_text(text, limit, overlap):
     assert cuts[0][0] == 0 and cuts[-1][1] == len(layout.text)
     assert all(0 < b - a <= limit for a, b, _ in cuts)
     assert all(later[0] == before[1] - overlap for before, later in zip(cuts, cuts[1:]))
+    natural = sorted(e for ends in layout.ends for e in ends)
+    assert not any(kind == "hard" and a + overlap < e <= a + limit for a, _, kind in cuts for e in natural)
 
 
 @settings(max_examples=150, deadline=None)
@@ -32,6 +34,9 @@ def test_natural_boundaries_come_first():
     text = "a" * 60 + "。" + "b" * 30 + "，" + "c" * 60
     assert P.Layout(text).cuts(100, 10)[0] == (0, 61, "1")
     assert P.Layout("x" * 250).cuts(100, 10)[0] == (0, 100, "hard")
+    assert P.Layout("a" * 200 + ". " + "b" * 1000).cuts(500, 80)[:2] == [(0, 202, "1"), (122, 622, "hard")]
+    assert P.Layout("火" * 221 + "。" + "水" * 400).cuts(500, 80) == [(0, 222, "1"), (142, 622, "end")]
+    assert P.Layout("a" * 80 + "\n" + "b" * 600).cuts(500, 80)[0] == (0, 81, "0") and P.Layout("a" * 79 + "\n" + "b" * 600).cuts(500, 80)[0] == (0, 500, "hard")
 
 
 def test_split_defined_cases(spark):
@@ -41,7 +46,8 @@ def test_split_defined_cases(spark):
     assert sorted({r["id"] or "" for r in got}) == ["", "d", "e"] and max(r["char_count"] for r in got) == 500
     assert P.split(rows.limit(0)).count() == 0
     with pytest.raises(ValueError):
-        P.split(rows, limit=100, overlap=60)
+        P.split(rows, limit=100, overlap=100)
+    assert all(r['char_count'] <= 100 for r in P.split(rows, limit=100, overlap=99).where('id is null').collect())
 
 
 def test_audit(spark):
