@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
@@ -27,6 +29,25 @@ def test_errors_are_named():
     assert P.Grammar("x; [a", False).parse()[1] == ("[a", "unclosed_list")
 
 
+@pytest.mark.parametrize("text", ["[," * 10_000, "[" * 100_000 + "]" * 100_000, "[" * 100_000, "“a," * 50_000 + "”x", '"x""y,' * 50_000, '["a' * 50_000, "【[\"a\"]】," * 20_000])
+def test_linear_in_the_length(text):
+    start = time.perf_counter()
+    P.Grammar(text, False).parse()
+    assert time.perf_counter() - start < 1.0 * max(1, len(text) / 100_000)
+
+
+def test_lists_beside_values():
+    assert P.Grammar("[a], b", False).parse() == [("a", None), ("b", None)]
+    assert P.Grammar("[a]b, c", False).parse() == [("[a]b", "unclosed_list"), ("c", None)]
+    assert P.Grammar('["a", [“b】”, c]], 【d】', False).parse() == [(v, None) for v in ("a", "b】", "c", "d")]
+
+
+@given(st.text(st.sampled_from('ab ,"“”[]【】'), max_size=24), st.booleans())
+def test_no_letter_is_lost(text, loose):
+    kept = "".join(v for v, _ in P.Grammar(text, loose).parse())
+    assert [c for c in kept if c in "ab"] == [c for c in text if c in "ab"]
+
+
 @given(st.lists(st.text(st.characters(exclude_categories=("Cs", "Cc", "Z"), exclude_characters=',，、;；|｜/／"“”「」『』[]【】'), min_size=1), min_size=1), st.sampled_from(",;|"))
 def test_round_trip_of_quoted_values(values, mark):
     text = mark.join('"' + v.replace('"', '""') + '"' for v in values)
