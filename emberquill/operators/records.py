@@ -1,10 +1,11 @@
 """Catalogue records: the valid ones as rows, the others with the reason they fail.
 
-Blocks of records are parsed together on a columnar path: one regular expression over the block
-for the quoting, Arrow's CSV reader for the fields, vectorised checks for the values.  A block the
-reader refuses is bisected, down to a few records; what any step refuses is diagnosed by a strict
-scanner.  A block without bad records costs a few vector calls; a record with a wrong number of
-fields costs about log2(block) of them.  Records are independent rows, so nothing is shuffled.
+Blocks of records are parsed together on a columnar path: one regular expression over the whole
+block for the quoting, Arrow's CSV reader for the fields, vectorised checks for the values, each with
+one answer for all.  A block that fails any of them is halved, and its halves are tried again, until
+what fails is a single record; that is diagnosed by a strict scanner, which has the last word.  Fields
+read once are halved without being read again.  A block without bad records costs a few vector
+calls, a bad record about log2(block) of them.  Records are independent rows, so nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -13,7 +14,6 @@ import io
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import csv
@@ -23,39 +23,35 @@ from pyspark.sql import functions as F
 from emberquill.session import count_at_most
 
 #: The catalogue's columns in order.
-HEADER = (
-    "pokedex_number name_zh name_en type_zh type_1 type_2 category_zh genus description_zh flavor_text_en analysis_text image_url sprite_url "
-    "hp attack defense sp_attack sp_defense speed base_stat_total height_m weight_kg abilities hidden_ability generation is_legendary "
-    "is_mythical is_baby color shape egg_groups habitat growth_rate capture_rate is_outlier lof_outlier scaled_hp scaled_attack "
-    "scaled_defense scaled_sp_attack scaled_sp_defense scaled_speed scaled_height_m scaled_weight_kg"
-).split()
+HEADER = [
+    "pokedex_number", "name_zh", "name_en", "type_zh", "type_1", "type_2", "category_zh", "genus", "description_zh", "flavor_text_en", "analysis_text", "image_url", "sprite_url",
+    "hp", "attack", "defense", "sp_attack", "sp_defense", "speed", "base_stat_total", "height_m", "weight_kg", "abilities", "hidden_ability", "generation", "is_legendary",
+    "is_mythical", "is_baby", "color", "shape", "egg_groups", "habitat", "growth_rate", "capture_rate", "is_outlier", "lof_outlier", "scaled_hp", "scaled_attack",
+    "scaled_defense", "scaled_sp_attack", "scaled_sp_defense", "scaled_speed", "scaled_height_m", "scaled_weight_kg",
+]
 STATS = ("hp", "attack", "defense", "sp_attack", "sp_defense", "speed")
+CHECKED = ("type_1", "generation", *STATS, "base_stat_total")
 #: The nine generations, compared without case.
-GENERATIONS = "i ii iii iv v vi vii viii ix".split()
+GENERATIONS = ["i", "ii", "iii", "iv", "v", "vi", "vii", "viii", "ix"]
 
-BLOCK = 256
-#: Failing blocks this small aren't halved again: their records are diagnosed one by one.
-SMALL = 4
+#: Records parsed together.
+BLOCK = 4096
 #: Types that may be sent to the workers.
 FEW_TYPES = 10_000
-FIELD = r'(?:[^",]*|"(?:[^"]|"")*")'
-STRICT = rf"\A{FIELD}(?:,{FIELD})*\z"
+#: Between records of a block; one that holds it is diagnosed alone.
+APART = "\x1e"
+FIELD = rf'(?:[^",{APART}]*|"(?:[^"{APART}]|"")*")'
+STRICT = rf"\A{FIELD}(?:[,{APART}]{FIELD})*\z"
 GENERATION = rf"(?i)\Agen-(?:{'|'.join(GENERATIONS)})\z"
 WHOLE = r"\A\+?[0-9]+(?:\.0+)?\z"
-BLANKS = r"^[\s\p{Z}]+|[\s\p{Z}]+$"
-
-
-def _trimmed(column: pa.Array) -> pa.Array:
-    return pc.replace_substring_regex(column, BLANKS, "")
-
-
-def _whole(column: pa.ChunkedArray) -> np.ndarray:
-    """Whole numbers of texts known to match WHOLE, as Python integers of any size."""
-    return np.array([int(v) for v in pc.replace_substring_regex(column, r"\A\+|\.0+\z", "").to_pylist()], object)
+#: What the columnar path takes for a whole number: digits that can't overflow a sum.
+SHORT = r"\A\+?[0-9]{1,15}(?:\.0+)?\z"
 
 
 def block_fields(lines: list[str]) -> pa.Table | None:
-    """The fields of a block of records whose quoting is right; None if any has a wrong number of them."""
+    """The fields of a block of records, and those that are checked also trimmed; None if the quoting or the number of fields of any is wrong."""
+    if not pc.match_substring_regex(pa.array([APART.join(lines)], pa.large_string()), STRICT)[0].as_py() or any(APART in line for line in lines):
+        return None
     body = ("\n".join(lines) + "\n").encode()
     try:
         fields = csv.read_csv(
@@ -66,19 +62,27 @@ def block_fields(lines: list[str]) -> pa.Table | None:
         )
     except pa.ArrowInvalid:
         return None
-    return fields if fields.num_rows == len(lines) else None
-
-
-def plausible(fields: pa.Table, types: pa.Array) -> np.ndarray:
-    """Which records of a block have valid values."""
-    numbers = [_trimmed(fields[c]) for c in (*STATS, "base_stat_total")]
-    good = [pc.is_in(_trimmed(fields["type_1"]), value_set=types), pc.match_substring_regex(_trimmed(fields["generation"]), GENERATION)]
-    good += [pc.match_substring_regex(n, WHOLE) for n in numbers]
-    out = np.logical_and.reduce([g.combine_chunks().to_numpy(zero_copy_only=False) for g in good])
-    whole = [_whole(n.filter(pa.array(out))) for n in numbers]
-    total = sum(whole[1:-1], whole[0])
-    out[out] = total == whole[-1]
-    return out
+    if fields.num_rows != len(lines):
+        return None
+    for c in CHECKED:
+        fields = fields.append_column(f"{c} trimmed", pc.utf8_trim_whitespace(fields[c]))
+    return fields
+
+
+def plausible(fields: pa.Table, types: pa.Array) -> bool:
+    """Whether all records of a block have valid values."""
+    value = lambda c: fields[f"{c} trimmed"]
+    every = lambda mask: pc.all(mask, min_count=0).as_py()
+    if not every(pc.is_in(value("type_1"), value_set=types)) or not every(pc.match_substring_regex(value("generation"), GENERATION)):
+        return False
+    numbers = [value(c) for c in (*STATS, "base_stat_total")]
+    if not all(every(pc.match_substring_regex(n, SHORT)) for n in numbers):
+        return False
+    *stats, total = (pc.cast(pc.replace_substring_regex(n, r"\A\+|\.0+\z", ""), pa.int64()) for n in numbers)
+    summed = stats[0]
+    for s in stats[1:]:
+        summed = pc.add(summed, s)
+    return every(pc.equal(summed, total))
 
 
 def scan_fields(line: str) -> list[str] | None:
@@ -135,23 +139,20 @@ def diagnose(line: str, types: set[str]) -> tuple[str | None, list[str] | None]:
 def _parse(types: list[str], with_fields: bool):
     known, names = set(types), pa.array(types, pa.string())
 
-    def diagnosed(key, line: str, out: list) -> None:
-        reason, values = diagnose(line, known)
-        out.append((key, reason, values if with_fields else None))
-
-    def solve(keys: list, lines: list[str], out: list) -> None:
-        fields = block_fields(lines)
-        if fields is None and len(lines) > SMALL:
-            half = len(lines) // 2
-            solve(keys[:half], lines[:half], out)
-            solve(keys[half:], lines[half:], out)
+    def solve(keys: list, lines: list[str], fields: pa.Table | None, out: list) -> None:
+        if len(lines) == 1:
+            reason, values = diagnose(lines[0], known)
+            out.append((keys[0], reason, values if with_fields else None))
             return
-        fine = np.zeros(len(lines), bool) if fields is None else plausible(fields, names)
-        for i in np.flatnonzero(~fine):
-            diagnosed(keys[i], lines[i], out)
-        own = np.flatnonzero(fine)
-        values = zip(*(c.to_pylist() for c in fields.take(pa.array(own)).columns)) if with_fields and len(own) else [None] * len(own)
-        out.extend((keys[i], None, v) for i, v in zip(own, values))
+        if fields is None:
+            fields = block_fields(lines)
+        if fields is not None and plausible(fields, names):
+            values = zip(*(fields[c].to_pylist() for c in HEADER)) if with_fields else [None] * len(keys)
+            out.extend((k, None, v) for k, v in zip(keys, values))
+        else:
+            half = len(lines) // 2
+            solve(keys[:half], lines[:half], fields and fields.slice(0, half), out)
+            solve(keys[half:], lines[half:], fields and fields.slice(half), out)
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,13 +160,7 @@ def _parse(types: list[str], with_fields: bool):
             lines = [(t[:-1] if t.endswith("\r") else t) if t else "" for t in batch.column("raw_line").to_pylist()]
             for at in range(0, len(keys), BLOCK):
                 out: list = []
-                block_keys, block = keys[at : at + BLOCK], lines[at : at + BLOCK]
-                quoted = pc.match_substring_regex(pa.array(block, pa.string()), STRICT).to_numpy(zero_copy_only=False)
-                for i in np.flatnonzero(~quoted):
-                    diagnosed(block_keys[i], block[i], out)
-                own = np.flatnonzero(quoted)
-                if len(own):
-                    solve([block_keys[i] for i in own], [block[i] for i in own], out)
+                solve(keys[at : at + BLOCK], lines[at : at + BLOCK], None, out)
                 cols = [[k for k, _, _ in out], [r for _, r, _ in out], [list(v) if v is not None else None for _, _, v in out]]
                 yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.list_(pa.string()))], ["raw_id", "reason", "fields"])
 

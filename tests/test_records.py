@@ -73,3 +73,16 @@ def test_headers_and_empty(spark):
 @pytest.mark.parametrize("text,fields", [("a,b", ["a", "b"]), ("", [""]), (",", ["", ""]), ('"a,b"', ["a,b"]), ('"a""b"', ['a"b']), ('"a"b', None), ('a"', None), ('"', None), ('""', [""]), ('"a",', ["a", ""])])
 def test_scanner(text, fields):
     assert R.scan_fields(text) == fields
+
+
+@pytest.mark.parametrize("bad", [c for c in CASES if c[1] and c[1] != "column_count"] + [(line() + ",", "column_count")])
+def test_every_reason_fails_its_block(bad):
+    import pyarrow as pa
+
+    fine = lambda lines: (f := R.block_fields(lines)) is not None and R.plausible(f, pa.array(["Fire"]))
+    assert fine([line()] * 9) and not fine([line()] * 4 + [bad[0]] + [line()] * 4)
+
+
+def test_separator_of_blocks_inside_a_record(spark):
+    raw, types = frames(spark, [line(), line(name_en="a\x1eb"), line(name_en='"a\x1eb"'), line(base_stat_total="0" * 40 + "21")])
+    assert R.parse_records(raw, types).where("reason is null").count() == 4
