@@ -3,22 +3,21 @@
 Method.  Iteratively reweighted voting: a weighted vote gives each item's consensus; each
 annotator's accuracy is measured against the vote of the others (leave one out) and smoothed
 towards the common accuracy; the log odds of that accuracy are the next weights.  It stops when no
-accuracy moves by more than a tolerance; votes that swing between states are damped, and what still
-doesn't settle is reported by a warning.  Annotators who meet the final consensus in too few of
+accuracy moves by more than a tolerance; votes that swing between states are damped by ever smaller
+steps, and what still doesn't settle is reported.  Annotators who meet the final consensus in too few of
 their items are unreliable; each item's grade is the one most of its reliable annotators gave.
 Agreement is Krippendorff's alpha, chance-corrected and defined for missing ratings.
 
 Scale.  Ratings are reduced to the latest of each annotator and item before anything else, by
 partial aggregation.  Each round is two aggregations of one row a rating; a hot item or annotator
-is summed on the map side.  Weights are broadcast only if a count has proved them few.
+is summed on the map side.  Scores stay in tables, whatever the number of annotators; weights are
+broadcast only if a count has proved them few.
 """
 
 from __future__ import annotations
 
-import math
 import warnings
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,7 +29,7 @@ PRIOR = 4.0
 #: Annotators that may be broadcast.
 FEW = 100_000
 RELIABLE = 0.6
-#: Rounds after the plain ones in which weights move only half way.
+#: Rounds after the plain ones in which weights move only half way, a third of it and so on.
 DAMPED = 48
 #: Accuracies are held this far from 0 and 1, weights at LEAST this.
 CAP, LEAST = 0.02, 0.01
@@ -68,55 +67,19 @@ def _top(values: list):
     return out
 
 
-def _scored_there(raw: DataFrame, before: DataFrame | None) -> tuple[DataFrame, float | None]:
-    """annotator, items, accuracy, leave_one_out and weight w, and how far a leave_one_out moved at most."""
-    raw = materialise(raw, "annotators")
-    met, items = raw.agg(F.sum("met"), F.sum("items")).first()
-    loo = (F.col("met") + PRIOR * (met / items if items else 0.0)) / (F.col("items") + PRIOR)
-    capped = F.least(F.greatest(loo, F.lit(CAP)), F.lit(1 - CAP))
-    weight = F.greatest(F.log(capped * (GRADES - 1) / (1 - capped)), F.lit(LEAST))
-    scored = raw.select("annotator", "items", "accuracy", loo.alias("leave_one_out"), weight.alias("w"))
-    if before is None:
-        return scored, None
-    then = before.select("annotator", F.col("leave_one_out").alias("then"))
-    return scored, scored.join(then, "annotator").agg(F.coalesce(F.max(F.abs(F.col("leave_one_out") - F.col("then"))), F.lit(0.0))).first()[0]
-
-
-def _scored_here(raw: DataFrame, before: list[tuple] | None) -> tuple[list[tuple], float | None]:
-    """The same for annotators that a count has proved few, on the driver."""
-    rows = raw.collect()  # at most FEW
-    items = sum(r["items"] for r in rows)
-    common = sum(r["met"] for r in rows) / items if items else 0.0
-    scored = []
-    for r in rows:
-        loo = (r["met"] + PRIOR * common) / (r["items"] + PRIOR)
-        capped = min(max(loo, CAP), 1 - CAP)
-        scored.append((r["annotator"], r["items"], r["accuracy"], loo, max(math.log(capped * (GRADES - 1) / (1 - capped)), LEAST)))
-    if before is None:
-        return scored, None
-    then = {b[0]: b[3] for b in before}
-    return scored, max((abs(s[3] - then[s[0]]) for s in scored), default=0.0)
-
-
-def _halfway(scored, before, few: bool):
-    """Scores whose weights lie half way from the former ones."""
-    if few:
-        then = {b[0]: b[4] for b in before}
-        return [(*s[:4], (s[4] + then[s[0]]) / 2) for s in scored]
-    then = before.select("annotator", F.col("w").alias("then"))
-    return materialise(scored.join(then, "annotator").withColumn("w", (F.col("w") + F.col("then")) / 2).drop("then"), "annotators")
-
-
-def _frame(near: DataFrame, scored: list[tuple]) -> DataFrame:
-    """Scores held by the driver as a table."""
-    cols = list(zip(*scored)) or [()] * 5
-    kinds = (pa.string(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
-    return near.sparkSession.createDataFrame(pa.table({n: pa.array(c, k) for n, c, k in zip(("annotator", "items", "accuracy", "leave_one_out", "w"), cols, kinds)}))
+def _scores(ratings: DataFrame, weights: DataFrame, few: bool) -> DataFrame:
+    """annotator, items, met (of the others' votes) and accuracy (against all votes), under the given weights."""
+    weighed = _weighed(ratings, weights, few)
+    others = [F.col(f"v{g}") - F.when(F.col("grade") == g, F.col("w")).otherwise(0.0) for g in range(GRADES)]
+    scores = F.col("annotators") > 1  # alone, there is nobody to meet: null, which no sum or count takes
+    met, meets = (F.when(scores, (F.col("grade") == _top(v)).cast("double")) for v in (others, [F.col(f"v{g}") for g in range(GRADES)]))
+    judged = weighed.join(_votes(weighed), ITEM).select("annotator", met.alias("met"), meets.alias("meets"))
+    return judged.groupBy("annotator").agg(F.count("met").alias("items"), F.coalesce(F.sum("met"), F.lit(0.0)).alias("met"), F.avg("meets").alias("accuracy"))
 
 
 def consensus(rows: DataFrame, *, least: int = 3, rounds: int = 12, tolerance: float = 0.002) -> tuple[DataFrame, DataFrame]:
     """``items`` (case_id, pokemon_id, grade, support, annotators) and ``annotators``
-    (annotator, items, accuracy, leave_one_out, weight, reliable).
+    (annotator, items, accuracy, leave_one_out, weight, reliable, converged).
 
     ``rows``: annotation_id, case_id, pokemon_id, annotator, grade, created_at; other columns are
     ignored.  Names are compared without case and outer blanks; grades outside 0 to 3 don't count.
@@ -126,34 +89,31 @@ def consensus(rows: DataFrame, *, least: int = 3, rounds: int = 12, tolerance: f
 
     Defined cases: rows with a null item, name or grade don't count; of equal times the greater
     annotation_id is later, null times are earliest; ties go to the weightier grade, then to the
-    smaller; accuracies not settled after ``rounds`` plain and DAMPED halved rounds raise a
-    RuntimeWarning, and the last votes are given; items without a reliable annotator get the weighted consensus; no rows give no rows.
+    smaller; accuracies not settled after ``rounds`` plain and DAMPED ever smaller steps raise a
+    RuntimeWarning, and the last votes are given with ``converged`` false; items without a reliable
+    annotator get the weighted consensus; no rows give no rows.
     """
     ratings = latest_valid(rows)
     sizes = ratings.groupBy(*ITEM).agg(F.count("*").alias("annotators"))
     ratings = materialise(ratings.join(sizes, ITEM), "ratings")
-    weights = ratings.select("annotator").distinct().withColumn("w", F.lit(1.0))
+    weights = ratings.select("annotator").distinct().withColumn("w", F.lit(1.0)).withColumn("leave_one_out", F.lit(None).cast("double"))
     few = count_at_most(weights, FEW) <= FEW
-    before = None
+    converged = False
     for r in range(rounds + DAMPED):
-        weighed = _weighed(ratings, weights, few)
-        votes = _votes(weighed)
-        others = [F.col(f"v{g}") - F.when(F.col("grade") == g, F.col("w")).otherwise(0.0) for g in range(GRADES)]
-        scores = F.col("annotators") > 1  # alone, there is nobody to meet: null, which no sum or count takes
-        met, meets = (F.when(scores, (F.col("grade") == _top(v)).cast("double")) for v in (others, [F.col(f"v{g}") for g in range(GRADES)]))
-        judged = weighed.join(votes, ITEM).select("annotator", met.alias("met"), meets.alias("meets"))
-        raw = judged.groupBy("annotator").agg(F.count("met").alias("items"), F.coalesce(F.sum("met"), F.lit(0.0)).alias("met"), F.avg("meets").alias("accuracy"))
-        scored, moved = (_scored_here if few else _scored_there)(raw, before)
-        if moved is not None and moved <= tolerance:
+        step = 1.0 if r < rounds else 1 / (r - rounds + 2)
+        raw = materialise(_scores(ratings, weights, few).join(weights.withColumnsRenamed({"w": "w_before", "leave_one_out": "before"}), "annotator"), "annotators")
+        met, items = raw.agg(F.sum("met"), F.sum("items")).first()
+        loo = (F.col("met") + PRIOR * (met / items if items else 0.0)) / (F.col("items") + PRIOR)
+        capped = F.least(F.greatest(loo, F.lit(CAP)), F.lit(1 - CAP))
+        weight = F.greatest(F.log(capped * (GRADES - 1) / (1 - capped)), F.lit(LEAST))
+        scored = raw.select("annotator", "items", "accuracy", loo.alias("leave_one_out"), (step * weight + (1 - step) * F.col("w_before")).alias("w"), "before")
+        weights = scored.select("annotator", "w", "leave_one_out")
+        if r and scored.agg(F.coalesce(F.max(F.abs(F.col("leave_one_out") - F.col("before"))), F.lit(0.0))).first()[0] <= tolerance:
+            converged = True
             break
-        if before is not None and r >= rounds:
-            scored = _halfway(scored, before, few)
-        before, weights = scored, scored.select("annotator", "w") if not few else _frame(ratings, scored).select("annotator", "w")
-    else:
-        warnings.warn(f"consensus did not settle in {rounds + DAMPED} rounds: an accuracy still moved by {moved if moved is not None else math.inf:.4f}", RuntimeWarning, stacklevel=2)
-    if few:
-        scored = _frame(ratings, scored)
-    annotators = scored.withColumn("reliable", F.col("accuracy") >= RELIABLE).withColumnRenamed("w", "weight")
+    if not converged:
+        warnings.warn(f"consensus did not settle in {rounds + DAMPED} rounds", RuntimeWarning, stacklevel=2)
+    annotators = scored.select("annotator", "items", "accuracy", "leave_one_out", F.col("w").alias("weight"), (F.col("accuracy") >= RELIABLE).alias("reliable"), F.lit(converged).alias("converged"))
     known = annotators.select("annotator", F.col("weight").alias("w"), "reliable")
     heads = [F.sum(((F.col("grade") == g) & F.coalesce("reliable", F.lit(False))).cast("double")).alias(f"n{g}") for g in range(GRADES)]
     sums = [F.sum(F.when(F.col("grade") == g, F.col("w")).otherwise(0.0)).alias(f"v{g}") for g in range(GRADES)]

@@ -1,4 +1,5 @@
 import datetime as dt
+import math
 import random
 import warnings
 
@@ -83,6 +84,44 @@ def test_swinging_votes_settle(spark, data, monkeypatch):
         warnings.simplefilter("error", RuntimeWarning)
         a, b = accuracies(6), accuracies(7)
     assert max(abs(a[k] - b[k]) for k in a) <= 0.002
+    assert C.consensus(rows)[1].where("converged").count() == len(a)
     monkeypatch.setattr(C, "DAMPED", 0, raising=False)
     with pytest.warns(RuntimeWarning, match="did not settle in 6 rounds"):
-        C.consensus(rows, rounds=6)
+        assert not C.consensus(rows, rounds=6)[1].first()["converged"]
+
+
+def plainly(ratings, rounds=60, tolerance=0.002):
+    """The same votes over a dict of item to {annotator: grade}, one at a time: accuracies against the others, and each item's grade."""
+    people = sorted({a for gs in ratings.values() for a in gs})
+    weights, before = dict.fromkeys(people, 1.0), None
+    vote = lambda gs, w: min(range(4), key=lambda g: (-round(sum(w[a] for a, x in gs.items() if x == g), 9), g))
+    for r in range(rounds):
+        met, items, accuracy = dict.fromkeys(people, 0), dict.fromkeys(people, 0), dict.fromkeys(people, 0)
+        for gs in ratings.values():
+            for a, g in gs.items():
+                if len(gs) > 1:
+                    items[a] += 1
+                    met[a] += vote({b: x for b, x in gs.items() if b != a}, weights) == g
+                    accuracy[a] += vote(gs, weights) == g
+        common = sum(met.values()) / sum(items.values())
+        loo = {a: (met[a] + C.PRIOR * common) / (items[a] + C.PRIOR) for a in people}
+        step = 1.0 if r < 12 else 1 / (r - 10)
+        new = {a: max(math.log(p * 3 / (1 - p)), C.LEAST) for a, p in ((a, min(max(loo[a], C.CAP), 1 - C.CAP)) for a in people)}
+        weights = {a: step * new[a] + (1 - step) * weights[a] for a in people}
+        if before and max(abs(loo[a] - before[a]) for a in people) <= tolerance:
+            break
+        before = loo
+    good = {a for a in people if items[a] and accuracy[a] / items[a] >= C.RELIABLE}
+    heads = lambda gs, g: sum(x == g for a, x in gs.items() if a in good) + 1e-7 * round(sum(weights[a] for a, x in gs.items() if x == g), 6)
+    return loo, {i: min(range(4), key=lambda g: (-round(heads(gs, g), 9), g)) for i, gs in ratings.items() if len(gs) > 2}
+
+
+def test_equals_a_plain_computation(spark, data):
+    rows = spark.read.parquet(f"{data}/annotation_quality_row.parquet")
+    ratings = {}
+    for r in C.latest_valid(rows).collect():
+        ratings.setdefault((r["case_id"], r["pokemon_id"]), {})[r["annotator"]] = r["grade"]
+    items, people = C.consensus(rows)
+    loo, grades = plainly(ratings)
+    assert {(r["case_id"], r["pokemon_id"]): r["grade"] for r in items.collect()} == grades
+    assert {r["annotator"]: round(r["leave_one_out"], 9) for r in people.collect()} == {a: round(v, 9) for a, v in loo.items()}
