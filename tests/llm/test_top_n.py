@@ -23,10 +23,40 @@ def brute(rows, n):
     return {(g, h, p, k[2]) for (g, h), keys in groups.items() for p, k in enumerate(sorted(keys)[:n], 1)}
 
 
+def popped(tree):
+    while (top := tree.head()) is not None:
+        yield tree.runs[top[0]][top[1]]
+        tree.pop()
+
+
 @given(st.lists(st.lists(st.integers(0, 50)), max_size=9))
 def test_loser_tree(runs):
-    runs = [sorted(r) for r in runs]
-    assert list(N.LoserTree(runs)) == sorted(x for r in runs for x in r) if runs else True
+    runs = [sorted((x,) for x in r) for r in runs]
+    assert list(popped(N.LoserTree(runs))) == sorted(x for r in runs for x in r)
+
+
+@given(st.lists(st.lists(st.tuples(st.integers(0, 5), st.integers(0, 9))), max_size=9))
+def test_seek_leaves_the_rest_of_a_group(runs):
+    tree, got, current = N.LoserTree([sorted(r) for r in runs]), [], None
+    while (top := tree.head()) is not None:
+        key = tree.runs[top[0]][top[1]]
+        if key[0] == current:
+            tree.seek(current)
+        else:
+            current = key[0]
+            got.append(key)
+            tree.pop()
+    flat = sorted(x for r in runs for x in r)
+    assert got == [min(x for x in flat if x[0] == g) for g in sorted({g for g, _ in flat})]
+
+
+def test_runs_end_where_their_order_does():
+    import pyarrow as pa
+
+    rows = [("a", "x", 1.0, 1), ("a", "y", 3.0, 1), ("b", "z", 1.0, 1), ("a", "w", 2.0, 1), ("a", "x", 9.0, 1)]
+    table = pa.table({"g": [r[0] for r in rows], "item": [r[1] for r in rows], "score": [r[2] for r in rows], "tie": [r[3] for r in rows], "run": [4] * 5})
+    place, position = N.merged(table, ["g"], 2)
+    assert place.tolist() == [4, 1, 2] and position.tolist() == [1, 2, 1]
 
 
 @pytest.mark.parametrize("n", [1, 3])
