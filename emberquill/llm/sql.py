@@ -1,7 +1,5 @@
 """DuckDB SQL for the queries that SQL can express on whole tables."""
 
-from emberquill.llm.lookalikes import KATAKANA
-
 SQL: dict[str, str] = {}
 
 SQL["p4_found"] = r"""
@@ -79,7 +77,7 @@ m AS (SELECT n.field, n.id, d.k FROM n JOIN d ON n.field = d.field AND n.t = d.t
 SELECT l.field, least(p.id, q.id) AS row_a, greatest(p.id, q.id) AS row_b FROM l JOIN m p ON p.field = l.field AND p.k = ka JOIN m q ON q.field = l.field AND q.k = kb WHERE ka <> kb OR p.id < q.id
 """
 
-_ODD_KANA = "".join(KATAKANA)
+_KANA = r"\x{30A1}-\x{30FC}"  # any sign: one or two beside an ideograph aren't a word
 _HAN = r"\x{2E80}-\x{2FDF}\x{3400}-\x{9FFF}\x{F900}-\x{FAFF}"
 _PART = rf"[\p{{Latin}}\p{{Greek}}\p{{Cyrillic}}\x{{300}}-\x{{36F}}\x{{AD}}\x{{200B}}-\x{{200D}}\x{{2060}}\x{{FEFF}}]*"
 _EMOJI = r"[\x{203C}-\x{2E7F}\x{1F000}-\x{1FAFF}]"
@@ -89,7 +87,7 @@ j AS (SELECT *, regexp_replace(t, '({_EMOJI})\x{{200D}}({_EMOJI})', '\1\2', 'g')
 SELECT field, row_id FROM j WHERE regexp_matches(t, '[\x{{FF10}}-\x{{FF19}}\x{{FF21}}-\x{{FF3A}}\x{{FF41}}-\x{{FF5A}}]') OR regexp_matches(t, '[\x{{300}}-\x{{36F}}]')
   OR regexp_matches(u, '[\x{{AD}}\x{{34F}}\x{{61C}}\x{{180E}}\x{{200B}}-\x{{200D}}\x{{2060}}-\x{{2064}}\x{{FEFF}}]') OR regexp_matches(t, '[\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{202F}}\x{{205F}}]')
   OR regexp_matches(t, '[\x{{2E80}}-\x{{2FDF}}\x{{F900}}-\x{{FAFF}}\x{{2F800}}-\x{{2FA1F}}]') OR regexp_matches(t, '\p{{Latin}}{_PART}[\p{{Greek}}\p{{Cyrillic}}]|[\p{{Greek}}\p{{Cyrillic}}]{_PART}\p{{Latin}}')
-  OR regexp_matches(t, '[{_HAN}][{_ODD_KANA}]{{1,2}}([^\x{{3040}}-\x{{30FF}}]|$)|(^|[^\x{{3040}}-\x{{30FF}}])[{_ODD_KANA}]{{1,2}}[{_HAN}]')
+  OR regexp_matches(t, '[{_HAN}][{_KANA}]{{1,2}}([^\x{{3040}}-\x{{30FF}}]|$)|(^|[^\x{{3040}}-\x{{30FF}}])[{_KANA}]{{1,2}}[{_HAN}]')
 """
 
 SQL["p9_found"] = r"""

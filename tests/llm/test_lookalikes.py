@@ -12,20 +12,33 @@ CASES = [
 
 
 @pytest.mark.parametrize("text,form,kinds", CASES)
-def test_forms(text, form, kinds):
-    assert L.Rewriter(L.rewrites({}))(text) == (form, kinds)
+def test_forms(spark, text, form, kinds):
+    assert L.Rewriter(L.rewrites(L.classes(spark), {}))(text) == (form, kinds)
 
 
-def test_classes_are_closed_and_disjoint():
-    _, classes = L._known()
+def test_classes_are_closed_and_disjoint(spark):
+    classes = L.classes(spark)
     members = [m for c in classes for m in c]
     assert len(members) == len(set(members))
     assert any({"a", "ａ", chr(0x430), chr(0x3B1)} <= set(c) for c in classes)
 
 
-def test_representatives_follow_frequency():
-    sets = {odd: plain for odd, plain, _ in L.rewrites({})}
-    assert sets["ａ"] == "a" and sets[chr(0x430)] == "a"
+def test_representatives_follow_frequency(spark):
+    g, enclosure = chr(0x261), chr(0x56D7)  # a script g, and the ideograph that looks like a mouth
+    rows = lambda *texts: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "k long, text string")
+    wide, radical = chr(0xFF47), chr(0x2F1D)
+    form = lambda *texts: {r["k"]: r["form"] for r in L.consistent(rows(*texts), ["k"]).collect()}
+    assert form(wide, "g g", g)[0] == "g"
+    assert form(radical, "口", enclosure, enclosure)[0] == enclosure and form(radical, "口口", enclosure)[0] == "口"
+    several = [odd for odd, plain, kind in L.rewrites(L.classes(spark), {}) if sum(L._fits(odd, kind, m) and L.kind_of(m) is None for c in L.classes(spark) if odd in c for m in c) > 1]
+    assert len(several) > 20
+
+
+def test_letters_and_marks_without_a_plain_form_are_found(spark):
+    again = L.Rewriter(L.rewrites(L.classes(spark), {}))
+    zhe = chr(0x436)
+    assert again("na" + zhe) == ("na" + zhe, ["script"]) and again(zhe) == (zhe, [])
+    assert again(chr(0xFF45) + chr(0x301)) == (chr(0xE9), ["accent", "width"])
 
 
 def test_forms_are_stable(spark):
@@ -33,6 +46,6 @@ def test_forms_are_stable(spark):
     got = L.consistent(rows, ["k"]).collect()
     assert len(got) == len(CASES) + 3
     assert {r["k"]: (r["form"], r["kinds"]) for r in got}[900] == (None, [])
-    again = L.Rewriter(L.rewrites({}))
+    again = L.Rewriter(L.rewrites(L.classes(spark), {}))
     assert all(again(r["form"])[0] == r["form"] for r in got if r["form"])
     assert L.consistent(rows.limit(0), ["k"]).count() == 0
