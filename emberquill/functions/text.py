@@ -8,6 +8,9 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
+from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column
@@ -103,66 +106,80 @@ def sentences(c) -> Column:
     return F.filter(F.transform(parts, lambda s: stripped(s)), lambda s: s != "")
 
 
-def pack_windows(parts, longest: int, overlap: int) -> list[str]:
-    """Sentences packed into windows of at most ``longest`` characters.
+def window_bounds(lengths: list[int], longest: int, overlap: int) -> list[tuple[int, int]]:
+    """Where windows begin and end in the sentences joined by single blanks, from the sentences' lengths alone.
 
-    A window that the next sentence would overflow is closed; the next starts with its last
-    ``overlap`` characters and a blank.  What alone is too long is cut every longest - overlap.
+    A window takes every sentence that ends within ``longest`` of its begin; the next begins
+    ``overlap`` before its end (without overlap at the next sentence).  If not even one new sentence
+    fits, the window is ``longest`` wide and the next begins longest - overlap further on.
     """
-    out, held = [], ""
-    for part in parts:
-        text = f"{held} {part}" if held else part
-        if held and len(text) > longest:
-            out.append(held)
-            text = f"{held[-overlap:]} {part}" if overlap else part
-        start = 0
-        while len(text) - start > longest:
-            out.append(text[start : start + longest])
-            start += longest - overlap
-        held = text[start:]
-    return [*out, held] if held else out
+    ends = [e + k for k, e in enumerate(accumulate(lengths))]
+    out: list[tuple[int, int]] = []
+    begin, taken = 0, 0
+    while taken < len(ends):
+        fitting = bisect_right(ends, begin + longest)
+        if fitting > taken:
+            out.append((begin, ends[fitting - 1]))
+            taken, begin = fitting, max(begin, ends[fitting - 1] - overlap) if overlap else ends[fitting - 1] + 1
+        else:
+            out.append((begin, begin + longest))
+            begin += longest - overlap
+    return out
 
 
 def packed_windows(parts: Column, longest: int = 500, overlap: int = 80) -> Column:
-    """``pack_windows`` of a column of sentences; null gives null."""
+    """Sentences packed into overlapping windows (see ``window_bounds``); null gives null."""
     if longest < 100 or not 0 <= overlap < longest:
         raise ValueError("windows hold at least 100 characters, more than their overlap")
 
     @F.pandas_udf(T.ArrayType(T.StringType()))
     def pack(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else pack_windows(v, longest, overlap))
+        return values.map(lambda v: None if v is None else [" ".join(v)[a:b] for a, b in window_bounds([len(x) for x in v], longest, overlap)])
 
     return pack(parts)
 
 
 # negation ----------------------------------------------------------------------------------------
 
-#: Clause boundaries and the words that negate what follows them.
+#: Clause boundaries, words that negate what follows them, and how far they reach.
 CLAUSE = re.compile(r"[,，。.!?！？;；:\r\n]+|\b(?:but|however|yet)\b|但是|不過|不过|然而|但|卻|却")
-NEGATION_ZH = re.compile(r"(?:不(?!斷|断|只|但|僅|仅|光|停|吝|懈|得不)|沒(?:有)?|没有|並非|并非|討厭|讨厌|避免|拒絕|拒绝).{0,10}$")
+NEGATION_ZH = re.compile(r"不(?!斷|断|只|但|僅|仅|光|停|吝|懈|得不)|沒(?:有)?|没有|並非|并非|討厭|讨厌|避免|拒絕|拒绝")
 NEGATION_EN = re.compile(
-    r"\b(?:not(?!\s+(?:only|just)\b)|never|no|without|don['’]t|doesn['’]t|didn['’]t|can['’]t|cannot|won['’]t|"
-    r"avoid(?:s|ed|ing)?|refus(?:e|es|ed|ing)|hate(?:s|d)?|dislike(?:s|d)?|non)(?:[\s-]+[a-z][a-z'’-]*){0,4}[\s-]*$"
+    r"\b(?:not(?!\s+(?:only|just)(?![A-Za-z0-9_]))|never|no|without|don['’]t|doesn['’]t|didn['’]t|can['’]t|cannot|won['’]t|"
+    r"avoid(?:s|ed|ing)?|refus(?:e|es|ed|ing)|hate(?:s|d)?|dislike(?:s|d)?|non)"
 )
-NEAR, FAR = 16, 160
+WORDS_ON = re.compile(r"(?:[\s-]+[a-z][a-z'’-]*){0,4}[\s-]*")
+NEAR, REACH, FAR = 16, 10, 160
+
+
+@lru_cache(maxsize=4096)
+def negated_spans(text: str) -> tuple[list[int], list[tuple[int, int, int]]]:
+    """Where clauses begin, and (begin of the negator, first and last place it negates), in order.
+
+    One scan a text, whatever the number of terms that are looked up in it afterwards: a Chinese
+    negator reaches ten characters, an English one four words, neither beyond its clause.
+    """
+    clauses = [0, *(m.end() for m in CLAUSE.finditer(text))]
+    spans = [(m.start(), m.end(), min(m.end() + REACH, m.start() + NEAR)) for m in NEGATION_ZH.finditer(text)]
+    spans += [(m.start(), m.end(), min(WORDS_ON.match(text, m.end()).end(), m.start() + FAR)) for m in NEGATION_EN.finditer(text)]
+    return clauses, sorted(spans)
 
 
 def affirms(text: str, term: str) -> bool:
     """Whether a canonical text holds a canonical term at least once without a negation before it in its clause."""
-    word = lambda i: 0 <= i < len(text) and (text[i] == "_" or text[i].isascii() and text[i].isalnum())
-    own = lambda c: c == "_" or c.isascii() and c.isalnum()
-    at = text.find(term) if term else -1
-    while at >= 0:
-        end = at + len(term)
-        if not (own(term[0]) and word(at - 1)) and not (own(term[-1]) and word(end)):
-            scope = text[max(0, at - FAR) : at]
-            for boundary in CLAUSE.finditer(text[max(0, at - FAR) : at]):
-                scope = text[max(0, at - FAR) + boundary.end() : at]
-            if not NEGATION_ZH.search(scope[-NEAR:]) and not NEGATION_EN.search(scope):
-                return True
-            at = text.find(term, end)
-        else:
-            at = text.find(term, at + 1)
+    if not term or term not in text:
+        return False
+    clauses, spans = negated_spans(text)
+    edge = lambda c, side: rf"(?{side}[A-Za-z0-9_])" if re.match(r"[A-Za-z0-9_]", c) else ""
+    whole = re.compile(edge(term[0], "<!") + re.escape(term) + edge(term[-1], "!"))
+    for found in whole.finditer(text):
+        at = found.start()
+        clause = clauses[bisect_right(clauses, at) - 1]
+        if any(m.end() == at for m in CLAUSE.finditer(text, max(clause, at - 8), at)):  # a conjunction with the term right behind it
+            clause = at
+        first = bisect_left(spans, (max(clause, at - FAR),))
+        if not any(begin <= at <= end for _, begin, end in spans[first : bisect_left(spans, (at,))]):
+            return True
     return False
 
 
@@ -179,64 +196,54 @@ def affirmed(texts: pd.Series, terms: pd.Series) -> pd.Series:
 
 # display -----------------------------------------------------------------------------------------
 
-ENDINGS, REPEATED, CLOSERS, BREAKS = "。", "。！？!?；;.", "」』）)】]》〉”’\"", "！？!?；;，,、：:"
-
-
-def display_sentences(text: str) -> list[str]:
-    """Sentences with their trailing blanks: a dot between digits or beside a dot ends none, ! and ? only before a blank."""
-    out, start, at, size = [], 0, 0, len(text)
-    while at < size:
-        c, before, after = text[at], text[at - 1 : at] if at else "", text[at + 1 : at + 2]
-        ends = c in ENDINGS or (c in "！？!?" and (not after or after.isspace())) or (c == "." and not (before.isdigit() and after.isdigit()) and "." not in (before, after))
-        at += 1
-        if ends:
-            for group in (REPEATED, CLOSERS):
-                while at < size and text[at] in group:
-                    at += 1
-            while at < size and text[at].isspace():
-                at += 1
-            out.append(text[start:at])
-            start = at
-    return [s for s in [*out, text[start:]] if s.strip()]
-
-
-def visible(text: str) -> int:
-    return sum(not c.isspace() for c in text)
-
-
-def bounded_fragments(text: str, longest: int) -> list[str]:
-    """Pieces of at most ``longest`` visible characters, cut after the last break in their second half or hard."""
-    out = []
-    while visible(text) > longest:
-        seen, soft, at = 0, 0, 0
-        for at, c in enumerate(text, 1):
-            seen += not c.isspace()
-            if c in BREAKS and max(1, longest // 2) <= seen <= longest:
-                soft = at
-            if seen >= longest:
-                break
-        cut = soft or at
-        cut += len(text[cut:]) - len(text[cut:].lstrip())
-        out.append(text[:cut])
-        text = text[cut:]
-    return [*out, text] if text else out
+#: Marks that end a sentence, those that may follow them, closing marks, and where a long sentence may be cut.
+SENTENCE_END = r"。|[！？!?](?=\s|\Z)|(?<![.])[.](?![.])(?:(?<![0-9][.])|(?![0-9]))"
+REPEATED, CLOSERS = "[。！？!?；;.]*", "[」』）)\\]】》〉”’\"]*"
+BREAK = re.compile("[！？!?；;，,、：:]")
+SENTENCE = re.compile(rf"(?:{SENTENCE_END}){REPEATED}{CLOSERS}\s*")
+
+
+class Block:
+    """One line of a text with the sums of its visible characters, by which all cuts are found."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.seen = [0, *accumulate(not c.isspace() for c in text)]  # visible characters before each place
+        self.places = [i for i, c in enumerate(text) if not c.isspace()]  # place of each visible character
+        self.breaks = [m.end() for m in BREAK.finditer(text)]
+
+    def cuts(self, longest: int) -> list[int]:
+        """Ends of fragments: of sentences, and within those of more than ``longest`` visible characters after the last break in the second half, or hard."""
+        out, begin = [], 0
+        for end in dict.fromkeys([*(m.end() for m in SENTENCE.finditer(self.text)), len(self.text)]):
+            while self.seen[end] - self.seen[begin] > longest:
+                base = self.seen[begin]
+                hard = self.places[base + longest - 1] + 1
+                k = bisect_right(self.breaks, hard) - 1
+                soft = self.breaks[k] if k >= 0 and self.breaks[k] > begin and self.seen[self.breaks[k]] - base >= max(1, longest // 2) else hard
+                begin = self.places[self.seen[soft]]  # blanks after a cut go with what is before it
+                out.append(begin)
+            if self.seen[end] > self.seen[begin]:
+                out.append(end)
+            begin = end
+        return out
+
+    def paragraphs(self, longest: int, most: int | None) -> list[str]:
+        """As many fragments a paragraph as ``longest`` visible characters and ``most`` allow, one at least."""
+        ends = self.cuts(longest)
+        sums = [self.seen[e] for e in ends]
+        out, k, begin = [], 0, 0
+        while k < len(ends):
+            last = max(k, bisect_right(sums, self.seen[begin] + longest) - 1)
+            last = last if most is None else min(last, k + most - 1)
+            out.append(self.text[begin : ends[last]].strip())
+            k, begin = last + 1, ends[last]
+        return out
 
 
 def display_paragraphs(text: str, longest: int = 160, most: int | None = None) -> list[str]:
     """Readable paragraphs: line breaks are kept, sentences grouped up to ``most`` and ``longest`` visible characters."""
-    out: list[str] = []
-    for block in re.split(r"\r\n|\r|\n", text):
-        held, size = [], 0
-        for fragment in (f for s in display_sentences(block.strip()) for f in bounded_fragments(s, longest)):
-            n = visible(fragment)
-            if held and (size + n > longest or (most is not None and len(held) >= most)):
-                out.append("".join(held).strip())
-                held, size = [], 0
-            held.append(fragment)
-            size += n
-        if held:
-            out.append("".join(held).strip())
-    return out
+    return [p for line in re.split(r"\r\n|\r|\n", text) for p in Block(line.strip()).paragraphs(longest, most)]
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
@@ -337,31 +344,34 @@ def chinese_prose(c) -> Column:
     return F.coalesce((F.regexp_count(c, F.lit("[㐀-鿿]")) >= 12) & ~c.rlike(r"(?:\b[A-Za-z][A-Za-z'-]*\b\s*){4,}") & ~raw, F.lit(False))
 
 
-#: Words of behaviour, which a summary should hold, and of appearance, which it shouldn't.
-BEHAVIOUR = "性格 夥伴 群居 合作 信任 忠誠 守護 保護 照顧 支持 溫柔 熱情 冷靜 勇敢 交流 聯絡 心情 寂寞 獨處 喜歡 好奇 智慧 聰明 舞蹈".split()
-APPEARANCE = "全身 身體 外形 外觀 顏色 毛髮 羽毛 眼睛 鼻子 尾巴 翅膀 四肢 足部 頭部".split()
+#: Words of behaviour, which a summary should hold, and of appearance, which it shouldn't; labels that name a source.
+BEHAVIOUR = [
+    "性格", "夥伴", "群居", "合作", "信任", "忠誠", "守護", "保護", "照顧", "支持", "溫柔", "熱情",
+    "冷靜", "勇敢", "交流", "聯絡", "心情", "寂寞", "獨處", "喜歡", "好奇", "智慧", "聰明", "舞蹈",
+]
+APPEARANCE = ["全身", "身體", "外形", "外觀", "顏色", "毛髮", "羽毛", "眼睛", "鼻子", "尾巴", "翅膀", "四肢", "足部", "頭部"]
+SOURCE_LABELS = ["中文圖鑑描述", "英文 flavor text"]
+#: What surrounds a segment without belonging to it, and the ideographs that make it Chinese.
+AROUND, IDEOGRAPH = r"[ \[\]【】()（）,，:：-]+", "[㐀-鿿]"
 
 
 def chinese_summary(c, longest: int = 110) -> Column:
     """The segment richest in behaviour (three a word, less two a word of appearance), earlier first, at most ``longest`` characters.
 
-    A longer one ends at its last full-width comma within the limit.  Without a segment of three
-    ideographs the summary is empty; null gives null.
+    A label that names the source is taken off.  A longer segment ends at its last full-width comma
+    within the limit.  Without a segment of three ideographs the summary is empty; null gives null.
     """
     c = F.col(c) if isinstance(c, str) else c
     text = F.trim(F.regexp_replace(c, BLANK, " "))
     parts = F.flatten(F.transform(F.split(text, r"[|｜]+"), lambda p: F.split(p, r"(?<=[。！？；])")))
-    count = lambda s, words: sum((F.when(s.contains(w), 1).otherwise(0) for w in words[1:]), F.when(s.contains(words[0]), 1).otherwise(0))
-    outer = r"[ \[\]【】()（）,，:：-]+"
-    scored = F.transform(
-        F.transform(parts, lambda s: F.regexp_replace(s, f"^{outer}|{outer}$", "")),
-        lambda s, i: F.struct((3 * count(s, BEHAVIOUR) - 2 * count(s, APPEARANCE)).alias("score"), (-i).alias("place"), s.alias("s")),
-    )
-    best = F.array_max(F.filter(scored, lambda x: F.regexp_count(x["s"], F.lit("[㐀-鿿]")) >= 3))["s"]
+    held = lambda s, words: F.size(F.filter(F.array(*map(F.lit, words)), lambda w: s.contains(w)))
+    bare = lambda s: F.regexp_replace(F.regexp_replace(s, f"^{AROUND}|{AROUND}$", ""), rf"^(?:{'|'.join(SOURCE_LABELS)}) *[:：] *", "")
+    ranked = F.transform(F.transform(parts, bare), lambda s, i: F.struct((3 * held(s, BEHAVIOUR) - 2 * held(s, APPEARANCE)).alias("score"), (-i).alias("place"), s.alias("s")))
+    best = F.array_max(F.filter(ranked, lambda x: F.regexp_count(x["s"], F.lit(IDEOGRAPH)) >= 3))["s"]
     head = F.substring(best, 1, longest)
-    shorter = F.regexp_replace(F.regexp_replace(head, r"，[^，]*$", ""), r"[，。！？； ]+$", "")
-    cut = F.when(shorter == "", F.regexp_replace(head, r"\s+$", "")).otherwise(shorter)
-    return F.when(c.isNull(), None).when(best.isNull(), "").when(F.length(best) <= longest, best).otherwise(F.concat(cut, F.lit("……")))
+    clause = F.regexp_replace(F.regexp_replace(head, r"，[^，]*$", ""), r"[，。！？； ]+$", "")
+    cut = F.concat(F.coalesce(F.nullif(clause, F.lit("")), F.rtrim(head)), F.lit("……"))
+    return F.when(c.isNull(), None).when(best.isNull(), "").when(F.length(best) <= longest, best).otherwise(cut)
 
 
 def ideographic_traits(c: Column, most: int = 3) -> Column:
@@ -370,6 +380,11 @@ def ideographic_traits(c: Column, most: int = 3) -> Column:
 
 
 def profile_text(labels: dict[str, str]) -> Column:
-    """Labelled lines of columns (label, column), each value blank-free lines dropped, joined by line breaks."""
-    lines = [F.when(stripped(F.coalesce(F.col(c).cast("string"), F.lit(""))) != "", F.concat(F.lit(label), F.col(c).cast("string"))) for label, c in labels.items()]
-    return F.concat_ws("\n", *lines)
+    """Labelled lines of columns (label, column), joined by line breaks.
+
+    A null value is written as ``None``.  A line is left out if nothing but blanks follows its first
+    full-width colon; a label without one keeps its line whatever the value.
+    """
+    lines = [F.concat(F.lit(label), F.coalesce(F.col(c).cast("string"), F.lit("None"))) for label, c in labels.items()]
+    told = lambda line: stripped(F.regexp_replace(line, "(?s)^.*?：", "")) != ""
+    return F.array_join(F.filter(F.array(*lines), told), "\n")

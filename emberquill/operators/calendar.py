@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 #: The twelve double hours from 23:00, and solar terms by season.
 BRANCHES = "子丑寅卯辰巳午未申酉戌亥"
 SEASONS = {
-    "spring": "立春 雨水 驚蟄 春分 清明 穀雨".split(),
-    "summer": "立夏 小滿 芒種 夏至 小暑 大暑".split(),
-    "autumn": "立秋 處暑 白露 秋分 寒露 霜降".split(),
-    "winter": "立冬 小雪 大雪 冬至 小寒 大寒".split(),
+    "春": ["立春", "雨水", "驚蟄", "春分", "清明", "穀雨"],
+    "夏": ["立夏", "小滿", "芒種", "夏至", "小暑", "大暑"],
+    "秋": ["立秋", "處暑", "白露", "秋分", "寒露", "霜降"],
+    "冬": ["立冬", "小雪", "大雪", "冬至", "小寒", "大寒"],
 }
 
 
@@ -40,9 +40,9 @@ def lunar_phase(day) -> Column:
 
 
 def season(term) -> Column:
-    """The season of a solar term; null for no term."""
+    """春, 夏, 秋 or 冬 of a solar term; any other value fails the query, null stays null."""
     t = F.col(term) if isinstance(term, str) else term
-    out = F.lit(None).cast("string")
+    out = F.when(t.isNull(), F.lit(None).cast("string"))
     for name, terms in SEASONS.items():
-        out = F.when(t.isin(terms), name).otherwise(out)
-    return out
+        out = out.when(t.isin(terms), name)
+    return out.otherwise(F.raise_error(F.concat(F.lit("unsupported solar term: "), t)))

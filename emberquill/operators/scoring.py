@@ -142,9 +142,22 @@ def matched_terms(rows: DataFrame, vocabulary: DataFrame, most: int = 3) -> Data
     return best.withColumn("place", F.row_number().over(w)).where(F.col("place") <= most).select("id", "place", "term", "weight")
 
 
+def components(semantic: Column, asked: Column, own: Column, place: Column) -> Column:
+    """semantic, personality, typed and total of a query and an entity, from the two affinity arrays.
+
+    ``personality`` is the clipped cosine of ``asked`` and ``own`` and counts for a quarter of the text
+    match whenever neither is all zero, orthogonal ones included.  ``place`` is the chosen type's place
+    in ``own`` from 0, or null; its affinity is then a quarter of the total.  All are rounded to 8 digits.
+    """
+    semantic, personality = V.clipped(semantic.cast("double")), V.cosine(asked, own)
+    typed = F.when(place.isNotNull(), V.clipped(F.get(own, place).cast("double")))
+    total = blend(semantic, F.when((V.norm(asked) > 0) & (V.norm(own) > 0), personality), typed)
+    return F.struct(F.round(semantic, 8).alias("semantic"), F.round(personality, 8).alias("personality"), F.round(typed, 8).alias("typed"), total.alias("total"))
+
+
 def blend(semantic: Column, personality: Column, typed: Column) -> Column:
-    """The total: text match (three quarters semantic, one quarter personality if there is any), a quarter of it the type's share if one is chosen; clipped, 8 digits."""
-    text = F.when(personality > 0, 0.75 * semantic + 0.25 * personality).otherwise(semantic)
+    """The total: text match (three quarters semantic, one quarter personality unless that is null: a side without affinities), three quarters of it and one quarter the type's share if that isn't null; clipped, 8 digits."""
+    text = F.when(personality.isNull(), semantic).otherwise(0.75 * semantic + 0.25 * personality)
     return F.round(V.clipped(F.when(typed.isNull(), text).otherwise(0.75 * text + 0.25 * typed)), 8)
 
 

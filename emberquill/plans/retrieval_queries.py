@@ -89,6 +89,20 @@ def score_blend(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumn("blended", S.blend(F.col("semantic"), F.col("personality"), F.col("mbti"))).groupBy("request_id", "pokemon_id").agg(F.max("blended").alias("blended"), F.count("*").alias("n"))
 
 
+def _affinity(number: str):
+    """Four affinities by a number's remainders: all zero, orthogonal and common ones occur."""
+    return F.array(*(F.when(F.col(number) % m == r, (F.col(number) % 7 + 1) / 8).otherwise(0.0) for m, r in ((2, 0), (2, 1), (3, 1), (5, 2))))
+
+
+def score_components(spark: SparkSession, d: str) -> DataFrame:
+    """All components of every stored candidate from two affinity arrays; every third request has chosen a type."""
+    rows = table(spark, d, "recommendation_result").select("request_id", "pokemon_id", "semantic").where(F.col("semantic").isNotNull() & ~F.isnan("semantic")).distinct()
+    zero = F.array(*[F.lit(0.0)] * 4)
+    place = F.when(F.col("request_id") % 3 == 0, (F.col("request_id") % 4).cast("int"))
+    scored = S.components(F.col("semantic"), F.when(F.col("request_id") % 11 == 0, zero).otherwise(_affinity("request_id")), F.when(F.col("pokemon_id") % 13 == 0, zero).otherwise(_affinity("pokemon_id")), place)
+    return rows.select("request_id", "pokemon_id", scored.alias("c")).select("request_id", "pokemon_id", "c.*")
+
+
 def final_ranking(spark: SparkSession, d: str) -> DataFrame:
     """Each request's ten best candidates in the final total order."""
     rows = table(spark, d, "recommendation_result").where(F.col("total").isNotNull() & ~F.isnan("total"))
@@ -152,7 +166,7 @@ def recall_vs_exact(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        dense_topk, lexical_topk, rrf_fuse, hybrid_entities, candidate_union, vector_mean_normalised, vector_weighted_mean, label_affinity, score_blend,
+        dense_topk, lexical_topk, rrf_fuse, hybrid_entities, candidate_union, vector_mean_normalised, vector_weighted_mean, label_affinity, score_blend, score_components,
         final_ranking, rerank_blend, unit_hash, daily_selection, keyword_coverage, trait_vector, affirmed_terms, recommend, recall_vs_exact,
     )
 }
@@ -184,6 +198,7 @@ _MEANQ = "WITH " + _MEAN + " SELECT label, place, round(v / sqrt(sum(v * v) OVER
 _FINAL = """b AS (SELECT request_id, pokemon_id, max({'t': total, 's': semantic, 'p': personality}) AS s FROM recommendation_result WHERE total IS NOT NULL AND NOT isnan(total) GROUP BY 1, 2),
 f AS (SELECT request_id, pokemon_id, s.t AS total, row_number() OVER (PARTITION BY request_id ORDER BY s.t DESC NULLS LAST, s.s DESC NULLS LAST, s.p DESC NULLS LAST, pokemon_id)::INTEGER AS rank FROM b QUALIFY rank <= 10)"""
 _UNIT = "(('0x' || substr(sha256({0}), 1, 16))::UBIGINT::DOUBLE / 18446744073709551615.0::DOUBLE)"
+_AFFINITY = "[" + ", ".join(f"CASE WHEN {{0}} % {m} = {r} THEN ({{0}} % 7 + 1) / 8.0::DOUBLE ELSE 0.0::DOUBLE END" for m, r in ((2, 0), (2, 1), (3, 1), (5, 2))) + "]"
 _VOCABULARY = "v(trait_index, trait, term, weight) AS (VALUES " + ", ".join(f"({i}, '{t}', '{w}', {x}::DOUBLE)" for i, t, w, x in S.DEMO_TERMS) + ")"
 SQL = {
     "dense_topk": f"WITH {_DENSE} SELECT query_id, chunk_id, round(dense_score, 6) + 0 AS dense_score, dense_rank FROM dn",
@@ -198,8 +213,14 @@ SELECT query_id, entity_id, round(coalesce(ca.retrieval_score, 0), 8) AS retriev
     "vector_weighted_mean": _MEANQ.format(w="1 + vec_id % 3"),
     "label_affinity": "WITH " + _MEAN.format(w="1") + f""", p AS (SELECT label, list(round(v / n, 8) ORDER BY place) AS prototype FROM (SELECT *, sqrt(sum(v * v) OVER (PARTITION BY label)) AS n FROM m) GROUP BY 1)
 SELECT vec_id AS id, p.label, round(greatest(0, least(1, {_DOT.format('embedding', 'prototype')} / ({_NORM.format('embedding', 'embedding')} * {_NORM.format('prototype', 'prototype')}))), 5) AS affinity FROM embeddings, p""",
-    "score_blend": """WITH r AS (SELECT request_id, pokemon_id, CASE WHEN mbti IS NULL THEN t ELSE 0.75 * t + 0.25 * mbti END AS x FROM (SELECT *, CASE WHEN personality > 0 THEN 0.75 * semantic + 0.25 * personality ELSE semantic END AS t FROM recommendation_result))
+    "score_blend": """WITH r AS (SELECT request_id, pokemon_id, CASE WHEN mbti IS NULL THEN t ELSE 0.75 * t + 0.25 * mbti END AS x FROM (SELECT *, CASE WHEN personality IS NULL THEN semantic ELSE 0.75 * semantic + 0.25 * personality END AS t FROM recommendation_result))
 SELECT request_id, pokemon_id, max(round(greatest(0, least(1, x)), 8)) AS blended, count(*) AS n FROM r GROUP BY 1, 2""",
+    "score_components": f"""WITH r AS (SELECT DISTINCT request_id, pokemon_id, semantic FROM recommendation_result WHERE semantic IS NOT NULL AND NOT isnan(semantic)),
+v AS (SELECT *, CASE WHEN request_id % 11 = 0 THEN [0.0, 0.0, 0.0, 0.0] ELSE {_AFFINITY.format("request_id")} END AS q, CASE WHEN pokemon_id % 13 = 0 THEN [0.0, 0.0, 0.0, 0.0] ELSE {_AFFINITY.format("pokemon_id")} END AS e FROM r),
+n AS (SELECT *, greatest(0, least(1, semantic)) AS s, list_dot_product(q::DOUBLE[], e::DOUBLE[]) AS d, sqrt(list_dot_product(q::DOUBLE[], q::DOUBLE[])) AS a, sqrt(list_dot_product(e::DOUBLE[], e::DOUBLE[])) AS b, CASE WHEN request_id % 3 = 0 THEN e[request_id % 4 + 1] END AS t FROM v),
+p AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN greatest(0, least(1, d / (a * b))) ELSE 0 END AS p FROM n),
+x AS (SELECT *, CASE WHEN a > 0 AND b > 0 THEN 0.75::DOUBLE * s + 0.25::DOUBLE * p ELSE s END AS m FROM p)
+SELECT request_id, pokemon_id, round(s, 8) AS semantic, round(p, 8) AS personality, round(t, 8) AS typed, round(greatest(0, least(1, CASE WHEN t IS NULL THEN m ELSE 0.75::DOUBLE * m + 0.25::DOUBLE * t END)), 8) AS total FROM x""",
     "final_ranking": f"WITH {_FINAL} SELECT * FROM f",
     "rerank_blend": f"""WITH {_FINAL}, r AS (SELECT *, 1 / (1 + exp(-(pokemon_id % 7 - 3)::DOUBLE)) AS sg FROM f), c AS (SELECT request_id, count(*) AS n FROM f GROUP BY 1),
 t AS (SELECT request_id, pokemon_id, rank AS base_rank, round(total, 8) AS pre_rerank_total, CASE WHEN n >= 3 THEN round(sg, 8) END AS reranker, CASE WHEN n >= 3 THEN round(0.75 * total + 0.25 * sg, 8) ELSE round(total, 8) END AS total, total AS base FROM r JOIN c USING (request_id))

@@ -18,12 +18,15 @@ _WRITTEN: list[str] = []
 
 
 def build_session(app_name: str = "emberquill", master: str | None = None, cpus: int = 8) -> SparkSession:
-    """A session with the settings the operators assume; local unless a master is given."""
+    """A session with the settings the operators assume; local unless a master is given.
+
+    The number of shuffle partitions is the cores' only on a local master; a cluster keeps its own.
+    """
+    builder = SparkSession.builder.appName(app_name).master(master or f"local[{cpus}]")
+    if (master or "local").startswith("local") and not (master or "").startswith("local-cluster"):
+        builder = builder.config("spark.sql.shuffle.partitions", str(cpus))
     spark = (
-        SparkSession.builder.appName(app_name)
-        .master(master or f"local[{cpus}]")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(cpus))
+        builder.config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", os.environ.get("EMBERQUILL_DRIVER_MEMORY", "12g"))
@@ -62,8 +65,8 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster.  Where it is unset (tests, local runs) a
-    folder of this machine is made once and set as the checkpoint folder of the context.
+    ``spark.checkpoint.dir`` names it on a cluster, where it must be set (RuntimeError).  On a local
+    master without it a folder of this machine is made once and set as the checkpoint folder.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
@@ -72,6 +75,8 @@ def shared_folder(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="emberquill-")
     atexit.register(shutil.rmtree, folder, ignore_errors=True)
     sc.setCheckpointDir(folder)

@@ -110,8 +110,20 @@ def test_visible_chunks_need_every_stage(spark):
 
 
 def test_blend(spark):
-    rows = spark.createDataFrame([(0.4, 1.0, None), (0.4, 1.0, 1.0), (0.4, 0.0, None), (2.0, 0.0, None)], "s double, p double, t double")
-    assert [r[0] for r in rows.select(S.blend(F.col("s"), F.col("p"), F.col("t"))).collect()] == [0.55, 0.6625, 0.4, 1.0]
+    rows = spark.createDataFrame([(0.4, 1.0, None), (0.4, 1.0, 1.0), (0.4, None, None), (2.0, None, None), (0.4, 0.0, None)], "s double, p double, t double")
+    assert [r[0] for r in rows.select(S.blend(F.col("s"), F.col("p"), F.col("t"))).collect()] == [0.55, 0.6625, 0.4, 1.0, 0.3]
+
+
+@pytest.mark.parametrize(
+    "asked,own,place,want",
+    [
+        ([1.0, 0.0], [1.0, 0.0], None, (0.4, 1.0, None, 0.55)), ([1.0, 0.0], [1.0, 0.0], 0, (0.4, 1.0, 1.0, 0.6625)), ([0.0, 0.0], [1.0, 0.0], None, (0.4, 0.0, None, 0.4)),
+        ([1.0, 0.0], [0.0, 1.0], None, (0.4, 0.0, None, 0.3)), ([1.0, 0.0], [0.0, 1.0], 1, (0.4, 0.0, 1.0, 0.475)), ([1.0, 0.0], [0.0, 0.0], 1, (0.4, 0.0, 0.0, 0.3)),
+    ],
+)
+def test_components(spark, asked, own, place, want):
+    rows = spark.createDataFrame([(0.4, asked, own, place)], "s double, a array<double>, o array<double>, p int")
+    assert tuple(rows.select(S.components(F.col("s"), F.col("a"), F.col("o"), F.col("p")).alias("c")).first()["c"]) == want
 
 
 def test_coverage_counts_a_canonical_term_once(spark):
@@ -193,7 +205,9 @@ def test_calendar(spark):
     rows = spark.createDataFrame([("2026-09-29 14:35:12",), ("2026-09-29 23:30:00",), ("2026-09-30 00:30:00",)], "t string").select(F.to_timestamp("t").alias("t"))
     got = rows.select(K.branch("t"), F.date_format(K.valid_until("t"), "dd HH:mm")).collect()
     assert [tuple(r) for r in got] == [("未", "29 15:00"), ("子", "30 00:00"), ("子", "30 01:00")]
-    assert [r[0] for r in spark.createDataFrame([("秋分",), ("x",)], "s string").select(K.season("s")).collect()] == ["autumn", None]
+    assert [r[0] for r in spark.createDataFrame([("秋分",), ("大寒",), (None,)], "s string").select(K.season("s")).collect()] == ["秋", "冬", None]
+    with pytest.raises(Exception, match="unsupported solar term: x"):
+        spark.createDataFrame([("x",)], "s string").select(K.season("s")).collect()
 
 
 def test_catalogue(spark):
