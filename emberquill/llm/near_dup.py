@@ -8,9 +8,14 @@ count estimates high similarities closely.  Candidates whose estimate is clearly
 threshold are dropped; the rest are verified on the exact shingle sets.
 
 Scale.  Identical texts are reduced to one representative before any pairing (map-side first), so
-copies never meet in a band.  The one large shuffle carries 16 bytes per text and band.  Candidate
-pairs grow with true likeness: six samples a band let a pair of similarity 0.2 meet in a given
-band with probability 6e-5.  Nothing is capped, and nothing but counts reaches the driver.
+copies never meet in a band.  The one large shuffle carries a key and a number per text and band, is
+written once and read once, in as many tasks as its rows need: texts of a band meet where it is
+sorted.  Bands of more than FAMILY texts are handed to a join of their own, which can be split.
+Candidate pairs grow with true likeness: six samples a band let a pair of similarity 0.2 meet in a
+given band with probability 6e-5.  Screening moves sketches of 64 bytes.  For verification pairs are
+laid on a grid of blocks by both ends, so a text is sent to as many blocks as it has partners in, and
+never to more than two rows of the grid, whatever the size of its family.  Nothing is capped, and
+nothing but counts reaches the driver.
 
 With the defaults (44 bands of 6) a pair of similarity 0.7 becomes a candidate with probability
 0.996, of 0.75 with 0.9998.
@@ -25,7 +30,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from emberquill.session import materialise
 
@@ -34,6 +38,12 @@ BANDS, ROWS, SKETCH_BITS = 44, 6, 512
 SLACK = 0.14
 #: Grams hashed at a time; small enough to stay in the processor's cache.
 BLOCK = 24_000
+#: Bits of a band's key: chance collisions are screened like any candidates.
+KEY_BITS = 40
+#: Texts of a band that are paired where they meet, rows of the band shuffle a task, pairs of a verification block.
+FAMILY, PER_TASK, PER_BLOCK = 256, 400_000, 20_000
+#: Characters of texts whose shingle sets a verifying task keeps.
+KEPT = 2_000_000
 SPACES = r"[\s\p{Z}\x1c-\x1f\x85]+"
 
 
@@ -106,50 +116,129 @@ def signatures(texts: list[str], size: int, unit: str, bands: int, rows: int) ->
     return keys.view(np.int64), bits.view(np.int64), counts
 
 
-def _signer(size: int, unit: str, bands: int, rows: int):
+def _signer(size: int, unit: str, bands: int, rows: int, what: str):
+    """Band rows (band, uid) or sketches (uid, sketch) of texts that hold a shingle."""
+
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 2000):
                 part = batch.slice(at, 2000)
                 keys, bits, counts = signatures(part.column("text").to_pylist(), size, unit, bands, rows)
                 keep = np.flatnonzero(counts)
-                if not len(keep):
-                    continue
-                part = part.take(pa.array(keep))
-                width = lambda m: pa.array(np.arange(0, m.size + 1, m.shape[1], dtype=np.int32))
-                keys, bits = keys[keep], bits[keep]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("uid"), part.column("text"), pa.ListArray.from_arrays(width(keys), pa.array(keys.ravel())), pa.ListArray.from_arrays(width(bits), pa.array(bits.ravel()))],
-                    ["uid", "text", "bands", "sketch"],
-                )
+                uid = part.column("uid").to_numpy()[keep]
+                if what == "bands":  # rows of one part and band meet
+                    key = _mix(keys[keep].view(np.uint64) + (uid % 16).astype(np.uint64)[:, None]) >> np.uint64(64 - KEY_BITS)
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel().view(np.int64)), pa.array(np.repeat(uid, bands))], ["band", "uid"])
+                else:
+                    offsets = pa.array(np.arange(0, bits[keep].size + 1, bits.shape[1], dtype=np.int32))
+                    yield pa.RecordBatch.from_arrays([pa.array(uid), pa.ListArray.from_arrays(offsets, pa.array(bits[keep].ravel()))], ["uid", "sketch"])
 
     return sign
 
 
+def meetings(band: np.ndarray, uid: np.ndarray, family: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (ua < ub) of equal bands, given in order of band and uid, and a mask of the rows of bands with more than ``family``."""
+    starts = np.flatnonzero(np.r_[True, band[1:] != band[:-1]]) if len(band) else np.empty(0, np.int64)
+    sizes = np.diff(np.r_[starts, len(band)])
+    large = np.repeat(sizes > family, sizes)
+    band, uid = band[~large], uid[~large]
+    ua, ub = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for step in range(1, family):
+        same = np.flatnonzero(band[step:] == band[:-step]) if step < len(band) else ()
+        if not len(same):
+            break
+        ua.append(uid[same])
+        ub.append(uid[same + step])
+    return np.concatenate(ua), np.concatenate(ub), large
+
+
+def _meet(family: int):
+    """Pairs (ua, ub) of rows in order of band and uid; rows of large bands come out as (uid, null, band)."""
+
+    def out(ua, ub, band) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.r_[ua, band[0]]), pa.concat_arrays([pa.array(ub, pa.int64()), pa.nulls(len(band[0]), pa.int64())]), pa.concat_arrays([pa.nulls(len(ua), pa.int64()), pa.array(band[1], pa.int64())])], ["ua", "ub", "band"])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held_band, held_uid, streamed = np.empty(0, np.int64), np.empty(0, np.int64), None
+        for batch in batches:
+            band, uid = np.r_[held_band, batch.column("band").to_numpy()], np.r_[held_uid, batch.column("uid").to_numpy()]
+            if not len(band):
+                continue
+            more = int(np.searchsorted(band, streamed, "right")) if streamed is not None else 0  # the rest of a large band
+            if more:
+                yield out(uid[:0], uid[:0], (uid[:more], band[:more]))
+            band, uid = band[more:], uid[more:]
+            last = int(np.searchsorted(band, band[-1])) if len(band) else 0
+            streamed = None if not more or len(band) else streamed
+            if len(band) - last > family:
+                streamed, last = band[-1], len(band)
+            ua, ub, large = meetings(band[:last], uid[:last], family)
+            yield out(ua, ub, (uid[:last][large], band[:last][large]))
+            held_band, held_uid = band[last:], uid[last:]
+        ua, ub, _ = meetings(held_band, held_uid, family)
+        yield out(ua, ub, (held_uid[:0], held_band[:0]))
+
+    return meet
+
+
+def candidates(texts: DataFrame, *, size: int, unit: str, bands: int, rows: int) -> DataFrame:
+    """Distinct pairs ua < ub of texts (uid, text) of one part that share a band."""
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() * bands // PER_TASK))
+    banded = texts.mapInArrow(_signer(size, unit, bands, rows, "bands"), "band bigint, uid bigint").repartition(tasks, "band").sortWithinPartitions("band", "uid")
+    met = materialise(banded.mapInArrow(_meet(FAMILY), "ua bigint, ub bigint, band bigint"), "near-met")
+    large = met.where("ub IS NULL").select("band", "ua")
+    more = large.join(large.select("band", F.col("ua").alias("ub")), "band").where("ua < ub").select("ua", "ub")
+    return met.where("ub IS NOT NULL").select("ua", "ub").unionByName(more).distinct()
+
+
 def _verifier(size: int, unit: str, num: int, den: int):
+    """Alike pairs (ua, ub, similarity) of rows in order of block: first its texts (ua, text), then its pairs (ua, ub) in order."""
+
     def shingles(text: str) -> frozenset:
         units = text if unit == "char" else tuple(text.split())
         return frozenset(units[i : i + size] for i in range(len(units) - size + 1))
 
     def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, texts, sets, kept = None, {}, {}, 0
         for batch in batches:
-            shared, joint, last, left = [], [], None, frozenset()
-            for a, b in zip(batch.column("text_a").to_pylist(), batch.column("text_b").to_pylist()):
-                if a != last:
-                    last, left = a, shingles(a)
-                right = shingles(b)
+            ua, ub, similarity = [], [], []
+            for b, a, c, text in zip(*(batch.column(n).to_pylist() for n in ("block", "ua", "ub", "text"))):
+                if b != block:
+                    block, texts, sets, kept = b, {}, {}, 0
+                if c is None:
+                    texts[a] = text
+                    continue
+                for uid in (a, c):
+                    if uid not in sets:
+                        if kept > KEPT:
+                            sets, kept = {u: sets[u] for u in (a, c) if u in sets}, 0
+                        sets[uid] = shingles(texts[uid])
+                        kept += len(texts[uid])
+                left, right = sets[a], sets[c]
                 both = len(left & right)
-                shared.append(both)
-                joint.append(len(left) + len(right) - both)
-            shared, joint = np.array(shared, np.int64), np.array(joint, np.int64)
-            keep = np.flatnonzero(shared * den >= joint * num)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("ua").take(pa.array(keep)), batch.column("ub").take(pa.array(keep)), pa.array(shared[keep] / np.maximum(joint[keep], 1), pa.float64())], ["ua", "ub", "similarity"]
-            )
+                joint = len(left) + len(right) - both
+                if both * den >= joint * num:
+                    ua.append(a)
+                    ub.append(c)
+                    similarity.append(both / max(joint, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(ua, pa.int64()), pa.array(ub, pa.int64()), pa.array(similarity, pa.float64())], ["ua", "ub", "similarity"])
 
     return verify
 
 
+def verified(pairs: DataFrame, texts: DataFrame, *, size: int, unit: str, num: int, den: int) -> DataFrame:
+    """The pairs whose shingle sets share at least num / den of their union, with their similarity."""
+    pairs = materialise(pairs.select("ua", "ub"), "near-likely")
+    side = max(1, round((pairs.count() / PER_BLOCK) ** 0.5))
+    row, column = (F.pmod(F.xxhash64(c), F.lit(side)).cast("int") for c in ("ua", "ub"))
+    laid = pairs.select((row * side + column).alias("block"), "ua", "ub")
+    ends = laid.select("block", F.explode(F.array("ua", "ub")).alias("uid")).distinct()
+    sent = ends.join(texts, "uid").select("block", F.col("uid").alias("ua"), F.lit(None).cast("bigint").alias("ub"), "text")
+    every = laid.withColumn("text", F.lit(None).cast("string")).unionByName(sent)
+    ordered = every.repartition(side * side, "block").sortWithinPartitions("block", F.col("ub").isNotNull(), "ua", "ub")
+    return ordered.mapInArrow(_verifier(size, unit, num, den), "ua bigint, ub bigint, similarity double")
+
+
 def near_duplicates(
     rows: DataFrame, *, threshold: float = 0.8, size: int = 5, unit: str = "word", bands: int = BANDS, band_rows: int = ROWS
 ) -> tuple[DataFrame, DataFrame]:
@@ -170,22 +259,12 @@ def near_duplicates(
     text = rows.where(F.col("text").isNotNull()).select(F.col("part").cast("long").alias("part"), F.col("id").cast("long").alias("id"), normalised("text").alias("text"))
     text = text.withColumn("key", F.unhex(F.md5("text")))
     uid = F.col("id") * 16 + F.col("part")
-    distinct = text.groupBy("part", "key").agg(F.min(uid).alias("uid"), F.first("text").alias("text"))
-    out = T.StructType([T.StructField("uid", T.LongType()), T.StructField("text", T.StringType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("sketch", T.ArrayType(T.LongType()))])
-    signed = materialise(distinct.select("uid", "text").mapInArrow(_signer(size, unit, bands, band_rows), out), "near-signed")
-
+    distinct = materialise(text.groupBy("part", "key").agg(F.min(uid).alias("uid"), F.first("text").alias("text")).select("uid", "text"), "near-distinct")
     reps = text.groupBy("part", "key").agg(F.min(uid).alias("uid"))
     members = materialise(text.select("part", "id", "key").join(reps, ["part", "key"]).select("part", "id", "uid"), "near-members")
 
-    banded = signed.select("uid", F.explode("bands").alias("band")).withColumn("band", F.xxhash64("band", F.col("uid") % 16))
-    pairs = (
-        banded.select("band", F.col("uid").alias("ua"))
-        .join(banded.select("band", F.col("uid").alias("ub")), "band")
-        .where("ua < ub")
-        .select("ua", "ub")
-        .distinct()
-    )
-    sketches = signed.select("uid", "sketch")
+    pairs = candidates(distinct, size=size, unit=unit, bands=bands, rows=band_rows)
+    sketches = materialise(distinct.mapInArrow(_signer(size, unit, bands, band_rows, "sketches"), "uid bigint, sketch array<bigint>"), "near-sketches")
     words = SKETCH_BITS // 64
     unlike = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(1, words)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
     samples = bands * band_rows
@@ -194,15 +273,8 @@ def near_duplicates(
         pairs.join(sketches.select(F.col("uid").alias("ua"), F.col("sketch").alias("sa")), "ua")
         .join(sketches.select(F.col("uid").alias("ub"), F.col("sketch").alias("sb")), "ub")
         .where(unlike <= F.lit(float(most)))
-        .select("ua", "ub")
-    )
-    texts = signed.select("uid", "text")
-    links = (
-        likely.join(texts.select(F.col("uid").alias("ua"), F.col("text").alias("text_a")), "ua")
-        .join(texts.select(F.col("uid").alias("ub"), F.col("text").alias("text_b")), "ub")
-        .mapInArrow(_verifier(size, unit, num, den), "ua long, ub long, similarity double")
     )
-    return members, links
+    return members, verified(likely, distinct, size=size, unit=unit, num=num, den=den)
 
 
 def alike_pairs(members: DataFrame, links: DataFrame) -> DataFrame:

@@ -49,6 +49,28 @@ def test_pairs_equal_brute_force(spark):
     assert not got - want and len(want - got) <= 0.01 * len(want) and len(want) > 100
 
 
+def test_large_bands_and_small_blocks_give_the_same(spark, monkeypatch):
+    items = corpus(5) + [(500 + k, "one family of texts that all look the same but for a number at the end " * 3 + str(k)) for k in range(40)]
+    found = lambda: {(r["ua"], r["ub"], r["similarity"]) for r in N.near_duplicates(rows(spark, items), threshold=0.7, size=4, unit="char")[1].collect()}
+    whole = found()
+    for name, value in (("FAMILY", 3), ("PER_TASK", 500), ("PER_BLOCK", 5)):
+        monkeypatch.setattr(N, name, value)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert found() == whole and len(whole) > 800
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_meetings():
+    import numpy as np
+
+    band, uid = np.array([1, 2, 2, 2, 3, 3, 4, 4, 4, 4]), np.array([9, 1, 2, 3, 5, 7, 1, 2, 3, 4])
+    ua, ub, large = N.meetings(band, uid, 3)
+    assert sorted(zip(ua.tolist(), ub.tolist())) == [(1, 2), (1, 3), (2, 3), (5, 7)] and large.tolist() == [False] * 6 + [True] * 4
+
+
 def test_words(spark):
     items = corpus(4)
     got = {(r["row_a"], r["row_b"]) for r in N.alike_pairs(*N.near_duplicates(rows(spark, items))).collect()}
