@@ -86,13 +86,29 @@ def shared_folder(spark: SparkSession) -> str:
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back.
 
-    Cuts the lineage and survives the loss of executors; columns unread later aren't decoded.
+    Cuts the lineage and survives the loss of executors; columns unread later aren't decoded.  The
+    table stays until ``discard`` or ``release``.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/emberquill-{label}-{uuid.uuid4().hex}"
     _WRITTEN.append(path)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written._emberquill_path = path
+    return written
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes materialised tables that nothing will read any more; other DataFrames are left alone."""
+    for df in tables:
+        if (path := getattr(df, "_emberquill_path", None)) in _WRITTEN:
+            _WRITTEN.remove(path)
+            _delete(df.sparkSession, path)
 
 
 def count_at_most(df: DataFrame, bound: int) -> int:
@@ -104,8 +120,7 @@ def release(spark: SparkSession) -> int:
     """Deletes the tables materialised so far, for long-lived sessions; results not yet read are lost.  Returns their number."""
     n = len(_WRITTEN)
     while _WRITTEN:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_WRITTEN.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _WRITTEN.pop())
     return n
 
 
@@ -128,4 +143,4 @@ def local(df: DataFrame, most: int) -> DataFrame:
     return df.sparkSession.createDataFrame(rows, df.schema)
 
 
-__all__ = ["build_session", "count_at_most", "in_blocks", "local", "materialise", "release", "shared_folder", "ship", "table"]
+__all__ = ["build_session", "count_at_most", "discard", "in_blocks", "local", "materialise", "release", "shared_folder", "ship", "table"]
