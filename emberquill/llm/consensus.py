@@ -21,7 +21,7 @@ import warnings
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberquill.session import count_at_most, materialise
+from emberquill.session import count_at_most, discard, materialise
 
 GRADES = 4
 #: Smoothing: pseudo-ratings at the common accuracy.
@@ -98,16 +98,17 @@ def consensus(rows: DataFrame, *, least: int = 3, rounds: int = 12, tolerance: f
     ratings = materialise(ratings.join(sizes, ITEM), "ratings")
     weights = ratings.select("annotator").distinct().withColumn("w", F.lit(1.0)).withColumn("leave_one_out", F.lit(None).cast("double"))
     few = count_at_most(weights, FEW) <= FEW
-    converged = False
+    raw, converged = ratings.limit(0), False
     for r in range(rounds + DAMPED):
         step = 1.0 if r < rounds else 1 / (r - rounds + 2)
-        raw = materialise(_scores(ratings, weights, few).join(weights.withColumnsRenamed({"w": "w_before", "leave_one_out": "before"}), "annotator"), "annotators")
+        last, raw = raw, materialise(_scores(ratings, weights, few).join(weights.withColumnsRenamed({"w": "w_before", "leave_one_out": "before"}), "annotator"), "annotators")
         met, items = raw.agg(F.sum("met"), F.sum("items")).first()
         loo = (F.col("met") + PRIOR * (met / items if items else 0.0)) / (F.col("items") + PRIOR)
         capped = F.least(F.greatest(loo, F.lit(CAP)), F.lit(1 - CAP))
         weight = F.greatest(F.log(capped * (GRADES - 1) / (1 - capped)), F.lit(LEAST))
         scored = raw.select("annotator", "items", "accuracy", loo.alias("leave_one_out"), (step * weight + (1 - step) * F.col("w_before")).alias("w"), "before")
         weights = scored.select("annotator", "w", "leave_one_out")
+        discard(last)
         if r and scored.agg(F.coalesce(F.max(F.abs(F.col("leave_one_out") - F.col("before"))), F.lit(0.0))).first()[0] <= tolerance:
             converged = True
             break

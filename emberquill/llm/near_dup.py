@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberquill.session import materialise
+from emberquill.session import discard, materialise
 
 BANDS, ROWS, SKETCH_BITS = 44, 6, 512
 #: Screening keeps an estimate this far under the threshold: over four standard errors of 264 samples.
@@ -181,14 +181,14 @@ def _meet(family: int):
     return meet
 
 
-def candidates(texts: DataFrame, *, size: int, unit: str, bands: int, rows: int) -> DataFrame:
-    """Distinct pairs ua < ub of texts (uid, text) of one part that share a band."""
+def candidates(texts: DataFrame, *, size: int, unit: str, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs ua < ub of texts (uid, text) of one part that share a band, and the table they are read from."""
     tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() * bands // PER_TASK))
     banded = texts.mapInArrow(_signer(size, unit, bands, rows, "bands"), "band bigint, uid bigint").repartition(tasks, "band").sortWithinPartitions("band", "uid")
     met = materialise(banded.mapInArrow(_meet(FAMILY), "ua bigint, ub bigint, band bigint"), "near-met")
     large = met.where("ub IS NULL").select("band", "ua")
     more = large.join(large.select("band", F.col("ua").alias("ub")), "band").where("ua < ub").select("ua", "ub")
-    return met.where("ub IS NOT NULL").select("ua", "ub").unionByName(more).distinct()
+    return met.where("ub IS NOT NULL").select("ua", "ub").unionByName(more).distinct(), met
 
 
 def _verifier(size: int, unit: str, num: int, den: int):
@@ -226,9 +226,10 @@ def _verifier(size: int, unit: str, num: int, den: int):
     return verify
 
 
-def verified(pairs: DataFrame, texts: DataFrame, *, size: int, unit: str, num: int, den: int) -> DataFrame:
-    """The pairs whose shingle sets share at least num / den of their union, with their similarity."""
+def verified(pairs: DataFrame, texts: DataFrame, *, size: int, unit: str, num: int, den: int, done: tuple[DataFrame, ...] = ()) -> DataFrame:
+    """The pairs whose shingle sets share at least num / den of their union, with their similarity.  Tables in ``done`` aren't needed once the pairs are written."""
     pairs = materialise(pairs.select("ua", "ub"), "near-likely")
+    discard(*done)
     side = max(1, round((pairs.count() / PER_BLOCK) ** 0.5))
     row, column = (F.pmod(F.xxhash64(c), F.lit(side)).cast("int") for c in ("ua", "ub"))
     laid = pairs.select((row * side + column).alias("block"), "ua", "ub")
@@ -263,7 +264,7 @@ def near_duplicates(
     reps = text.groupBy("part", "key").agg(F.min(uid).alias("uid"))
     members = materialise(text.select("part", "id", "key").join(reps, ["part", "key"]).select("part", "id", "uid"), "near-members")
 
-    pairs = candidates(distinct, size=size, unit=unit, bands=bands, rows=band_rows)
+    pairs, met = candidates(distinct, size=size, unit=unit, bands=bands, rows=band_rows)
     sketches = materialise(distinct.mapInArrow(_signer(size, unit, bands, band_rows, "sketches"), "uid bigint, sketch array<bigint>"), "near-sketches")
     words = SKETCH_BITS // 64
     unlike = sum((F.bit_count(F.col("sa")[i].bitwiseXOR(F.col("sb")[i])) for i in range(1, words)), F.bit_count(F.col("sa")[0].bitwiseXOR(F.col("sb")[0])))
@@ -274,7 +275,7 @@ def near_duplicates(
         .join(sketches.select(F.col("uid").alias("ub"), F.col("sketch").alias("sb")), "ub")
         .where(unlike <= F.lit(float(most)))
     )
-    return members, verified(likely, distinct, size=size, unit=unit, num=num, den=den)
+    return members, verified(likely, distinct, size=size, unit=unit, num=num, den=den, done=(met, sketches))
 
 
 def alike_pairs(members: DataFrame, links: DataFrame) -> DataFrame:
@@ -306,7 +307,8 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
         least = down.groupBy("ua").agg(F.min("ub").alias("m"))
         small = down.join(least, "ua")
         small = small.select(F.col("ub").alias("ua"), F.col("m").alias("ub")).unionByName(small.select("ua", F.col("m").alias("ub"))).where("ua <> ub").distinct()
-        edges = materialise(small, "stars")
+        before, edges = edges, materialise(small, "stars")
+        discard(before, large)
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("ua", "ub").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break

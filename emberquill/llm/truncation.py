@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from emberquill.session import materialise
+from emberquill.session import discard, materialise
 
 ORDER = 4
 #: Characters scanned together; counts a task holds before it merges them, openings before it hands them on.
@@ -313,29 +313,30 @@ def _tails(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("mark").take(pa.array(at, pa.int64())), batch.column("others").take(pa.array(at, pa.int64())), pa.array(tails, pa.binary()), pa.array(sizes, pa.int32()), pa.array(suffixes, pa.string())], ["mark", "others", "tail", "size", "suffix"])
 
 
-def before_tails(bodies: DataFrame, scores: DataFrame, ended: DataFrame) -> DataFrame:
-    """mark and log_odds of the texts that end with a tail: those of the best place before one."""
+def before_tails(bodies: DataFrame, scores: DataFrame, ended: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """mark and log_odds of the texts that end with a tail: those of the best place before one; and the tables it is made of."""
     sure = bodies.select("mark", "last", "suffix").join(scores.where(F.col("log_odds") > SURE).select("suffix", "others"), "suffix")
     tails = materialise(sure.select("mark", "last", "others").mapInArrow(_tails, "mark binary, others array<bigint>, tail binary, size int, suffix string"), "tails")
     known = tails.groupBy("tail").agg(F.count("*").alias("n")).where(F.col("n") >= RECURS)
     goes_on = F.element_at("others", F.least("size", F.size("others")))
     allowed = tails.join(known, "tail").where((F.col("n") - 1) / (F.col("n") + 1 + goes_on) >= ENDS)
     allowed = materialise(allowed.select("mark", "suffix").distinct(), "allowed")
-    grams = materialise(with_grams(allowed.select("suffix").distinct()), "grams")
+    grams = materialise(with_grams(allowed.select("suffix").distinct()), "place-grams")
     places = log_odds(grams, ended, totals(bodies, grams), 0)
-    return allowed.join(places, "suffix").groupBy("mark").agg(F.max("log_odds").alias("log_odds"))
+    return allowed.join(places, "suffix").groupBy("mark").agg(F.max("log_odds").alias("log_odds")), [tails, allowed, grams]
 
 
-def scored(texts: DataFrame) -> DataFrame:
-    """mark and ``log_odds`` of ending of every distinct text (mark, lines) that has prose."""
+def scored(texts: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
+    """mark and ``log_odds`` of ending of every distinct text (mark, lines) that has prose, and the tables it is made of."""
     bodies = materialise(prose(texts), "prose")
     ends = bodies.where(F.col("suffix").isNotNull())
     suffixes = ends.groupBy("suffix").agg(F.count("*").alias("n"))
     grams = materialise(with_grams(suffixes), "grams")
     ended = materialise(grams.join(suffixes, "suffix").groupBy("gram").agg(F.sum("n").alias("ended")), "ended")
     scores = materialise(log_odds(grams, ended, totals(bodies, grams), 1), "scores")
-    tailed = before_tails(ends, scores, ended).withColumnRenamed("log_odds", "before")
-    return ends.select("mark", "suffix").join(scores, "suffix").join(tailed, "mark", "left").select("mark", F.coalesce("before", "log_odds").alias("log_odds"))
+    before, done = before_tails(bodies, scores, ended)
+    judged = ends.select("mark", "suffix").join(scores, "suffix").join(before.withColumnRenamed("log_odds", "before"), "mark", "left").select("mark", F.coalesce("before", "log_odds").alias("log_odds"))
+    return judged, [bodies, grams, ended, scores, *done]
 
 
 # verdicts ----------------------------------------------------------------------------------------
@@ -403,7 +404,9 @@ def truncated(documents: DataFrame, *, key: str = "doc_id", group: list[str] | N
         kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
         texts = materialise(rows.select("text").mapInArrow(_texts, "mark binary, lines array<string>").dropDuplicates(["mark"]), "texts")
         marks = rows.select(key, *kept, "text").mapInArrow(_marks(key, kept), ", ".join(f"`{c}` {kinds[c]}" for c in (key, *kept)) + ", mark binary")
-        judged = materialise(marks.join(scored(texts), "mark", "left"), "judged")
+        scores, done = scored(texts)
+        judged = materialise(marks.join(scores, "mark", "left"), "judged")
+        discard(texts, *done)
         limit = F.lit(None).cast("double")
         for lang, value in thresholds(judged).items():
             limit = F.when(F.col("language") == lang, F.lit(value)).otherwise(limit)
