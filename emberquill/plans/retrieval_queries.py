@@ -7,15 +7,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 
 from emberquill.functions import text as T
 from emberquill.functions import vectors as V
 from emberquill.operators import retrieval as R
 from emberquill.operators import scoring as S
 from emberquill.plans import recommend as P
-from emberquill.session import table
+from emberquill.session import materialise, table
 
-LABELS = 10
+LABELS, DIMENSION = 10, 64
 
 
 def _vectors(spark: SparkSession, d: str) -> DataFrame:
@@ -57,11 +58,13 @@ def hybrid_entities(spark: SparkSession, d: str) -> DataFrame:
 def candidate_union(spark: SparkSession, d: str) -> DataFrame:
     """Candidates of each query's text and vector branches, united as text and type candidates are."""
     asked = _asked(spark, d)
-    texts = _texts(spark, d)
-    none_dense = R.dense_topk(_vectors(spark, d), asked.select("query_id", "vector")).limit(0)
-    none_lexical = R.lexical_topk(texts, asked.select("query_id", "text")).limit(0)
-    lexical = R.aggregate_entities(R.fuse(none_dense, R.lexical_topk(texts, asked.select("query_id", "text"))), texts)
-    dense = R.aggregate_entities(R.fuse(R.dense_topk(_vectors(spark, d), asked.select("query_id", "vector")), none_lexical), texts)
+    named = _vectors(spark, d).join(_texts(spark, d).select("chunk_id", "entity_id"), "chunk_id", "left")
+    dense, lexical = R.dense_topk(named, asked.select("query_id", "vector")), R.lexical_topk(_texts(spark, d), asked.select("query_id", "text"))
+    nothing = lambda df, ranks: spark.createDataFrame([], T_.StructType([f for f in df.schema if f.name in ranks]))
+    lexical, dense = (
+        R.aggregate_entities(R.fuse(nothing(dense, ("query_id", "chunk_id", "dense_rank", "dense_score", "entity_id")), lexical)),
+        R.aggregate_entities(R.fuse(dense, nothing(lexical, ("query_id", "chunk_id", "lexical_rank", "lexical_score", "entity_id")))),
+    )
     return R.unite_candidates(lexical, dense).select("query_id", "entity_id", F.round("retrieval_score", 8).alias("retrieval_score"), F.array_join("evidence", ",").alias("evidence"))
 
 
@@ -157,10 +160,10 @@ def recommend(spark: SparkSession, d: str, every: int = 100) -> DataFrame:
 
 
 def recall_vs_exact(spark: SparkSession, d: str) -> DataFrame:
-    """Recall at 10 of the inverted-file index against the exact result, by query."""
+    """Recall at 10 of the coded index against the exact result, by query."""
     vectors, asked = _vectors(spark, d), _asked(spark, d).select("query_id", "vector").where(F.col("vector").isNotNull())
-    exact = R.dense_topk(vectors, asked, 10)
-    return R.recall(exact, R.indexed_topk(vectors, asked, R.coarse_cells(vectors, 16), 10, 8))
+    index = materialise(R.coded(vectors, DIMENSION), "index")
+    return R.recall(R.dense_topk(vectors, asked, 10), R.coded_topk(index, asked, DIMENSION, 10))
 
 
 QUERIES = {

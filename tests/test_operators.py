@@ -67,7 +67,7 @@ def test_index_recall(spark):
     x = centre[rng.integers(0, 12, 900)] + 0.25 * rng.normal(size=(900, 16))
     v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "chunk_id long, vector array<double>")
     q = v.where("chunk_id % 100 = 0").withColumnRenamed("chunk_id", "query_id")
-    found = R.indexed_topk(v, q, R.coarse_cells(v, 12), 10, 6)
+    found = R.coded_topk(R.coded(v, 16), q, 16, 10)
     assert R.recall(R.dense_topk(v, q, 10), found).agg(F.avg("recall")).first()[0] >= 0.9
 
 
@@ -78,14 +78,37 @@ def test_index_recall_on_the_embeddings(spark, data):
         assert recall_vs_exact(spark, folder).agg(F.avg("recall")).first()[0] >= 0.9
 
 
-def test_index_gives_a_row_of_several_cells_once(spark):
+def test_the_index_holds_every_usable_row(spark):
     rng = np.random.default_rng(5)
-    v = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(rng.normal(size=(200, 8)))], "chunk_id long, vector array<double>")
-    q = v.where("chunk_id < 3").withColumnRenamed("chunk_id", "query_id")
-    centres = R.coarse_cells(v, 6)
-    found = R.indexed_topk(v, q, centres, 20, 6, assign=3)
+    rows = [(i, row.tolist()) for i, row in enumerate(rng.normal(size=(200, 8)))] + [(900, None), (901, [0.0] * 8), (902, [1.0]), (903, [float("nan")] * 8)]
+    v = spark.createDataFrame(rows, "chunk_id long, vector array<double>")
+    q = v.where("chunk_id < 3 or chunk_id >= 900").withColumnRenamed("chunk_id", "query_id")
+    index = R.coded(v, 8)
+    assert index.count() == 200
+    found = R.coded_topk(index, q, 8, 20, over=10)
     assert found.select("query_id", "chunk_id").distinct().count() == found.count() == 60
-    assert R.recall(R.dense_topk(v, q, 20), found).where("recall < 1").count() == 0
+    assert R.recall(R.dense_topk(v, q, 20, dimension=8), found).where("recall < 1").count() == 0
+    assert R.coded_topk(index.limit(0), q, 8).count() == 0
+
+
+@pytest.mark.parametrize("cells", [7, 2_000_000])
+def test_ties_are_cut_in_the_final_order(spark, monkeypatch, cells):
+    monkeypatch.setattr(R, "CELLS", cells)
+    texts = spark.createDataFrame([(i, "calm " * (i % 3) + "x", 5) for i in range(400)], "chunk_id long, text string, entity_id long").repartition(3)
+    q = spark.createDataFrame([(1, "calm"), (2, "x calm"), (3, "none")], "query_id long, text string")
+    found = R.lexical_topk(texts, q, 4)
+    assert sorted((r["query_id"], r["lexical_rank"], r["chunk_id"], r["matches"], r["entity_id"]) for r in found.collect()) == [(q, k + 1, 3 * k + 2, m, 5) for q, m in ((1, 2), (2, 3)) for k in range(4)]
+    v = texts.select("chunk_id", F.array(F.lit(1.0), (F.col("chunk_id") % 2).cast("double")).alias("vector"))
+    q = spark.createDataFrame([(1, [1.0, 0.0])], "query_id long, vector array<double>")
+    assert [r["chunk_id"] for r in R.dense_topk(v, q, 5).orderBy("dense_rank").collect()] == [0, 2, 4, 6, 8]
+
+
+def test_branches_name_one_entity(spark):
+    d = spark.createDataFrame([(1, 1, 1, 0.9, 10)], "query_id long, chunk_id long, dense_rank int, dense_score double, entity_id long")
+    x = lambda e: spark.createDataFrame([(1, 1, 1, 0.8, e)], "query_id long, chunk_id long, lexical_rank int, lexical_score double, entity_id long")
+    assert R.fuse(d, x(10)).first()["entity_id"] == 10
+    with pytest.raises(Exception, match="two entities for chunk 1"):
+        R.fuse(d, x(2)).collect()
 
 
 def test_queries_without_a_vector_are_recommended_by_text(spark, data, tmp_path):
