@@ -48,6 +48,18 @@ def canonical(c) -> Column:
     return F.when(c.rlike(r"\A[\x00-\x7f]*\z"), plain).otherwise(_canonical(F.when(~c.rlike(r"\A[\x00-\x7f]*\z"), c)))
 
 
+@F.pandas_udf(T.StringType())
+def _compatible(values: pd.Series) -> pd.Series:
+    return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+
+def compatible(c) -> Column:
+    """Compatibility-normalised, nothing else changed; plain ASCII never leaves the JVM."""
+    c = F.col(c) if isinstance(c, str) else c
+    plain = c.rlike(r"\A[\x00-\x7f]*\z")
+    return F.when(plain, c).otherwise(_compatible(F.when(~plain, c)))
+
+
 def term_problem(c, longest: int) -> Column:
     """Why a vocabulary term can't be accepted (control, blank, length), or null."""
     c = F.col(c) if isinstance(c, str) else c
@@ -85,6 +97,11 @@ def stable_id(*parts) -> Column:
     return F.concat_ws("-", F.substring(digest, 1, 8), F.substring(digest, 9, 4), F.concat(F.lit("5"), F.substring(digest, 14, 3)), F.concat(variant, F.substring(digest, 18, 3)), F.substring(digest, 21, 12))
 
 
+def client_key(c, key: str) -> Column:
+    """A keyed hash of a client's identity (32 hexadecimal digits): equal clients under one key have equal ones, and none can be told from it."""
+    return F.substring(F.sha2(F.concat(F.lit(key), F.lit("\0"), F.sha2(F.concat(F.lit(key), F.lit("\1"), c), 256)), 256), 1, 32)
+
+
 def unit_hash(*parts) -> Column:
     """A number from 0 to 1 by the first eight bytes of the SHA-256 of parts joined by bars."""
     head = F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 16)

@@ -108,3 +108,74 @@ def even_sample(rows: DataFrame, order: list[str], n: int) -> DataFrame:
         base = F.when(F.col("_p") == p, F.lit(start)).otherwise(base)
         start += sizes[p]
     return ranged.where((base + F.col("_i")).isin(wanted)).drop("_p", "_i")
+
+
+def contract(entities: DataFrame, bridge: DataFrame, types: DataFrame, descriptions: DataFrame, images: DataFrame) -> DataFrame:
+    """One flat row an entity: its own columns, types by slot, descriptions by source and images by kind.
+
+    ``bridge``: entity_id, slot, code; ``types``: code, name_en, name_zh; ``descriptions``: entity_id,
+    source_key (with or without ``csv:``), content; ``images``: entity_id, image_kind, image_url.
+    Missing types, hidden abilities and habitats are ``Unknown``, other missing texts empty.
+    """
+    named = bridge.join(types.select("code", "name_en", "name_zh"), "code")
+    slots = named.groupBy("entity_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "name_zh"))), lambda t: t["name_zh"]), ", ").alias("type_zh"),  # two an entity
+        *(F.max(F.when(F.col("slot") == n, F.col("name_en"))).alias(f"type_{n}") for n in (1, 2)),
+    )
+    sources = ["description_zh", "flavor_text_en", "analysis_text"]
+    told = pivoted(descriptions.withColumn("source_key", F.regexp_replace("source_key", "^csv:", "")), "entity_id", "source_key", "content", sources)
+    shown = pivoted(images, "entity_id", "image_kind", "image_url", ["artwork", "sprite"]).withColumnsRenamed({"artwork": "image_url", "sprite": "sprite_url"})
+    out = entities
+    for child in (slots, told, shown):
+        out = out.join(child, "entity_id", "left")
+    unknown = [c for c in ("type_1", "type_2", "hidden_ability", "habitat") if c in out.columns]
+    empty = [c for c in ("type_zh", "category_zh", "genus", *sources, "image_url", "sprite_url", "color", "shape", "growth_rate") if c in out.columns]
+    return out.withColumns({**{c: F.coalesce(F.nullif(c, F.lit("")), F.lit("Unknown")) for c in unknown}, **{c: F.coalesce(c, F.lit("")) for c in empty}})
+
+
+def metadata(entities: DataFrame, bridge: DataFrame, types: DataFrame, images: DataFrame) -> DataFrame:
+    """Display fields only: entity_id, names, category, genus, type names and both images; what is missing is empty."""
+    named = bridge.join(types.select("code", "name_en", "name_zh"), "code")
+    slots = named.groupBy("entity_id").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("slot", "name_zh"))), lambda t: t["name_zh"]), ", ").alias("type_zh"),
+        *(F.max(F.when(F.col("slot") == n, F.col("name_en"))).alias(f"type_{n}") for n in (1, 2)),
+    )
+    shown = pivoted(images, "entity_id", "image_kind", "image_url", ["artwork", "sprite"]).withColumnsRenamed({"artwork": "image_url", "sprite": "sprite_url"})
+    out = entities.select("entity_id", "name_zh", "name_en", "category_zh", "genus").join(slots, "entity_id", "left").join(shown, "entity_id", "left")
+    return out.withColumns({c: F.coalesce(c, F.lit("")) for c in out.columns if c not in ("entity_id", "name_zh", "name_en")})
+
+
+def image_order(images: DataFrame) -> DataFrame:
+    """entity_id, image_id, image_kind, image_url and place from 1: the primary image first, then by kind and number."""
+    order = Window.partitionBy("entity_id").orderBy(F.coalesce("is_primary", F.lit(False)).cast("int").desc(), "image_kind", "image_id")
+    return images.select("entity_id", "image_id", "image_kind", "image_url", F.row_number().over(order).alias("place"))
+
+
+def with_state(rows: DataFrame, state: DataFrame, column: str) -> DataFrame:
+    """Rows with a column of a one-row table added to each; ValueError unless it has exactly one row."""
+    found = state.select(column).limit(2).collect()
+    if len(found) != 1:
+        raise ValueError(f"the state has {'no row' if not found else 'more than one row'}")
+    return rows.withColumn(column, F.lit(found[0][0]).cast(state.schema[column].dataType))
+
+
+def filtered(rows: DataFrame, *, equal: dict | None = None, folded: dict | None = None, between: dict | None = None) -> DataFrame:
+    """Rows whose columns equal values, equal them whatever the case and outer blanks, and lie in ranges (low, high), ends included; None asks for nothing."""
+    for c, v in (equal or {}).items():
+        rows = rows if v is None else rows.where(F.col(c) == F.lit(v))
+    for c, v in (folded or {}).items():
+        rows = rows if v is None else rows.where(T.canonical(c) == T.canonical_value(v))
+    for c, (low, high) in (between or {}).items():
+        rows = rows if low is None else rows.where(F.col(c) >= F.lit(low))
+        rows = rows if high is None else rows.where(F.col(c) <= F.lit(high))
+    return rows
+
+
+def public_descriptions(documents: DataFrame, language: str = "zh-hant", kind: str = "description") -> DataFrame:
+    """Documents of one language and kind, however these are written."""
+    return documents.where((F.lower(T.stripped("language_code")) == language) & (F.lower(T.stripped("document_kind")) == kind))
+
+
+def evidence_first(rows: DataFrame, n: int) -> DataFrame:
+    """The ``n`` first rows of evidence: Chinese before others, then by score, then by number."""
+    return rows.orderBy(F.when(F.lower("language_code").startswith("zh"), 0).otherwise(1), F.desc("rrf_score"), "evidence_id").limit(n)

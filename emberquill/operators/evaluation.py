@@ -59,8 +59,10 @@ def case_metrics(ranked: DataFrame, judgments: DataFrame, *, k: int = 10) -> Dat
 
 
 def report(cases: DataFrame, digits: int = 6) -> DataFrame:
-    """One row: the number of cases and the mean of each metric."""
-    return cases.agg(F.count("*").alias("cases"), *(F.round(F.avg(m), digits).alias(m) for m in METRICS))
+    """One row: the number of cases, the mean of each metric and, if the cases have ``latency_ms``, its mean, median and 95th percentile (4 digits)."""
+    late = [F.avg("latency_ms"), F.percentile("latency_ms", F.lit(0.5)), F.percentile("latency_ms", F.lit(0.95))] if "latency_ms" in cases.columns else []
+    named = [F.round(c, 4).alias(n) for c, n in zip(late, ("latency_mean_ms", "latency_p50_ms", "latency_p95_ms"))]
+    return cases.agg(F.count("*").alias("cases"), *(F.round(F.avg(m), digits).alias(m) for m in METRICS), *named)
 
 
 def summary(rows: DataFrame, value: str, by: list[str], digits: int = 4) -> DataFrame:
@@ -143,3 +145,45 @@ def exported_cases(cases: DataFrame, finals: DataFrame) -> DataFrame:
     graded = finals.where(F.col("final_grade") > 0).groupBy("case_id", "pokemon_id").agg(F.max("final_grade").alias("grade"))
     place = F.row_number().over(Window.partitionBy("case_id").orderBy("pokemon_id")) - 1
     return cases.select("case_id", "query").join(graded.withColumn("place", place), "case_id").select("case_id", "query", "place", "pokemon_id", "grade")
+
+
+def annotation_report(rows: DataFrame) -> DataFrame:
+    """The whole report as rows (section, name, metric, value): overall, annotator pairs and slices.
+
+    overall adds the number of annotators and of pairs and the mean kappa of all pairs.
+    """
+    kappas = pair_kappas(rows)
+    parts = slices(rows).withColumn("section", F.when(F.col("slice") == "overall", "overall").otherwise(F.concat(F.lit("slice:"), F.col("slice"))))
+    metrics = ["case_count", "candidate_count", "double_annotation_coverage", "conflict_rate", "adjudication_coverage"]
+    pairs = kappas.withColumn("name", F.concat_ws("|", "annotator_a", "annotator_b")).withColumn("section", F.lit("pair"))
+    annotators = rows.where(F.col("annotator").isNotNull() & F.col("grade").isNotNull()).agg(F.count_distinct("annotator").alias("annotator_count"))
+    over = kappas.agg(F.count("*").alias("pair_count"), F.round(F.avg("quadratic_weighted_kappa"), 6).alias("mean_quadratic_weighted_kappa"))
+
+    def long(df: DataFrame, section, name, columns: list[str]) -> DataFrame:
+        each = F.array(*(F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in columns))
+        return df.select(section.alias("section"), name.alias("name"), F.explode(each).alias("m")).select("section", "name", "m.metric", "m.value")
+
+    whole = [F.lit("overall"), F.lit("all")]
+    return (
+        long(parts, F.col("section"), F.col("value"), metrics)
+        .unionByName(long(pairs, F.col("section"), F.col("name"), ["common_judgment_count", "quadratic_weighted_kappa"]))
+        .unionByName(long(annotators, *whole, ["annotator_count"]))
+        .unionByName(long(over, *whole, ["pair_count", "mean_quadratic_weighted_kappa"]))
+    )
+
+
+def same_outputs(first: DataFrame, second: DataFrame, group: str, item: str, scores: list[str], *, relative: float = 1e-5, absolute: float = 1e-8) -> DataFrame:
+    """group, same_items (the same item at every rank) and same_scores (all within tolerance) of two runs' ranked outputs.
+
+    ``first`` and ``second``: group, rank, item and the scores; a place that only one run has is a
+    difference; two nulls are equal.  Two sources are equivalent, and a repeated run stable, if all are true.
+    """
+    a = first.select(group, "rank", F.col(item).alias("_a"), *(F.col(s).alias(f"_a{s}") for s in scores), F.lit(True).alias("_x"))
+    b = second.select(group, "rank", F.col(item).alias("_b"), *(F.col(s).alias(f"_b{s}") for s in scores), F.lit(True).alias("_y"))
+    both = F.col("_x").isNotNull() & F.col("_y").isNotNull()
+    close = F.lit(True)
+    for s in scores:
+        x, y = F.col(f"_a{s}"), F.col(f"_b{s}")
+        close = close & (x.eqNullSafe(y) | F.coalesce(F.abs(x - y) <= absolute + relative * F.abs(y), F.lit(False)))
+    joined = a.join(b, [group, "rank"], "full_outer")
+    return joined.groupBy(group).agg(F.bool_and(both & F.col("_a").eqNullSafe(F.col("_b"))).alias("same_items"), F.bool_and(both & close).alias("same_scores"))

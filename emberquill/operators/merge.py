@@ -75,13 +75,71 @@ def pending(chunks: DataFrame, embedded: DataFrame) -> DataFrame:
     return joined.select("chunk_id", reason.alias("reason")).where(F.col("reason").isNotNull())
 
 
-def index_states(documents: DataFrame, chunks: DataFrame) -> DataFrame:
-    """document_id, total, ready, failed and state of every document: ready, failed, stale or unindexed."""
-    per = chunks.groupBy("document_id").agg(F.count("*").alias("total"), F.sum((F.col("status") == "ready").cast("int")).alias("ready"), F.sum((F.col("status") == "failed").cast("int")).alias("failed"))
-    joined = documents.select(F.col("id").alias("document_id"), "is_current", F.col("status").alias("_s")).join(per, "document_id", "left")
+def embedding_states(chunks: DataFrame, embedded: DataFrame) -> DataFrame:
+    """document_id, total, ready, failed and last_error over each document's chunks.
+
+    ``chunks``: chunk_id, document_id, content_hash; ``embedded``: chunk_id, status, has_vector,
+    content_hash, last_error.  A chunk is ready if its vector is there and of its content; the last
+    error is that of the failed chunk with the greatest chunk_id that names one.
+    """
+    e = embedded.select("chunk_id", F.col("status").alias("_s"), F.col("has_vector").alias("_v"), F.col("content_hash").alias("_h"), "last_error")
+    rows = chunks.select("chunk_id", "document_id", "content_hash").join(e, "chunk_id", "left")
+    ready = F.coalesce((F.col("_s") == "ready") & F.col("_v") & (F.col("_h") == F.col("content_hash")), F.lit(False))
+    failed = F.coalesce(F.col("_s") == "failed", F.lit(False))
+    named = failed & (F.coalesce("last_error", F.lit("")) != "")
+    return rows.groupBy("document_id").agg(F.count("*").alias("total"), F.count_if(ready).alias("ready"), F.count_if(failed).alias("failed"), F.max_by("last_error", F.when(named, F.col("chunk_id"))).alias("last_error"))
+
+
+def source_states(descriptions: DataFrame, documents: DataFrame, states: DataFrame) -> DataFrame:
+    """entity_id, source_key, status, current_id, staged_id, total, ready and last_error of every source that has a description or a document.
+
+    ``descriptions``: entity_id, source_key, content_hash; ``documents``: id, entity_id, source_key,
+    version, is_current, status, content_hash; ``states`` as ``embedding_states`` makes them.  The
+    current document counts if its content is the description's (the profile's always), else the
+    latest staged one that has it.  ready: every chunk is; failed: the document or a chunk is; stale: there
+    is a document, but not ready; unindexed: there is none.
+    """
+    keys = ["entity_id", "source_key"]
+    current = documents.where("is_current").select(*keys, F.col("id").alias("current_id"), F.col("content_hash").alias("_ch"), F.col("status").alias("_cs"))
+    waiting = documents.where(~F.col("is_current")).join(descriptions.select(*keys, "content_hash"), [*keys, "content_hash"])
+    waiting = waiting.groupBy(*keys).agg(F.max(F.struct("version", "id", "status")).alias("_w")).select(*keys, F.col("_w.id").alias("staged_id"), F.col("_w.status").alias("_ws"))
+    wanted = descriptions.select(*keys, F.col("content_hash").alias("_dh"))
+    rows = wanted.join(current, keys, "full_outer").join(waiting, keys, "full_outer")
+    matches = F.col("current_id").isNotNull() & ((F.col("source_key") == "profile") | F.coalesce(F.col("_ch") == F.col("_dh"), F.lit(False)))
+    rows = rows.withColumn("_m", matches).withColumn("document_id", F.when(F.col("_m"), F.col("current_id")).otherwise(F.col("staged_id"))).join(states, "document_id", "left")
     n = lambda c: F.coalesce(c, F.lit(0))
-    state = F.when(F.col("is_current") & (n("total") > 0) & (n("ready") == n("total")), "ready").when((F.col("_s") == "failed") | (n("failed") > 0), "failed").when(n("total") > 0, "stale").otherwise("unindexed")
-    return joined.select("document_id", n("total").alias("total"), n("ready").alias("ready"), n("failed").alias("failed"), state.alias("state"))
+    own = F.when(F.col("_m"), F.col("_cs")).otherwise(F.col("_ws"))
+    status = (
+        F.when(F.col("_m") & (n("total") > 0) & (n("ready") == n("total")), "ready")
+        .when(F.col("document_id").isNotNull() & (F.coalesce(own == "failed", F.lit(False)) | (n("failed") > 0)), "failed")
+        .when(F.col("document_id").isNotNull() | F.col("current_id").isNotNull(), "stale")
+        .otherwise("unindexed")
+    )
+    return rows.select(*keys, status.alias("status"), "current_id", "staged_id", n("total").alias("total"), n("ready").alias("ready"), "last_error")
+
+
+def entity_states(entities: DataFrame, sources: DataFrame) -> DataFrame:
+    """entity_id and status over its sources: failed before stale before ready; unindexed without any source."""
+    rolled = sources.groupBy("entity_id").agg(F.bool_or(F.col("status") == "failed").alias("_f"), F.bool_and(F.col("status") == "ready").alias("_r"))
+    status = F.when(F.col("_f").isNull(), "unindexed").when(F.col("_f"), "failed").when(F.col("_r"), "ready").otherwise("stale")
+    return entities.select("entity_id").join(rolled, "entity_id", "left").select("entity_id", status.alias("status"))
+
+
+def synchronise_chunks(stored: DataFrame, wanted: DataFrame) -> DataFrame:
+    """id, document_id, is_current, status and ``action`` of a document's chunks after its text was split anew.
+
+    ``stored``: id, document_id, is_current, status; ``wanted``: id, document_id.  Wanted chunks are
+    current and ready (insert, or refresh if they were stored), current ones of the same documents that
+    aren't wanted become stale (retire), all others stay (untouched).
+    """
+    touched = wanted.select("document_id").distinct().withColumn("_d", F.lit(True))
+    s = stored.select("id", F.col("document_id").alias("_sd"), F.col("is_current").alias("_c"), F.col("status").alias("_s"))
+    rows = s.join(wanted.select("id", F.col("document_id").alias("_wd")), "id", "full_outer").withColumn("document_id", F.coalesce("_wd", "_sd")).join(touched, "document_id", "left")
+    asked = F.col("_wd").isNotNull()
+    action = F.when(asked & F.col("_sd").isNull(), "insert").when(asked, "refresh").when(F.col("_d") & F.col("_c"), "retire").otherwise("untouched")
+    rows = rows.withColumn("action", action)
+    gone = F.col("action") == "retire"
+    return rows.select("id", "document_id", F.when(asked, True).when(gone, False).otherwise(F.col("_c")).alias("is_current"), F.when(asked, "ready").when(gone, "stale").otherwise(F.col("_s")).alias("status"), "action")
 
 
 def activated(documents: DataFrame, staged_ids: DataFrame, chunks: DataFrame, keys: list[str]) -> DataFrame:

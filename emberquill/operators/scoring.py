@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T_
 from pyspark.sql.window import Window
 
 from emberquill.functions import text as T
@@ -161,26 +162,57 @@ def blend(semantic: Column, personality: Column, typed: Column) -> Column:
     return F.round(V.clipped(F.when(typed.isNull(), text).otherwise(0.75 * text + 0.25 * typed)), 8)
 
 
-def final_order(rows: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
-    """The first ``k`` rows of every group in a total order, with ``rank`` from 1."""
+def final_order(rows: DataFrame, group: str, order: list[Column], k: int, *, whole: bool = False) -> DataFrame:
+    """The first ``k`` rows of every group in a total order, with ``rank`` from 1; with ``whole`` a group of fewer than ``k`` fails the query."""
     w = Window.partitionBy(group).orderBy(*order)
-    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ranked = rows.withColumn("rank", F.row_number().over(w))
+    if not whole:
+        return ranked.where(F.col("rank") <= k)
+    counted = ranked.withColumn("_n", F.count("*").over(Window.partitionBy(group)))
+    short = F.raise_error(F.concat(F.lit(f"fewer than {k} candidates for "), F.col(group).cast("string"))).cast("int")
+    return counted.withColumn("rank", F.when(F.col("_n") < k, short).otherwise(F.col("rank"))).where(F.col("rank") <= k).drop("_n")
+
+
+def predicted(rows: DataFrame, query: str, text: str, predictor: Callable[[list[tuple[str, str]]], list[float]], *, batch: int = 64) -> DataFrame:
+    """Rows with ``raw``: the predictor's score of each (query, text), ``batch`` pairs at a time.
+
+    A batch that fails, or whose scores are of a wrong number or not finite, gets null: ``rerank`` then
+    falls back to the base order for the groups concerned.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            pairs = list(zip((q or "" for q in whole.column(query).to_pylist()), (t or "" for t in whole.column(text).to_pylist())))
+            raw: list[float | None] = []
+            for at in range(0, len(pairs), batch):
+                own = pairs[at : at + batch]
+                try:
+                    scores = np.asarray(predictor(own), float).reshape(-1)
+                    good = scores.shape == (len(own),) and bool(np.isfinite(scores).all())
+                except Exception:  # the batch has no scores, the others go on
+                    good = False
+                raw += scores.tolist() if good else [None] * len(own)
+            yield pa.RecordBatch.from_arrays([*whole.columns, pa.array(raw, pa.float64())], [*whole.schema.names, "raw"])
+
+    return rows.mapInArrow(run, T_.StructType([*rows.schema.fields, T_.StructField("raw", T_.DoubleType())]))
 
 
 def rerank(rows: DataFrame, group: str, position: str, base: str, raw: str, *, weight: float, limit: int) -> DataFrame:
     """The first ``limit`` rows of every group by (1-w) base + w logistic(raw), ties by base, then position.
 
-    Groups of under three keep their totals and have no reranker score; rows past the limit keep
-    their places behind.
+    Groups of under three, and groups with a null raw score within the limit, keep their totals and
+    have no reranker score; rows past the limit keep their places behind.
     """
     size = F.count("*").over(Window.partitionBy(group))
     score = V.sigmoid(F.col(raw).cast("double"))
-    inside, enough = F.col(position) <= limit, F.least(F.col("_n"), F.lit(limit)) >= 3
-    out = rows.withColumn("_n", size).withColumn("_base", F.col(base))
+    inside = F.col(position) <= limit
+    failed = F.max((inside & F.col(raw).isNull()).cast("int")).over(Window.partitionBy(group))
+    enough = (F.least(F.col("_n"), F.lit(limit)) >= 3) & (F.col("_failed") == 0)
+    out = rows.withColumn("_n", size).withColumn("_failed", failed).withColumn("_base", F.col(base))
     out = out.withColumn("pre_rerank_total", F.round("_base", 8)).withColumn("reranker", F.when(inside & enough, F.round(score, 8)))
     out = out.withColumn("total", F.when(inside & enough, F.round((1 - weight) * F.col("_base") + weight * score, 8)).otherwise(F.round("_base", 8)))
     w = Window.partitionBy(group).orderBy((~inside).cast("int"), F.desc("total"), F.desc("_base"), position)
-    return out.withColumn("_rank", F.row_number().over(w)).drop("_n", "_base", position).withColumnRenamed("_rank", "rank")
+    return out.withColumn("_rank", F.row_number().over(w)).drop("_n", "_failed", "_base", position).withColumnRenamed("_rank", "rank")
 
 
 def daily_choice(rows: DataFrame, group: str, item: str, total: str, position: str, salt: tuple[str, ...]) -> DataFrame:

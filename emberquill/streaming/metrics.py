@@ -63,6 +63,40 @@ def holds(windows: DataFrame, firing: Column, step_seconds: int, least: int) ->
     return runs.withColumn("run", length).where(F.col("_f") & (F.col("run") >= least)).select("window_start", "run")
 
 
+#: The alerts: what is measured over which window, its limit and how many minutes it must hold.
+ALERTS = {
+    "error_ratio": ("5 minutes", 0.05, 5),
+    "p95_seconds": ("5 minutes", 2.5, 10),
+    "limited": ("10 minutes", 5.0, 1),
+    "failures": ("10 minutes", 2.0, 1),
+    "attempts": ("10 minutes", 15.0, 1),
+}
+
+
+def alerts(rows: DataFrame, time: str, marks: dict[str, Column], seconds: Column, *, minute: str = "1 minute", scale: int = 1) -> DataFrame:
+    """alert, window_start and run of every window at which an alert has held long enough.
+
+    ``marks``: boolean columns error, limited, failures and attempts; ``seconds``: the duration.
+    Windows slide by a minute (``scale`` minutes, windows and holds alike, for slower traffic).  The 95th
+    percentile is that of the duration histogram, as ``quantile`` reads it.
+    """
+    step = f"{scale} minutes" if scale > 1 else minute
+    own = {**marks, "p95_seconds": F.lit(False)}
+    out = None
+    for name, (length, limit, minutes) in ALERTS.items():
+        length = f"{int(length.split()[0]) * scale} minutes"
+        if name == "error_ratio":
+            windows = ratio(rows, own["error"], time, length, step).select("window_start", F.col("ratio").alias("value"))
+        elif name == "p95_seconds":
+            slid = rows.where(F.col(time).isNotNull()).select(F.window(time, length, step)["start"].alias("window_start"), seconds.alias("_d"))
+            windows = quantile(histogram(slid, ["window_start"], F.col("_d")), ["window_start"], 0.95).select("window_start", F.col("quantile").alias("value"))
+        else:
+            windows = rates(rows.where(own[name]), [], time, length, step).select("window_start", F.col("n").cast("double").alias("value"))
+        held = holds(windows, F.col("value") > limit, 60 * scale, minutes).select(F.lit(name).alias("alert"), "window_start", "run")
+        out = held if out is None else out.unionByName(held)
+    return out
+
+
 def offered_load(rows: DataFrame, client: str, time: str, ident: str, seconds: int) -> DataFrame:
     """client, ident, time and ``load``: the client's events in the ``seconds`` up to each, itself included.
 

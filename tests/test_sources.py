@@ -9,6 +9,8 @@ from emberquill.sources import files as S
 def test_csv(spark, tmp_path):
     p = tmp_path / "a.csv"
     p.write_text('﻿a,b\n1,"x\ny"\n2,z\n', encoding="utf-8")
+    numbered = S.read_csv(spark, str(p), ["a", "b"], number="source_row").collect()
+    assert [(r["source_row"], r["a"]) for r in numbered] == [(2, "1"), (3, "2")]
     rows = S.read_csv(spark, str(p), ["a", "b"], key=["a"])
     assert sorted((r["a"], r["b"]) for r in rows.collect()) == [("1", "x\ny"), ("2", "z")]
     with pytest.raises(S.HeaderError, match="missing: c"):
@@ -60,3 +62,54 @@ def test_audit_log(spark, tmp_path):
     for _ in range(2):
         S.append_audit(rows, str(tmp_path / "log"))
     assert spark.read.parquet(str(tmp_path / "log")).count() == 2
+
+
+def test_audit_enumerations(spark, tmp_path):
+    rows = lambda role, outcome: spark.createDataFrame([("a", role, outcome)], "actor string, actor_role string, outcome string")
+    S.append_audit(rows("editor", "noop"), str(tmp_path / "log"))
+    for role, outcome in (("owner", "noop"), ("editor", "failed"), (None, "noop")):
+        with pytest.raises(Exception, match="isn't one of"):
+            S.append_audit(rows(role, outcome), str(tmp_path / "log"))
+    assert spark.read.parquet(str(tmp_path / "log")).count() == 1
+
+
+def test_lines_are_numbered_over_splits(spark, tmp_path):
+    p = tmp_path / "l.txt"
+    p.write_text("\n".join(f"line {i} " + "x" * (i % 50) for i in range(1, 3001)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    spark.conf.set("spark.sql.files.openCostInBytes", "0")
+    try:
+        rows = S.numbered_lines(spark, str(p))
+        assert rows.where("line_no <> cast(split(line, ' ')[1] as bigint)").count() == 0 and rows.count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+
+
+def test_judged_cases(spark):
+    schema = "id string, query string, relevance array<struct<pokedex_number:int,grade:int>>, relevant_pokedex_numbers array<int>"
+    rows = [("a", "q", [(1, 3), (2, 1)], None), ("b", "q", None, [4, 5]), ("c", " ", [(1, 1)], None), ("d", "q", [(1, 1)], [1]), ("e", "q", None, []), ("f", "q", [(1, 4)], None), ("g", "q", None, [7, 7])]
+    good, errors = S.judged_cases(spark.createDataFrame(rows, schema))
+    assert sorted(map(tuple, good.collect())) == [("a", 1, 3), ("a", 2, 1), ("b", 4, 1), ("b", 5, 1)]
+    assert {r["id"]: r["error"] for r in errors.collect()} == {"c": "no_query", "d": "both_forms", "e": "no_relevance", "f": "grade", "g": "repeated"}
+
+
+def test_manifests(spark, tmp_path):
+    rows = spark.createDataFrame([("b.png", 3, "h", None, None), ("a.png", 5, "g", 1, 2)], "path string, size long, sha256 string, width int, height int")
+    p = str(tmp_path / "m.csv")
+    assert S.write_manifest(rows, p) == 2 and open(p).read() == "path,size,sha256,width,height\na.png,5,g,1,2\nb.png,3,h,,\n"
+    assert sorted(map(tuple, S.read_manifest(spark, p).collect())) == sorted(map(tuple, rows.collect()))
+    (tmp_path / "m.csv").write_text("path,size,sha256,width,height\na,x,h,,\n")
+    with pytest.raises(Exception):
+        S.read_manifest(spark, p).collect()
+
+
+def test_catalogue_problems():
+    profile = lambda code, **ch: {"code": code, "text": "t", "weighted_terms": [{"term": f"t{i}", "weight": 1.0} for i in range(12)]} | ch
+    good = {"version": "v1", "revision": 1, "profiles": [profile(c) for c in S.CODES]}
+    assert S.catalogue_problems(good) == []
+    assert S.catalogue_problems(good | {"revision": True, "version": " "}) == ["version", "revision"]
+    bad = [profile(S.CODES[0], text=" "), profile(S.CODES[1], weighted_terms=[]), profile(S.CODES[2], weighted_terms=[{"term": "ＡＢ", "weight": 1}, {"term": "ab", "weight": float("nan")}] + good["profiles"][0]["weighted_terms"])]
+    assert S.catalogue_problems(good | {"profiles": bad + good["profiles"][3:]}) == ["ENFJ: blank text", "ENFP: too few terms", "ENTJ: blank or repeated terms", "ENTJ: weight"]
+    assert S.catalogue_problems(good | {"profiles": good["profiles"][::-1]}) == ["codes"] and S.catalogue_problems([]) == ["root"]

@@ -16,7 +16,7 @@ def test_limiter_denials_consume_nothing():
 
 def test_flagged_requests_need_both_limits():
     first, second = L.Slots(3, 60), L.Slots(1, 600)
-    asked = [L.ask_both(first, second, t, f) for t, f in ((0, True), (1, True), (2, False), (3, False), (4, False))]
+    asked = [L.ask_all([first, second], ["requests", "flagged"], t, f) for t, f in ((0, True), (1, True), (2, False), (3, False), (4, False))]
     assert asked == [(True, 0, 0, "flagged"), (False, 0, 599, "flagged"), (True, 1, 0, "requests"), (True, 0, 0, "requests"), (False, 0, 56, "requests")]
 
 
@@ -32,6 +32,31 @@ def test_batch_decisions_equal_a_plain_fold(spark):
     assert got == want
 
 
+def test_sessions_and_all_limits_equal_a_plain_fold(spark):
+    rng = random.Random(8)
+    start = dt.datetime(2025, 1, 1)
+    rows = [(i, rng.choice("aaab"), start + dt.timedelta(seconds=rng.choice([0, 5_000, 9_000]) + rng.randrange(300)), rng.random() < 0.5) for i in range(300)]
+    df = spark.createDataFrame(rows, "i int, c string, t timestamp, f boolean")
+    settings = {"limit": 6, "seconds": 60, "flag": "f", "flag_limit": 2, "flag_seconds": 100}
+    for total in (None, 3):
+        got = {r["ident"]: (r["allowed"], r["remaining"], r["retry_after"], r["scope"]) for r in L.decisions(df, client="c", time="t", ident="i", **settings, total_limit=total, total_seconds=120).collect()}
+        want, slots, every = {}, {}, L.Slots(total or 0, 120)
+        for i, c, t, f in sorted(rows, key=lambda r: (r[2], r[0])):
+            own = slots.setdefault(c, [L.Slots(6, 60), L.Slots(2, 100)])
+            want[i] = L.ask_all([*own, every] if total else own, ["requests", "flagged", "total"], (t - start).total_seconds(), f)
+        assert got == want and (total is None) == ("total" not in {w[3] for w in want.values()})
+
+
+def test_alerts_hold(spark):
+    start = dt.datetime(2025, 1, 1)
+    rows = [(start + dt.timedelta(minutes=m, seconds=k), m >= 20 and k < 2, 4.0 if m >= 20 else 0.1) for m in range(60) for k in range(10)]
+    df = spark.createDataFrame(rows, "t timestamp, bad boolean, s double")
+    found = M.alerts(df, "t", {"error": F.col("bad"), "limited": F.col("bad"), "failures": F.lit(False), "attempts": F.lit(True)}, F.col("s"))
+    first = {r["alert"]: r["w"] for r in found.groupBy("alert").agg(F.min("window_start").alias("w")).collect()}
+    assert set(first) == {"error_ratio", "p95_seconds", "limited", "attempts"}
+    assert first["attempts"] < start + dt.timedelta(minutes=2) and first["p95_seconds"] > first["error_ratio"] > start + dt.timedelta(minutes=18)
+
+
 def test_histogram_and_quantile(spark):
     rows = spark.createDataFrame([("r", 0.02), ("r", 0.7), ("r", None)], "route string, s double")
     h = M.histogram(rows, ["route"], F.col("s"))
@@ -72,3 +97,6 @@ def test_streams(stream, tmp_path):
     assert all(r["n"] > 0 for r in held)
     allowed = run(L.stream_decisions(stream, client="client", time="ts", limit=2, seconds=600), "limited", "append", tmp_path / "c3")
     assert len(allowed) == 30 and 0 < sum(r["allowed"] for r in allowed) < 30
+    flagged = stream.withColumn("f", F.minute("ts") % 2 == 0)
+    both = run(L.stream_decisions(flagged, client="client", time="ts", limit=30, seconds=3600, flag="f", flag_limit=2, flag_seconds=3600), "both", "append", tmp_path / "c4")
+    assert {r["scope"] for r in both} == {"requests", "flagged"} and sum(r["allowed"] for r in both) == 15 + 4

@@ -30,10 +30,10 @@ def test_prototypes(spark):
     assert set(got) == {"a"} and np.allclose(got["a"], mean / np.linalg.norm(mean), atol=1e-7)
 
 
-def test_versions(spark, tmp_path):
+def test_versions(spark, tmp_path, monkeypatch):
     root = str(tmp_path / "t")
     one, two = spark.createDataFrame([(1,)], "x int"), spark.createDataFrame([(2,)], "x int")
-    assert V.current(root) == 0 and V.initialise(one, root) == 1
+    assert V.current(spark, root) == 0 and V.initialise(one, root) == 1
     held = V.read(spark, root, 1)
     assert V.publish(two, root, 1) == 2 and V.read(spark, root).first()["x"] == 2 and held.first()["x"] == 1
     with pytest.raises(V.Conflict):
@@ -42,6 +42,35 @@ def test_versions(spark, tmp_path):
         V.initialise(one, root)
     with pytest.raises(FileNotFoundError):
         V.read(spark, root, 9)
+    (tmp_path / "t" / "p3").touch()  # a writer between its claim and its name
+    assert V.current(spark, root) == 2
+    with pytest.raises(V.Conflict):
+        V.publish(one, root, 2)
+    monkeypatch.setattr(V, "DEAD", -1)  # long dead
+    assert V.publish(one, root, 2) == 3 and V.versions(spark, root) == [1, 2, 3]
+    assert len([f for f in (tmp_path / "t").iterdir() if f.name.startswith("v")]) == 3
+
+
+def test_cached_values_outlive_errors():
+    state, loads, broken = [1, "a"], [], []
+
+    def load():
+        if broken:
+            raise OSError
+        loads.append(tuple(state))
+        return len(loads)
+
+    c = V.Cached(lambda: state, load)
+    assert (c.get(), c.get(), c.stale) == (1, 1, False)
+    state[1] = "b"
+    assert c.get() == 2
+    state[0] = 2
+    broken.append(1)
+    assert c.get() == 2 and c.stale
+    broken.clear()
+    assert c.get() == 3 and not c.stale
+    with pytest.raises(OSError):
+        V.Cached(lambda: (1, "x"), lambda: (_ for _ in ()).throw(OSError())).get()
 
 
 def test_nested_rows_name_their_errors(spark):
