@@ -67,3 +67,12 @@ SELECT raw_id, reason FROM j WHERE reason IS NOT NULL
     "p3_found": _VALUES + "SELECT source_row, field, unnest(range(1, len(vs) + 1))::INTEGER AS pos, unnest(vs) AS val FROM x WHERE len(vs) > 1",
     "p3_values": _VALUES + "SELECT source_row, field, unnest(range(1, len(vs) + 1))::INTEGER AS pos, unnest(vs) AS val, NULL::VARCHAR AS error, len(vs)::INTEGER AS values FROM x",
 }
+
+SQL["p1_valid"] = (
+    SQL["p1_found"].rsplit("SELECT raw_id, reason FROM j", 1)[0]
+    + "SELECT s.raw_id, "
+    + ", ".join(f"""(CASE WHEN starts_with(f{n}, '"') THEN replace(f{n}[2:-2], '""', '"') ELSE f{n} END) AS {c}""" for n, c in enumerate(records.HEADER))
+    + " FROM j JOIN (SELECT raw_id, "
+    + ", ".join(f"regexp_extract(l, '^(?:{_F},){{{n}}}({_F})', 1) AS f{n}" for n in range(len(records.HEADER)))
+    + " FROM s WHERE strict) s USING (raw_id) WHERE reason IS NULL"
+)

@@ -323,14 +323,13 @@ def embedded_chunks(spark: SparkSession, d: str) -> DataFrame:
 
 
 def public_descriptions(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "pokemon_knowledge_documents")
-    return docs.where((F.lower(T.stripped("language_code")) == "zh-hant") & (F.lower(T.stripped("document_kind")) == "description")).select("id", "pokemon_id")
+    return C.public_descriptions(table(spark, d, "pokemon_knowledge_documents")).select("id", "pokemon_id")
 
 
 def evidence_order(spark: SparkSession, d: str) -> DataFrame:
     """The ten first rows of evidence, Chinese before others, then by score and number."""
     rows = table(spark, d, "evidence_response").where(F.col("rrf_score").isNotNull() & ~F.isnan("rrf_score")).select("evidence_id", "language_code", "rrf_score").distinct()
-    return rows.orderBy(F.when(F.lower("language_code").startswith("zh"), 0).otherwise(1), F.desc("rrf_score"), "evidence_id").limit(10)
+    return C.evidence_first(rows, 10)
 
 
 QUERIES = {

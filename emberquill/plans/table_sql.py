@@ -114,3 +114,23 @@ SELECT case_id, pokemon_id, grades, final_grade FROM evaluation_cases JOIN l USI
     "stable_ids": """WITH h AS (SELECT id, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat_ws(':', 'document', pokemon_id::VARCHAR, source_key, version::VARCHAR))) AS x FROM pokemon_knowledge_documents)
 SELECT id, concat_ws('-', substr(x, 1, 8), substr(x, 9, 4), '5' || substr(x, 14, 3), substr('89ab', (('0x' || substr(x, 17, 1))::INTEGER % 4) + 1, 1) || substr(x, 18, 3), substr(x, 21, 12)) AS stable_id FROM h""",
 }
+
+# windows: every step takes the sentences that end within 500 of the window's begin, or 500 letters of a longer one
+SQL["chunk_documents"] = f"""
+WITH RECURSIVE s AS (SELECT id, sents, array_to_string(sents, ' ') AS j FROM (SELECT id, {_SENTENCES.replace('text', 'content')} AS sents FROM pokemon_knowledge_documents) WHERE len(sents) > 0),
+e AS (SELECT id, list(e ORDER BY k) AS ends FROM (SELECT id, k, (sum(n) OVER (PARTITION BY id ORDER BY k) + k - 1)::BIGINT AS e FROM (SELECT id, unnest(range(1, len(sents) + 1)) AS k, length(unnest(sents)) AS n FROM s)) GROUP BY 1),
+d AS (SELECT s.id, s.j, e.ends, len(e.ends) AS n FROM s JOIN e USING (id)),
+c AS (SELECT id, -1 AS idx, 0::BIGINT AS b, 0::BIGINT AS z, 0::BIGINT AS taken, 0::BIGINT AS nb FROM d
+  UNION ALL SELECT id, idx + 1, nb, CASE WHEN fit > taken THEN ends[fit] ELSE nb + 500 END, CASE WHEN fit > taken THEN fit ELSE taken END, CASE WHEN fit > taken THEN greatest(nb, ends[fit] - 80) ELSE nb + 420 END
+  FROM (SELECT c.*, d.ends, len(list_filter(d.ends, lambda x: x <= c.nb + 500)) AS fit FROM c JOIN d USING (id) WHERE c.taken < d.n)),
+w AS (SELECT c.id, c.idx::INTEGER AS chunk_index, substr(d.j, c.b + 1, c.z - c.b) AS content FROM c JOIN d USING (id) WHERE idx >= 0),
+h AS (SELECT *, sha256(regexp_replace(content, '^{_BLANK}|{_BLANK}$', '', 'g')) AS content_hash FROM w),
+u AS (SELECT *, sha1(from_hex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat_ws(':', 'chunk', id, chunk_index::VARCHAR, content_hash))) AS x FROM h)
+SELECT id, chunk_index, length(content)::INTEGER AS char_count, content_hash,
+  substr(x, 1, 8) || '-' || substr(x, 9, 4) || '-5' || substr(x, 14, 3) || '-' || substr('89ab', ((strpos('0123456789abcdef', substr(x, 17, 1)) - 1) % 4 + 1)::BIGINT, 1) || substr(x, 18, 3) || '-' || substr(x, 21, 12) AS chunk_id FROM u
+"""
+
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
+_NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+SQL["canonical_names"] = f"""WITH n AS (SELECT request_id, lower(trim(regexp_replace(translate(mbti, '{_WIDE}', '{_NARROW}'), '{_BLANK}', ' ', 'g'))) AS mbti FROM recommendation_request)
+SELECT request_id, mbti, CASE WHEN regexp_full_match(upper(mbti), '[EI][SN][TF][JP](-[AT])?') THEN substr(upper(mbti), 1, 4) END AS code FROM n"""
