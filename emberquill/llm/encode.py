@@ -1,6 +1,7 @@
 """Token ids of a whole corpus by a public tokenizer, with offsets, and back to text.
 
-Method.  The tokenizers library encodes Arrow batches; each worker loads the vocabulary file once.
+Method.  The tokenizers library encodes Arrow batches; the vocabulary file is sent along with the job,
+whatever machine it lies on, and each worker loads it once.
 Offsets come as characters of the text.  Decoding maps every token's letters back to the bytes
 they stand for and decodes all bytes together, so characters split over tokens come back whole.
 
@@ -16,7 +17,8 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 
 #: Characters encoded at a time.
 CHARS = 2_000_000
@@ -41,6 +43,14 @@ def _tokenizer(path: str):
     return tokenizer
 
 
+def _sent(spark: SparkSession, path: str) -> str:
+    """Sends a vocabulary file to all executors; the name they find it by.  A missing file fails here."""
+    if not os.path.isfile(path):
+        raise FileNotFoundError(f"no vocabulary file {path}")
+    spark.sparkContext.addFile(path)
+    return os.path.basename(path)
+
+
 def _lists(values: list, kind: pa.DataType) -> pa.ListArray:
     flat = np.fromiter((x for v in values for x in v), np.int64)
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(v) for v in values])], pa.int32()), pa.array(flat, kind))
@@ -66,10 +76,10 @@ def encode(rows: DataFrame, *, key: str, path: str | None = None, offsets: bool
     Defined cases: null and empty texts give empty lists; blank texts are encoded like any other;
     strings that name special tokens are ordinary text; null keys and repeated rows are kept.
     """
-    path = path or vocabulary()
+    name = _sent(rows.sparkSession, path or vocabulary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
+        tokenizer = _tokenizer(SparkFiles.get(name))
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             keys = batch.column(key)
@@ -95,10 +105,10 @@ def byte_letters() -> dict[str, int]:
 
 def decode(rows: DataFrame, *, key: str, path: str | None = None) -> DataFrame:
     """``key`` and ``text`` of every row's ``ids``; null ids give null, bytes that form no character U+FFFD."""
-    path = path or vocabulary()
+    name = _sent(rows.sparkSession, path or vocabulary())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer, letters = _tokenizer(path), byte_letters()
+        tokenizer, letters = _tokenizer(SparkFiles.get(name)), byte_letters()
         vocab = [b""] * tokenizer.get_vocab_size()
         for token, i in tokenizer.get_vocab().items():
             vocab[i] = bytes(letters[c] for c in token) if all(c in letters for c in token) else token.encode()

@@ -198,10 +198,9 @@ def leaks(documents: DataFrame, cases: DataFrame, *, key: str = "doc_id", runs:
         part = wanted if blocks == 1 else wanted.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
         rows = [(r["item_id"], letters(r["query"]), runs.get(r["language_code"], default_run)) for r in part.collect()]  # about BLOCK rows
         items = Items(sorted(rows))
-        counted = texts.mapInArrow(_counter(items), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).collect()  # at most the block's shingles
+        counted = texts.mapInArrow(_counter(items), "token bigint, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # two numbers a shingle of the block
         counts = np.zeros(len(items.all), np.int64)
-        for r in counted:
-            counts[r["token"]] = r["n"]
+        counts[counted["token"].to_numpy()] = counted["n"].to_numpy()
         found = texts.mapInArrow(_matcher(items, items.prefix(counts), key), f"`{key}` {documents.schema[key].dataType.simpleString()}, item_id bigint, run int")
         out = found if out is None else out.unionByName(found)
     return out

@@ -98,3 +98,26 @@ n AS (SELECT unnest([20, 50]) AS need),
 x AS (SELECT doc_id, need, substr(t, k::BIGINT, need) AS g FROM (SELECT *, unnest(range(1, length(t) - need + 2)) AS k FROM d, n))
 SELECT DISTINCT doc_id, item_id FROM x JOIN w ON x.need = w.need AND x.g = w.g
 """
+
+SQL["p2_groups"] = rf"""
+WITH RECURSIVE {SQL["p2_found"].strip().removeprefix("WITH ").rsplit("SELECT l.field", 1)[0].rstrip()},
+v AS (SELECT field, ka AS a, kb AS b FROM l WHERE ka <> kb UNION SELECT field, kb, ka FROM l WHERE ka <> kb),
+t AS (SELECT field, k, k AS top FROM d UNION SELECT v.field, v.b, t.top FROM t JOIN v ON v.field = t.field AND v.a = t.k WHERE t.top < v.b),
+c AS (SELECT field, k, min(top) AS top FROM t GROUP BY 1, 2),
+g2 AS (SELECT m.field, m.id, c.top, (SELECT count(*) FROM v WHERE v.field = m.field AND v.a = m.k) AS links FROM m JOIN c ON c.field = m.field AND c.k = m.k)
+SELECT field, id AS row_id, min(id) OVER w AS class_id, count(*) OVER w AS class_size, links FROM g2 WINDOW w AS (PARTITION BY field, top)
+"""
+
+SQL["p8_round_trip"] = "SELECT doc_id, length(coalesce(text, ''))::INTEGER AS chars, md5(coalesce(text, '')) AS md5 FROM documents"
+SQL["p8_offsets"] = r"SELECT doc_id, true AS in_order, length(coalesce(text, ''))::INTEGER AS last FROM documents"
+
+# of every item and document that leak, the longest run: the longest diagonal of shared windows, plus a window less one
+SQL["p9_items"] = rf"""
+WITH {SQL["p9_found"].strip().removeprefix("WITH ").rsplit("SELECT DISTINCT doc_id", 1)[0].rstrip()},
+w2 AS (SELECT item_id, need, k, substr(q, k::BIGINT, need) AS g FROM (SELECT *, unnest(range(1, length(q) - need + 2)) AS k FROM i)),
+x2 AS (SELECT doc_id, need, k, substr(t, k::BIGINT, need) AS g FROM (SELECT *, unnest(range(1, length(t) - need + 2)) AS k FROM d, n)),
+h AS (SELECT doc_id, item_id, w2.need, w2.k AS kq, x2.k - w2.k AS diagonal FROM x2 JOIN w2 ON x2.need = w2.need AND x2.g = w2.g),
+r AS (SELECT doc_id, item_id, any_value(need) + count(*) - 1 AS run FROM (SELECT *, kq - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY kq) AS island FROM h) GROUP BY doc_id, item_id, diagonal, island),
+p AS (SELECT item_id, count(DISTINCT doc_id) AS documents, max(run)::INTEGER AS run FROM r GROUP BY 1)
+SELECT e.item_id, e.case_id, coalesce(p.documents, 0) AS documents, coalesce(p.run, 0) AS run FROM evaluation_cases e LEFT JOIN p USING (item_id)
+"""
