@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from emberquill.operators.merge import upsert
+
 
 def _match():
     return (F.col("verdict") == "match").cast("int")
@@ -17,6 +19,21 @@ def checked(feedback: DataFrame, items: DataFrame) -> DataFrame:
     return joined.withColumn("problem", F.when(F.col("shown_rank").isNull(), "unknown_item").when(~F.col("rank").eqNullSafe(F.col("shown_rank")), "rank")).drop("shown_rank")
 
 
+def shown(impressions: DataFrame, items: DataFrame) -> DataFrame:
+    """What keeps an impression with its items from being stored: impression_id and ``problem`` (unknown_impression, rank, repeated_rank, repeated_item)."""
+    ranked = items.groupBy("impression_id").agg(F.bool_and(F.coalesce(F.col("rank").between(1, 3), F.lit(False))).alias("_r"), (F.count_distinct("rank") < F.count("rank")).alias("_dr"), (F.count_distinct("item_id") < F.count("*")).alias("_di"))
+    known = impressions.select("impression_id").distinct().withColumn("_k", F.lit(True))
+    rows = ranked.join(known, "impression_id", "left")
+    rules = {"unknown_impression": F.col("_k").isNull(), "rank": ~F.col("_r"), "repeated_rank": F.col("_dr"), "repeated_item": F.col("_di")}
+    return rows.select("impression_id", F.explode(F.array_compact(F.array(*(F.when(ok, F.lit(n)) for n, ok in rules.items())))).alias("problem"))
+
+
+def upserted(stored: DataFrame, feedback: DataFrame, items: DataFrame) -> DataFrame:
+    """Stored feedback with the valid rows of new feedback merged in, by impression and item, with ``action``; rows with a problem change nothing."""
+    good = checked(feedback, items).where(F.col("problem").isNull())
+    return upsert(stored, good, ["impression_id", "item_id"], ["rank", "verdict", "reason"])
+
+
 def by(feedback: DataFrame, items: DataFrame, impressions: DataFrame) -> DataFrame:
     """dimension (rank, reason, algorithm), value, feedback_count and match_rate (6 digits)."""
     joined = feedback.select("impression_id", "item_id", "verdict", "reason").join(items.select("impression_id", "item_id", F.col("rank").alias("shown")), ["impression_id", "item_id"], "left").join(impressions.select("impression_id", "algorithm_version"), "impression_id", "left")

@@ -10,7 +10,8 @@ included, so the shuffle carries k rows a query and partition and no more.  A co
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -340,3 +341,23 @@ def recall(exact: DataFrame, found: DataFrame) -> DataFrame:
     shared = F.size(F.array_intersect("e", F.coalesce("f", F.array().cast("array<bigint>"))))
     return e.join(f, "query_id", "left").select("query_id", F.round(shared / F.size("e"), 6).alias("recall"))
 
+
+def measured(search: Callable[[DataFrame], DataFrame], queries: DataFrame, exact: DataFrame, *, samples: int = 50, warm: int = 5) -> dict[str, float]:
+    """Recall against the exact result, latency (mean, median, 95th percentile, in milliseconds) and throughput of a search, one query at a time.
+
+    A benchmark: at most ``samples`` queries, the first ``warm`` asked once before.  ``search`` maps queries to query_id and chunk_id.
+    """
+    asked = queries.orderBy("query_id").limit(samples)
+    single = [queries.sparkSession.createDataFrame([r], queries.schema) for r in asked.collect()]
+    if not single:
+        return {"samples": 0}
+    for q in single[:warm]:
+        search(q).collect()
+    taken, rows = [], []
+    for q in single:
+        start = time.perf_counter()
+        rows += [(r["query_id"], r["chunk_id"]) for r in search(q).collect()]
+        taken.append(1000 * (time.perf_counter() - start))
+    found = queries.sparkSession.createDataFrame(rows, "query_id bigint, chunk_id bigint")
+    mean = recall(exact.join(asked.select("query_id"), "query_id", "left_semi"), found).agg(F.avg("recall")).first()[0]
+    return {"samples": len(single), "recall": mean, "mean_ms": float(np.mean(taken)), "p50_ms": float(np.percentile(taken, 50)), "p95_ms": float(np.percentile(taken, 95)), "queries_per_second": 1000 * len(taken) / max(sum(taken), 1e-9)}

@@ -304,10 +304,6 @@ def nested_values(spark: SparkSession, d: str) -> DataFrame:
     return out.select("source_row", "entity.number", "entity.generation", "entity.height_m", "stats.base_stat_total", F.array_join("type_codes", ",").alias("types"), F.size("descriptions").alias("descriptions"), F.size("images").alias("images"))
 
 
-def payload_problems(spark: SparkSession, d: str) -> DataFrame:
-    return A.payload_problems(A.nested(table(spark, d, "pokedex_final"), table(spark, d, "type_definitions")), "source_row")
-
-
 def case_view(spark: SparkSession, d: str) -> DataFrame:
     a = table(spark, d, "annotation_quality_row")
     finals = a.groupBy("case_id", "pokemon_id").agg(F.max("final_grade").alias("final_grade"))
@@ -335,7 +331,7 @@ def evidence_order(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        nested_rows, nested_values, payload_problems, case_view, embedded_chunks, public_descriptions, evidence_order,
+        nested_rows, nested_values, case_view, embedded_chunks, public_descriptions, evidence_order,
         eval_cases, eval_metrics, annotation_quality, weighted_kappa, ready_cases, exported_cases, quality_rows, percentile_summary, rerank_gate, feedback_summary, feedback_by, feedback_checked, retention_purge,
         catalog_page, catalog_total, catalog_escaped_search, catalog_type_exists, entity_detail, type_children, ability_terms, localised_types, hash_sample, even_sample, entities_with_evidence,
         content_hashes, stable_ids, fixed_windows, sentence_counts, chunk_documents, canonical_names, query_tokens, display_paragraphs, chinese_summaries, typed_fields, length_buckets,

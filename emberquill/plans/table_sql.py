@@ -134,3 +134,20 @@ _WIDE = "".join(map(chr, range(0xFF01, 0xFF5F)))
 _NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
 SQL["canonical_names"] = f"""WITH n AS (SELECT request_id, lower(trim(regexp_replace(translate(mbti, '{_WIDE}', '{_NARROW}'), '{_BLANK}', ' ', 'g'))) AS mbti FROM recommendation_request)
 SELECT request_id, mbti, CASE WHEN regexp_full_match(upper(mbti), '[EI][SN][TF][JP](-[AT])?') THEN substr(upper(mbti), 1, 4) END AS code FROM n"""
+
+
+_BEHAVIOUR, _APPEARANCE = ("[" + ", ".join(f"'{w}'" for w in words) + "]" for words in (
+    ["性格", "夥伴", "群居", "合作", "信任", "忠誠", "守護", "保護", "照顧", "支持", "溫柔", "熱情", "冷靜", "勇敢", "交流", "聯絡", "心情", "寂寞", "獨處", "喜歡", "好奇", "智慧", "聰明", "舞蹈"],
+    ["全身", "身體", "外形", "外觀", "顏色", "毛髮", "羽毛", "眼睛", "鼻子", "尾巴", "翅膀", "四肢", "足部", "頭部"],
+))
+_AROUND = r"[ \[\]【】()（）,，:：-]+"
+SQL["chinese_summaries"] = rf"""
+WITH t AS (SELECT source_row, description_zh, trim(regexp_replace(description_zh, '{_BLANK}', ' ', 'g')) AS t FROM pokedex_final),
+s AS (SELECT source_row, unnest(range(1, len(ps) + 1)) AS i, regexp_replace(regexp_replace(unnest(ps), '^{_AROUND}|{_AROUND}$', '', 'g'), '^(?:中文圖鑑描述|英文 flavor text) *[:：] *', '') AS s
+  FROM (SELECT source_row, flatten(list_transform(regexp_split_to_array(t, '[|｜]+'), lambda p: regexp_extract_all(p, '[^。！？；]*[。！？；]|[^。！？；]+'))) AS ps FROM t)),
+b AS (SELECT source_row, s FROM (SELECT *, 3 * len(list_filter({_BEHAVIOUR}, lambda w: contains(s, w))) - 2 * len(list_filter({_APPEARANCE}, lambda w: contains(s, w))) AS score FROM s)
+  WHERE len(regexp_extract_all(s, '[\x{{3400}}-\x{{9FFF}}]')) >= 3 QUALIFY row_number() OVER (PARTITION BY source_row ORDER BY score DESC, i) = 1),
+c AS (SELECT *, substr(s, 1, 110) AS head, regexp_replace(regexp_replace(substr(s, 1, 110), '，[^，]*$', ''), '[，。！？； ]+$', '') AS clause FROM b)
+SELECT t.source_row, CASE WHEN description_zh IS NULL THEN NULL WHEN s IS NULL THEN '' WHEN length(s) <= 110 THEN s WHEN clause <> '' THEN clause || '……' ELSE rtrim(head) || '……' END AS summary,
+  coalesce(len(regexp_extract_all(t, '[\x{{3400}}-\x{{9FFF}}]')) >= 12 AND NOT regexp_matches(t, '([A-Za-z][A-Za-z''-]*\s+){{3}}[A-Za-z]') AND NOT regexp_matches(lower(t), 'ev_|document_id|chunk_id|檢索證據指出'), false) AS chinese FROM t LEFT JOIN c USING (source_row)
+"""

@@ -129,8 +129,7 @@ def write_jsonl(rows: DataFrame, path: str, order: list[str]) -> int:
 
 def read_translations(spark: SparkSession, path: str) -> DataFrame:
     """group, code (normal form) and name_zh of a JSON file {group: {code: name}}; raises for blanks and repeated codes."""
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
+    data = json.loads(spark.read.text(path, wholetext=True).first()[0])
     rows = [(g, c, n) for g, entries in data.items() for c, n in entries.items()]
     out = spark.createDataFrame(rows, "group string, code string, name_zh string").select("group", normal_code("code").alias("code"), stripped("name_zh").alias("name_zh"))
     if out.where("code = '' OR name_zh = ''").limit(1).count():
@@ -140,10 +139,9 @@ def read_translations(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def read_catalogue(path: str) -> tuple[dict, str]:
-    """A JSON catalogue and the SHA-256 of its canonical form: keys in order, no blanks, no escapes."""
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
+def read_catalogue(spark: SparkSession, path: str) -> tuple[dict, str]:
+    """A JSON catalogue on any file system and the SHA-256 of its canonical form: keys in order, no blanks, no escapes."""
+    data = json.loads(spark.read.text(path, wholetext=True).first()[0])
     return data, sha256(json.dumps(data, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
 
 

@@ -122,3 +122,25 @@ def test_client_keys(spark):
 
 def test_summary_without_its_label(spark):
     assert one(spark, T.chinese_summary(F.lit("【中文圖鑑描述：喜歡和夥伴一起生活。】"))) == "喜歡和夥伴一起生活。"
+
+
+def test_feedback_is_checked_and_merged(spark):
+    from emberquill.operators import feedback as B
+
+    items = table(spark, [(1, 5, 1), (1, 6, 2), (2, 5, 1)], "impression_id long, item_id long, rank int")
+    stored = table(spark, [(1, 5, 1, "match", "no_reason")], "impression_id long, item_id long, rank int, verdict string, reason string")
+    new = table(spark, [(1, 5, 1, "not_match", "wrong_type"), (1, 6, 1, "match", "no_reason"), (2, 5, 1, "match", "no_reason"), (2, 9, 1, "match", "no_reason")], stored.schema)
+    got = {(r["impression_id"], r["item_id"]): (r["verdict"], r["action"]) for r in B.upserted(stored, new, items).collect()}
+    assert got == {(1, 5): ("not_match", "update"), (2, 5): ("match", "insert")}
+    bad = table(spark, [(1, 5, 1), (1, 6, 1), (2, 5, 4), (3, 7, 1), (2, 5, 2)], "impression_id long, item_id long, rank int")
+    impressions = table(spark, [(1,), (2,)], "impression_id long")
+    assert sorted(map(tuple, B.shown(impressions, bad).collect())) == [(1, "repeated_rank"), (2, "rank"), (2, "repeated_item"), (3, "unknown_impression")]
+
+
+def test_searches_are_measured(spark):
+    from emberquill.operators import retrieval as R
+
+    v = table(spark, [(i, [float(i % 7), float(i % 5), 1.0]) for i in range(60)], "chunk_id long, vector array<double>")
+    q = v.where("chunk_id < 4").withColumnRenamed("chunk_id", "query_id")
+    m = R.measured(lambda one: R.dense_topk(v, one, 5), q, R.dense_topk(v, q, 5), samples=3, warm=1)
+    assert m["samples"] == 3 and m["recall"] == 1.0 and m["p95_ms"] >= m["p50_ms"] > 0 and R.measured(lambda one: one, q.limit(0), q)["samples"] == 0

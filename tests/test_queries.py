@@ -13,9 +13,9 @@ def test_same_as_sql(spark, data, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.SQL)))
-def test_runs(spark, data, name):
+def test_gives_rows(spark, data, name):
     df = registry.QUERIES[name](spark, data)
-    assert len(df.collect()) >= 0 and len(set(df.columns)) == len(df.columns)
+    assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
 
 
 def test_partitions_do_not_matter(spark, data):

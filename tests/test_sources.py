@@ -42,9 +42,9 @@ def test_catalogues(spark, tmp_path):
     with pytest.raises(ValueError, match="repeated"):
         S.read_translations(spark, str(p))
     p.write_text('{"b": 1, "a": [1, 2]}')
-    first = S.read_catalogue(str(p))[1]
+    first = S.read_catalogue(spark, str(p))[1]
     p.write_text('{"a":[1,2],"b":1}')
-    assert S.read_catalogue(str(p))[1] == first
+    assert S.read_catalogue(spark, str(p))[1] == first
 
 
 def test_images_and_integrity(spark, tmp_path):
