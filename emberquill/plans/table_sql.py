@@ -151,3 +151,40 @@ c AS (SELECT *, substr(s, 1, 110) AS head, regexp_replace(regexp_replace(substr(
 SELECT t.source_row, CASE WHEN description_zh IS NULL THEN NULL WHEN s IS NULL THEN '' WHEN length(s) <= 110 THEN s WHEN clause <> '' THEN clause || '……' ELSE rtrim(head) || '……' END AS summary,
   coalesce(len(regexp_extract_all(t, '[\x{{3400}}-\x{{9FFF}}]')) >= 12 AND NOT regexp_matches(t, '([A-Za-z][A-Za-z''-]*\s+){{3}}[A-Za-z]') AND NOT regexp_matches(lower(t), 'ev_|document_id|chunk_id|檢索證據指出'), false) AS chinese FROM t LEFT JOIN c USING (source_row)
 """
+
+
+def _bare(c: str) -> str:
+    return f"regexp_replace({c}, '^{_BLANK}|{_BLANK}$', '', 'g')"
+
+
+def _whole(c: str) -> str:
+    """A whole number, maybe written with a point and zeros; null otherwise."""
+    return f"CASE WHEN regexp_full_match({_bare(c)}, '[+-]?[0-9]{{1,18}}([.]0*)?') THEN try_cast(regexp_replace({_bare(c)}, '[.]0*$', '') AS BIGINT) END"
+
+
+def _finite(c: str) -> str:
+    return f"CASE WHEN isfinite(try_cast({_bare(c)} AS DOUBLE)) THEN try_cast({_bare(c)} AS DOUBLE) END"
+
+
+_STATS = ("hp", "attack", "defense", "sp_attack", "sp_defense", "speed")
+_SUM_OF_STATS = " + ".join(f"({_whole(c)})" for c in _STATS)
+_SIDE = f"list_filter([{', '.join(f'CASE WHEN {_bare(c)} <> {chr(39)}{chr(39)} AND lower({_bare(c)}) <> {chr(39)}unknown{chr(39)} THEN lower({_bare(c)}) END' for c in ('type_1', 'type_2'))}], lambda x: x IS NOT NULL)"
+_CHECKS = [
+    *((c, f"({_whole(c)}) BETWEEN 0 AND 32767", "not a whole number in range") for c in (*_STATS, "base_stat_total")),
+    *((c, f"({_finite(c)}) IS NOT NULL", "not a finite number") for c in ("scaled_hp", "scaled_attack", "scaled_defense", "scaled_sp_attack", "scaled_sp_defense", "scaled_speed", "scaled_height_m", "scaled_weight_kg")),
+    ("base_stat_total", f"{_SUM_OF_STATS} = ({_whole('base_stat_total')})", "not the sum of the six stats"),
+    ("generation", f"regexp_full_match(lower({_bare('generation')}), 'gen-(i|ii|iii|iv|v|vi|vii|viii|ix)')", "unknown"),
+    *((c, f"lower({_bare(c)}) IN ('true', 'false')", "neither true nor false") for c in ("is_legendary", "is_mythical", "is_baby")),
+    *((c, f"({_whole(c)}) IN (1, -1)", "neither 1 nor -1") for c in ("is_outlier", "lof_outlier")),
+    *((c, f"({_finite(c)}) >= 0", "not a finite number from 0") for c in ("height_m", "weight_kg")),
+    ("type_1", "len(given) > 0 AND len(list_filter(given, lambda g: NOT list_contains(names, g))) = 0", "unknown"),
+    ("type_zh", "zh = wanted OR (len(zh) = 0 AND wanted = ['一般'])", "not the types in Chinese"),
+    *((c, f"regexp_full_match({c}, 'https?://[^/?#\\s@]+(/[^?#\\s]*)?')", "no plain web address") for c in ("image_url", "sprite_url")),
+    *((c, f"{_bare(c)} <> ''", "blank") for c in ("name_zh", "name_en")),
+]
+SQL["nested_rows"] = f"""
+WITH t AS (SELECT list(lower(name_en)) AS names, map(list(lower(name_en)), list(name_zh)) AS chinese FROM type_definitions),
+g AS (SELECT *, {_SIDE} AS given FROM pokedex_final, t),
+n AS (SELECT *, list_transform(given, lambda x: chinese[x]) AS wanted,
+  list_filter(list_transform(string_split(replace(coalesce(type_zh, ''), '，', ','), ','), lambda x: {_bare('x')}), lambda x: x <> '') AS zh FROM g)
+""" + " UNION ALL ".join(f"SELECT source_row, '{field}' AS field, '{message}' AS message FROM n WHERE NOT coalesce({ok}, false)" for field, ok, message in _CHECKS)
