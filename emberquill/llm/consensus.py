@@ -77,7 +77,7 @@ def _scores(ratings: DataFrame, weights: DataFrame, few: bool) -> DataFrame:
     return judged.groupBy("annotator").agg(F.count("met").alias("items"), F.coalesce(F.sum("met"), F.lit(0.0)).alias("met"), F.avg("meets").alias("accuracy"))
 
 
-def consensus(rows: DataFrame, *, least: int = 3, rounds: int = 12, tolerance: float = 0.002) -> tuple[DataFrame, DataFrame]:
+def consensus(rows: DataFrame, *, least: int = 3, rounds: int = 4, tolerance: float = 0.002) -> tuple[DataFrame, DataFrame]:
     """``items`` (case_id, pokemon_id, grade, support, annotators) and ``annotators``
     (annotator, items, accuracy, leave_one_out, weight, reliable, converged).
 

@@ -105,7 +105,7 @@ def plainly(ratings, rounds=60, tolerance=0.002):
                     accuracy[a] += vote(gs, weights) == g
         common = sum(met.values()) / sum(items.values())
         loo = {a: (met[a] + C.PRIOR * common) / (items[a] + C.PRIOR) for a in people}
-        step = 1.0 if r < 12 else 1 / (r - 10)
+        step = 1.0 if r < 4 else 1 / (r - 2)
         new = {a: max(math.log(p * 3 / (1 - p)), C.LEAST) for a, p in ((a, min(max(loo[a], C.CAP), 1 - C.CAP)) for a in people)}
         weights = {a: step * new[a] + (1 - step) * weights[a] for a in people}
         if before and max(abs(loo[a] - before[a]) for a in people) <= tolerance:
