@@ -42,6 +42,8 @@ BLOCK = 24_000
 KEY_BITS = 40
 #: Texts of a band that are paired where they meet, rows of the band shuffle a task, pairs of a verification block.
 FAMILY, PER_TASK, PER_BLOCK = 256, 400_000, 20_000
+#: Tasks of a shuffle at most: beyond, a task sorts more rows, and verifies more blocks one after the other.
+MOST_TASKS = 50_000
 #: Characters of texts whose shingle sets a verifying task keeps.
 KEPT = 2_000_000
 SPACES = r"[\s\p{Z}\x1c-\x1f\x85]+"
@@ -183,7 +185,7 @@ def _meet(family: int):
 
 def candidates(texts: DataFrame, *, size: int, unit: str, bands: int, rows: int) -> tuple[DataFrame, DataFrame]:
     """Distinct pairs ua < ub of texts (uid, text) of one part that share a band, and the table they are read from."""
-    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-texts.count() * bands // PER_TASK))
+    tasks = max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-texts.count() * bands // PER_TASK)))
     banded = texts.mapInArrow(_signer(size, unit, bands, rows, "bands"), "band bigint, uid bigint").repartition(tasks, "band").sortWithinPartitions("band", "uid")
     met = materialise(banded.mapInArrow(_meet(FAMILY), "ua bigint, ub bigint, band bigint"), "near-met")
     large = met.where("ub IS NULL").select("band", "ua")
@@ -231,12 +233,12 @@ def verified(pairs: DataFrame, texts: DataFrame, *, size: int, unit: str, num: i
     pairs = materialise(pairs.select("ua", "ub"), "near-likely")
     discard(*done)
     side = max(1, round((pairs.count() / PER_BLOCK) ** 0.5))
-    row, column = (F.pmod(F.xxhash64(c), F.lit(side)).cast("int") for c in ("ua", "ub"))
+    row, column = (F.pmod(F.xxhash64(c), F.lit(side)) for c in ("ua", "ub"))
     laid = pairs.select((row * side + column).alias("block"), "ua", "ub")
     ends = laid.select("block", F.explode(F.array("ua", "ub")).alias("uid")).distinct()
     sent = ends.join(texts, "uid").select("block", F.col("uid").alias("ua"), F.lit(None).cast("bigint").alias("ub"), "text")
     every = laid.withColumn("text", F.lit(None).cast("string")).unionByName(sent)
-    ordered = every.repartition(side * side, "block").sortWithinPartitions("block", F.col("ub").isNotNull(), "ua", "ub")
+    ordered = every.repartition(min(MOST_TASKS, side * side), "block").sortWithinPartitions("block", F.col("ub").isNotNull(), "ua", "ub")
     return ordered.mapInArrow(_verifier(size, unit, num, den), "ua bigint, ub bigint, similarity double")
 
 

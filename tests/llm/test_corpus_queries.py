@@ -19,8 +19,8 @@ COLUMNS = {
 
 
 @pytest.mark.parametrize("name", sorted(set(Q.QUERIES) - set(Q.SQL)))
-def test_runs(spark, data, name):
+def test_gives_rows(spark, data, name):
     df = Q.QUERIES[name](spark, data)
     if name in COLUMNS:
         assert df.columns == COLUMNS[name]
-    assert len(df.collect()) >= 0
+    assert df.count() > 0

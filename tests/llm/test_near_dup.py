@@ -53,7 +53,7 @@ def test_large_bands_and_small_blocks_give_the_same(spark, monkeypatch):
     items = corpus(5) + [(500 + k, "one family of texts that all look the same but for a number at the end " * 3 + str(k)) for k in range(40)]
     found = lambda: {(r["ua"], r["ub"], r["similarity"]) for r in N.near_duplicates(rows(spark, items), threshold=0.7, size=4, unit="char")[1].collect()}
     whole = found()
-    for name, value in (("FAMILY", 3), ("PER_TASK", 500), ("PER_BLOCK", 5)):
+    for name, value in (("FAMILY", 3), ("PER_TASK", 500), ("PER_BLOCK", 5), ("MOST_TASKS", 7)):
         monkeypatch.setattr(N, name, value)
     before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
